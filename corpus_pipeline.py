@@ -1,10 +1,59 @@
-"""The corpus pipeline: quality, near duplicates, decontamination, mixing, sharding, each over all the stage before it kept."""
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing, sharding.
+
+Each stage works on all that the stage before it kept, and is written as Parquet and read again before the next one.
+All but the last return the columns of `documents`; the last adds size, text_crc32, law, shard and slot.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, mixing, near_duplicates, quality, sharding
+from tessera.llm.common import held_out, stored, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"), use=~held_out())
+    return docs.withColumn("_score", quality.score(F.col("text"), weights)).where(F.col("_score") >= 0.5).select(*docs.columns)
+
+
+def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_duplicates.distinct_documents(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens follow the target marginals."""
+    return mixing.sample(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard and slot."""
+    return sharding.assign(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality),
+    ("near_duplicates", no_near_duplicates),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("sharding", sharded),
+]
+
+ORACLE_SQL = None  # SQL expresses neither the classifier nor the alignment; tests hold the stages against brute force
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
