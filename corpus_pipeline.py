@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, mixing, near_duplicates, quality, sharding
-from tessera.llm.common import held_out, stored, table
+from tessera.llm.common import boxed, held_out, stored, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     weights = quality.fit(docs, table(spark, sf_dir, "labels"), use=~held_out())
-    return docs.withColumn("_score", quality.score(F.col("text"), weights)).where(F.col("_score") >= 0.5).select(*docs.columns)
+    return boxed(docs, "text").where(quality.score(F.col("text"), weights) >= 0.5).select("row.*")
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, mix64
+from tessera.llm.common import Memo, boxed, mix64
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 PLAIN, CAPITAL, NUMBER, BREAK, UNIT = range(5)
@@ -195,4 +195,4 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings())
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they were. Rows with a null id are judged by nothing and stay."""
     held = find(docs, benchmark, settings).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col("doc_id") == F.col("_held"), "left_anti")
+    return boxed(docs, "doc_id").join(held, F.col("doc_id") == F.col("_held"), "left_anti").select("row.*")

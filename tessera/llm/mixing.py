@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import boxed, stored
 
 OTHER = "other"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -106,10 +106,10 @@ def _with_decision(rows: DataFrame, cells: DataFrame, targets: Targets) -> DataF
 
 def sample(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:
     """The kept documents, all columns as they were."""
-    rows = measured(docs, targets)
+    rows = measured(boxed(docs, "doc_id", "source", "lang", "text"), targets)
     narrow = stored(rows.select("_0", "_1", "_2", "_tokens").groupBy("_0", "_1", "_2").agg(F.sum("_tokens").alias("_tokens")), "cells")
     cells = stored(cell_probabilities(narrow, targets), "mix")
-    return _with_decision(rows, cells, targets).where("_kept").select(*docs.columns)
+    return _with_decision(rows, cells, targets).where("_kept").select("row.*")
 
 
 def mix(docs: DataFrame, targets: Targets = Targets()) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import stored
+from tessera.llm.common import boxed, stored
 
 EXTRA = 16
 FIRST, FINER = 12, 6  # bits of the hash for the first blocks, and for each split
@@ -166,10 +166,10 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     """
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     number = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(1)))
-    whole = docs.drop(*COLUMNS).withColumns({"_id": key, "_h": F.xxhash64("text")}).withColumn("_k", number)
+    whole = boxed(docs.drop(*COLUMNS), "doc_id", "text").select("row", key.alias("_id"), F.xxhash64("text").alias("_h")).withColumn("_k", number)
     placed = _placed(_measured(docs), shards).select(key.alias("_id"), "_h", *COLUMNS).withColumn("_l", number)
     # As a difference the number is no join key, so that the numbering's exchange serves the join too.
-    return whole.join(placed, ["_id", "_h"]).where(F.col("_k") - F.col("_l") == 0).drop("_id", "_h", "_k", "_l")
+    return whole.join(placed, ["_id", "_h"]).where(F.col("_k") - F.col("_l") == 0).select("row.*", *COLUMNS)
 
 
 def _numbered(rows: DataFrame, groups: DataFrame) -> DataFrame:
