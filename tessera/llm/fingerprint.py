@@ -21,8 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tessera.llm.common import mix64, next_of, stored
+from tessera.llm.common import mix64, partitions, stored
 
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 SMALLEST, WIDE, LONGEST = 3, 7, 128
@@ -116,33 +117,65 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-BOTH = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double"
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 
 
-def _both(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for texts, heads in batches:
-        rows = []
-        for t, head in zip(texts, heads):
-            e = edited(t, head or "")
-            a, b = fingerprint(t), fingerprint(e)
-            rows.append((len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), a, b, likeness(a, b)))
-        yield pd.DataFrame(rows, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited"])
+def _compared(doc_id: int | None, text: str, own: str, following: str, next_own: str) -> tuple:
+    """A row of RESULT, from the text and the next document's, and the fingerprints of both."""
+    e = edited(text, following)
+    of_edited = fingerprint(e)
+    return doc_id, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), own, of_edited, likeness(own, of_edited), likeness(own, next_own)
+
+
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of a range in order: each document is compared with the next one; the first and the last come out as they are, for the ranges beside."""
+    held: tuple | None = None  # key, hash, doc_id, text, fingerprint, copies
+    part = -1
+    for b in batches:
+        out = []
+        for part, key, mark, doc_id, text in zip(b["_range"], b["_key"], b["_hash"], b["doc_id"], b["text"]):
+            doc_id = None if pd.isna(doc_id) else int(doc_id)
+            if held is not None and held[:2] == (key, mark):
+                held = (*held[:5], held[5] + 1)
+                continue
+            own = fingerprint(text)
+            if held is None:
+                out.append((part, "first", 1, *[None] * len(COLUMNS), text))
+            else:
+                out.append((part, "done", held[5], *_compared(*held[2:5], text, own), None))
+            held = (key, mark, doc_id, text, own, 1)
+        yield _frame(out)
+    if held is not None:
+        yield _frame([(part, "last", held[5], held[2], *[None] * (len(COLUMNS) - 1), held[3])])
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["_range", "role", "copies", *COLUMNS, "text"]).astype({"doc_id": "Int64", "n_chars": "Int64"})
+
+
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [_compared(None if pd.isna(i) else int(i), t, fingerprint(t), n, fingerprint(n)) for i, t, n in zip(b["doc_id"], b["text"], b["following"])]
+        yield pd.DataFrame([(c, *r) for c, r in zip(b["copies"], rows)], columns=["copies", *COLUMNS]).astype({"doc_id": "Int64"})
 
 
 def compare_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text, of its edited text, and their likeness with it and with the next document's.
 
-    Texts are moved once; from the next document only as many characters travel as the edit needs.
+    Texts move once, into ranges of the order, and are compared while a range is read; what is left is the last
+    document of each range and the first one of the next.
     """
-    lowest = -(1 << 63)
+    spark = docs.sparkSession
+    order = ["_key", "_hash"]
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("*", F.coalesce("doc_id", F.lit(lowest)).alias("_key"), F.xxhash64("text").alias("_hash"))
-    narrow = rows.select("_key", "_hash", F.length("text").cast("long").alias("_n")).dropDuplicates(["_key", "_hash"])
-    links = stored(next_of(narrow, ["_key", "_hash"], ["_n"], wrap=True).select("_key", "_hash", F.floor(F.col("_n") / 2).cast("int").alias("_half"), "next__key", "next__hash"), "links")
-    giving = links.select(F.col("next__key").alias("_key"), F.col("next__hash").alias("_hash"), F.col("_key").alias("_to"), F.col("_hash").alias("_to_hash"), "_half")
-    heads = rows.join(giving, ["_key", "_hash"]).dropDuplicates(["_to", "_to_hash"]).select(F.col("_to").alias("_key"), F.col("_to_hash").alias("_hash"), F.substring("text", F.lit(1), F.col("_half")).alias("_head"))
-    done = rows.join(heads, ["_key", "_hash"]).select("doc_id", "_key", "_hash", F.pandas_udf(_both, BOTH)("text", "_head").alias("b")).select("doc_id", "_key", "_hash", "b.*")
-    done = stored(done, "fingerprints")
-    following = done.select(F.col("_key").alias("next__key"), F.col("_hash").alias("next__hash"), F.col("fingerprint").alias("_following")).dropDuplicates(["next__key", "next__hash"])
-    out = done.join(links.select("_key", "_hash", "next__key", "next__hash"), ["_key", "_hash"]).join(following, ["next__key", "next__hash"])
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", likeness_of(F.col("fingerprint"), F.col("_following")).alias("near_next"))
+    rows = rows.select("*", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_key"), F.xxhash64("text").alias("_hash"))
+    dealt = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
+    walked = stored(dealt.mapInPandas(_walk, f"_range int, role string, copies long, {RESULT}, text string"), "walked")
+    over = Window.orderBy("_range")
+    first = walked.where("role = 'first'").select("_range", F.col("text").alias("following"))
+    links = first.select("_range", F.coalesce(F.lead("_range").over(over), F.first("_range").over(over)).alias("_next"))  # a row per range
+    last = walked.where("role = 'last'").select("_range", "copies", "doc_id", "text").join(links, "_range").drop("_range")
+    ends = last.join(first.withColumnRenamed("_range", "_next"), "_next").select("copies", "doc_id", "text", "following").mapInPandas(_joined, f"copies long, {RESULT}")
+    every = walked.where("role = 'done'").select("copies", *COLUMNS).unionByName(ends)
+    return every.withColumn("_", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
