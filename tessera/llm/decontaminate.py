@@ -171,11 +171,10 @@ def matches(text: str | None, ix: Index, memo: Words, settings: Settings) -> lis
 
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, coverage, longest_run, verbatim."""
-    spark = docs.sparkSession
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (4 * settings.block)))  # a window begins at a word, words have four letters or more on average
     schema = "doc_id long, item_id long, coverage double, longest_run int, verbatim boolean"
-    out = spark.createDataFrame([], schema)
+    out = None
     for b in range(blocks):
         items = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").orderBy("item_id", "text").collect()
         ix = index([r["item_id"] for r in items], [r["text"] for r in items], settings)
@@ -188,8 +187,9 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings())
                 rows = [(doc, ix.ids[n], c, r, e) for doc, t in zip(d["doc_id"], d["text"]) for n, c, r, e in matches(t, ix, memo, settings)]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage", "longest_run", "verbatim"])
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInPandas(search, schema))
-    return out
+        found = docs.select("doc_id", "text").mapInPandas(search, schema)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:

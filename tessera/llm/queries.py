@@ -53,4 +53,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_sharding, op3_repeats, op4_mixing, op5_language, op6_fingerprint, op7_pages, op8_near_duplicates, op9_decontaminate, op10_quality)
 }
-SQL: dict[str, str] = {}
+
+REPEATS_SQL = r"""
+WITH words AS (
+    SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
+), windows AS (
+    SELECT doc_id, i, list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS l FROM words
+), later AS (
+    SELECT doc_id, i, 1 AS hit FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY l ORDER BY doc_id, i) AS k FROM windows WHERE len(l) = 20) WHERE k > 1
+), marked AS (
+    SELECT doc_id, i, word, max(coalesce(hit, 0)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+    FROM words LEFT JOIN later USING (doc_id, i)
+)
+SELECT d.doc_id, count(i) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+SQL: dict[str, str] = {"op3_repeats": REPEATS_SQL}
