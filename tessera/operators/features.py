@@ -121,7 +121,7 @@ def edge_filtered(keys: DataFrame, planes: DataFrame, octave: int, settings: Set
         plane, both = neighbours(refined(d.select(*PLACE, F.col(f"d{step}").alias("v"))), [-1, 0, 1], [-1, 0, 1])
         at = lambda y, x: F.col(both["v", y, x])  # noqa: E731, B023
         xx, yy = at(-1, 0) + at(1, 0) - 2 * at(0, 0), at(0, -1) + at(0, 1) - 2 * at(0, 0)
-        xy = (at(-1, -1) + at(1, 1) - at(-1, 1) - at(1, -1)) / 4
+        xy = at(-1, -1) + at(1, 1) - at(-1, 1) - at(1, -1)
         det = xx * yy - xy * xy
         edge = F.when(det != 0, (xx + yy) * (xx + yy) / det).otherwise(F.lit(math.nan))
         number = lambda x: ~F.isnan(x)
@@ -134,6 +134,45 @@ def edge_filtered(keys: DataFrame, planes: DataFrame, octave: int, settings: Set
     return out
 
 
+def scale_derivatives(planes: DataFrame, step: int) -> DataFrame:
+    """First (gx, gy, gs: value before less value after, halved) and second derivatives of the difference planes at `step`."""
+    d = differences(planes).select(*PLACE, F.col(f"d{step - 1}").alias("p"), F.col(f"d{step}").alias("c"), F.col(f"d{step + 1}").alias("n"))
+    out, both = neighbours(d, [-1, 0, 1], [-1, 0, 1])
+    at = lambda name, y, x: F.col(both[name, y, x])
+    made = {
+        "value": at("c", 0, 0),
+        "gx": (at("c", 0, -1) - at("c", 0, 1)) / 2,
+        "gy": (at("c", -1, 0) - at("c", 1, 0)) / 2,
+        "gs": (at("p", 0, 0) - at("n", 0, 0)) / 2,
+        "xx": at("c", 0, 1) + at("c", 0, -1) - 2 * at("c", 0, 0),
+        "yy": at("c", 1, 0) + at("c", -1, 0) - 2 * at("c", 0, 0),
+        "ss": at("n", 0, 0) + at("p", 0, 0) - 2 * at("c", 0, 0),
+        "xy": (at("c", 1, 1) - at("c", 1, -1) - at("c", -1, 1) + at("c", -1, -1)) / 2,
+        "xs": (at("n", 0, 1) - at("n", 0, -1) - at("p", 0, 1) + at("p", 0, -1)) / 2,
+        "ys": (at("n", 1, 0) - at("n", -1, 0) - at("p", 1, 0) + at("p", -1, 0)) / 2,
+    }
+    return out.select(*PLACE, *[v.alias(k) for k, v in made.items()])
+
+
+def fitted(keys: DataFrame, planes: DataFrame, octave: int, settings: Settings = Settings(), contrast: float = 0.03) -> DataFrame:
+    """The keys whose quadratic fit in place and scale lies within half a pixel, has contrast, and is no edge (the older filter)."""
+    out = None
+    for step in (1, 2, 3):
+        d = scale_derivatives(planes, step)
+        c = {k: F.col(k) for k in ("xx", "xy", "xs", "yy", "ys", "ss", "gx", "gy", "gs", "value")}
+        minor = {"xx": c["yy"] * c["ss"] - c["ys"] * c["ys"], "xy": c["xs"] * c["ys"] - c["xy"] * c["ss"], "xs": c["xy"] * c["ys"] - c["xs"] * c["yy"], "yy": c["xx"] * c["ss"] - c["xs"] * c["xs"], "ys": c["xy"] * c["xs"] - c["xx"] * c["ys"], "ss": c["xx"] * c["yy"] - c["xy"] * c["xy"]}
+        d = d.withColumn("det", c["xx"] * minor["xx"] + c["xy"] * minor["xy"] + c["xs"] * minor["xs"]).where("det <> 0")
+        row = lambda a, b, e: (minor[a] * c["gx"] + minor[b] * c["gy"] + minor[e] * c["gs"]) / F.col("det")  # noqa: E731, B023
+        d = d.withColumns({"ox": row("xx", "xy", "xs"), "oy": row("xy", "yy", "ys"), "os": row("xs", "ys", "ss")})
+        height = (c["gx"] * F.col("ox") + c["gy"] * F.col("oy") + c["gs"] * F.col("os")) * 0.5 + c["value"]
+        flat, trace = minor["ss"], c["xx"] + c["yy"]
+        good = (F.greatest(F.abs("ox"), F.abs("oy"), F.abs("os")) <= 0.5) & (F.abs(height) >= contrast) & (flat > 0) & (trace * trace <= (settings.ratio + 1) ** 2 / settings.ratio * flat)
+        kept = d.where(good).select("image_id", F.col("row").alias("idx"), F.col("col").alias("idy"), F.lit(step).alias("step"), "ox", "oy", "os")
+        part = keys.where((F.col("oct") == octave) & (F.col("step") == step)).join(kept, ["image_id", "idx", "idy", "step"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _surroundings(keys: DataFrame, planes: DataFrame, octave: int, low: int, high: int) -> DataFrame:
     """One row per key and place (idx + i, idy + j) for i, j in low..high-1, with theta, mag and v of the key's blur plane."""
     steps = None

@@ -312,9 +312,16 @@ def _keys(spark, sf_dir):
     return features.edge_filtered(features.extrema(planes, 0), planes, 0), planes
 
 
-@query()
+@query(sql.fitted(SIGMAS))
+def edge_response_3d(spark, sf_dir):
+    planes = stored(_planes(spark, sf_dir), "planes")
+    out = features.fitted(features.extrema(planes, 0), planes, 0)
+    return rounded(out.select("image_id", "step", "idx", "idy", "ox", "oy", "os"), "ox", "oy", "os")
+
+
+@query(sql.edge_filtered(SIGMAS))
 def edge_filter(spark, sf_dir):
-    return _keys(spark, sf_dir)[0]
+    return _keys(spark, sf_dir)[0].select("image_id", "step", "idx", "idy")
 
 
 @query()

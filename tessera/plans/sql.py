@@ -185,3 +185,57 @@ def refined(source_ctes: str, source: str) -> str:
     parts = ", ".join([source_ctes, convolved("c2", source, SECOND_DERIVATIVE, True), convolved("c1", source, DERIVATIVE, True), turned, convolved("ct", "turned", DERIVATIVE, True)])
     value = "CASE WHEN s.h = s.w THEN (CASE WHEN c2.v = 0 THEN '-Infinity'::DOUBLE ELSE -1.0::DOUBLE / c2.v END) * c1.v * ct.v * 0.5::DOUBLE + s.v ELSE s.v END"
     return f"WITH {parts}, result AS (SELECT s.image_id, s.row, s.col, {value} AS v FROM {source} s JOIN c2 USING (image_id, row, col) JOIN c1 USING (image_id, row, col) LEFT JOIN ct USING (image_id, row, col)) SELECT image_id, row, col, CASE WHEN isnan(v) THEN 'nan' WHEN isinf(v) THEN 'inf' ELSE 'number' END AS kind, CASE WHEN isnan(v) OR isinf(v) THEN NULL ELSE round(v, 6) END AS v FROM result"
+
+
+def fitted(sigmas: list[float]) -> str:
+    """Extrema that a quadratic fit in place and scale accepts."""
+    keys = extrema(sigmas).removeprefix("WITH ")
+    head, tail = keys.split(" SELECT image_id, CAST(1 AS INTEGER)", 1)
+    at = lambda d, y, x: f"d{d}_{x + 1}_{y + 1}"
+    parts = []
+    for step in (1, 2, 3):
+        p, c, n = step - 1, step, step + 1
+        made = {
+            "value": at(c, 0, 0),
+            "gx": f"({at(c, 0, -1)} - {at(c, 0, 1)}) / 2",
+            "gy": f"({at(c, -1, 0)} - {at(c, 1, 0)}) / 2",
+            "gs": f"({at(p, 0, 0)} - {at(n, 0, 0)}) / 2",
+            "xx": f"{at(c, 0, 1)} + {at(c, 0, -1)} - 2 * {at(c, 0, 0)}",
+            "yy": f"{at(c, 1, 0)} + {at(c, -1, 0)} - 2 * {at(c, 0, 0)}",
+            "ss": f"{at(n, 0, 0)} + {at(p, 0, 0)} - 2 * {at(c, 0, 0)}",
+            "xy": f"({at(c, 1, 1)} - {at(c, 1, -1)} - {at(c, -1, 1)} + {at(c, -1, -1)}) / 2",
+            "xs": f"({at(n, 0, 1)} - {at(n, 0, -1)} - {at(p, 0, 1)} + {at(p, 0, -1)}) / 2",
+            "ys": f"({at(n, 1, 0)} - {at(n, -1, 0)} - {at(p, 1, 0)} + {at(p, -1, 0)}) / 2",
+        }
+        parts.append(f"SELECT image_id, {step} AS step, row AS idx, col AS idy, {', '.join(f'{v} AS {k}' for k, v in made.items())} FROM around")
+    det = "(xx * (yy * ss - ys * ys) - xy * (xy * ss - xs * ys) + xs * (xy * ys - xs * yy))"
+    ox = f"((yy * ss - ys * ys) * gx + (xs * ys - xy * ss) * gy + (xy * ys - xs * yy) * gs) / {det}"
+    oy = f"((xs * ys - xy * ss) * gx + (xx * ss - xs * xs) * gy + (xy * xs - xx * ys) * gs) / {det}"
+    os = f"((xy * ys - xs * yy) * gx + (xy * xs - xx * ys) * gy + (xx * yy - xy * xy) * gs) / {det}"
+    return f"WITH {head}, keys AS (SELECT image_id, CAST(1 AS INTEGER){tail}), d AS ({' UNION ALL '.join(parts)}), o AS (SELECT *, {ox} AS ox, {oy} AS oy, {os} AS os FROM d WHERE {det} <> 0) SELECT image_id, CAST(step AS INTEGER) AS step, idx, idy, round(ox, 6) AS ox, round(oy, 6) AS oy, round(os, 6) AS os FROM keys JOIN o USING (image_id, step, idx, idy) WHERE greatest(abs(ox), abs(oy), abs(os)) <= 0.5 AND abs((gx * ox + gy * oy + gs * os) * 0.5 + value) >= 0.03 AND xx * yy - xy * xy > 0 AND (xx + yy) * (xx + yy) <= 12.1 * (xx * yy - xy * xy)"
+
+
+def edge_filtered(sigmas: list[float]) -> str:
+    """Extrema whose refined difference plane has contrast and a corner there; what is no number rejects no key."""
+    keys = extrema(sigmas).removeprefix("WITH ")
+    head, tail = keys.split(" SELECT image_id, CAST(1 AS INTEGER)", 1)
+    ctes, parts = [head, f"keys AS (SELECT image_id, CAST(1 AS INTEGER){tail})"], []
+    for k in (1, 2, 3):
+        ctes += [
+            f"p{k} AS (SELECT {PLACE}, d{k} AS v FROM diff)",
+            f"t{k} AS (SELECT image_id, w AS h, h AS w, col AS row, row AS col, v FROM p{k})",
+            convolved(f"x{k}", f"p{k}", SECOND_DERIVATIVE, True),
+            convolved(f"y{k}", f"p{k}", DERIVATIVE, True),
+            convolved(f"z{k}", f"t{k}", DERIVATIVE, True),
+            f"r{k} AS (SELECT s.image_id, s.h, s.w, s.row, s.col, CASE WHEN s.h = s.w THEN (CASE WHEN x.v = 0 THEN '-Infinity'::DOUBLE ELSE -1.0::DOUBLE / x.v END) * y.v * z.v * 0.5::DOUBLE + s.v ELSE s.v END AS v FROM p{k} s JOIN x{k} x USING (image_id, row, col) JOIN y{k} y USING (image_id, row, col) LEFT JOIN z{k} z USING (image_id, row, col))",
+        ]
+        around, both = near(f"e{k}", f"r{k}", ["v"], [-1, 0, 1], [-1, 0, 1])
+        at = lambda y, x: both["v", y, x]  # noqa: E731, B023
+        ctes.append(around)
+        xx, yy = f"{at(-1, 0)} + {at(1, 0)} - 2 * {at(0, 0)}", f"{at(0, -1)} + {at(0, 1)} - 2 * {at(0, 0)}"
+        xy = f"{at(-1, -1)} + {at(1, 1)} - {at(-1, 1)} - {at(1, -1)}"
+        parts.append(f"SELECT image_id, {k} AS step, row AS idx, col AS idy, {at(0, 0)} AS v, {xx} AS xx, {yy} AS yy, {xy} AS xy FROM e{k}")
+    ctes.append(f"d AS (SELECT *, xx * yy - xy * xy AS det FROM ({' UNION ALL '.join(parts)}))")
+    ctes.append("q AS (SELECT *, CASE WHEN det = 0 THEN 'NaN'::DOUBLE ELSE (xx + yy) * (xx + yy) / det END AS ratio FROM d)")
+    bad = "(abs(v) < 7.65 AND NOT isnan(v)) OR (det <= 0 AND NOT isnan(det)) OR (ratio > 12.1 AND NOT isnan(ratio))"
+    return f"WITH {', '.join(ctes)} SELECT image_id, CAST(step AS INTEGER) AS step, idx, idy FROM keys JOIN q USING (image_id, step, idx, idy) WHERE NOT ({bad})"
