@@ -5,11 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.session import stored
 
-__all__ = ["Memo", "boxed", "held_out", "mix64", "next_of", "partitions", "stored", "table"]
+__all__ = ["Memo", "boxed", "held_out", "mix64", "partitions", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,28 +29,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def next_of(df: DataFrame, order: list[str], carry: list[str], wrap: bool = False) -> DataFrame:
-    """For each row of a narrow df its successor in the global order: columns order + carry + next_<c> for c in order + carry.
-
-    Rows are dealt out by ranges of the order (distinct keys, so no range is hot); inside a range a window
-    finds the successor, and the one row per range that has none there takes the first row of the next range
-    that has rows. Only one row per range meets in one place. wrap: the last row is followed by the first.
-    """
-    spark, cols = df.sparkSession, order + carry
-    dealt = stored(df.select(*cols).repartitionByRange(partitions(spark), *order).withColumn("_range", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy("_range").orderBy(*order)
-    packed = F.struct(*[F.col(c).alias(c) for c in cols])
-    rows = dealt.withColumn("_next", F.lead(packed).over(inside))
-    heads = dealt.groupBy("_range").agg(F.min(packed).alias("_head"))
-    over = Window.orderBy("_range")
-    following = F.lead("_head").over(over)
-    if wrap:
-        following = F.coalesce(following, F.first("_head").over(over))
-    heads = heads.select("_range", following.alias("_after"))
-    rows = rows.join(F.broadcast(heads), "_range", "left").withColumn("_next", F.coalesce("_next", "_after"))
-    return rows.select(*cols, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in cols])
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: all bits of the result depend on all bits of x."""
     x = x.astype(np.uint64, copy=True)
