@@ -11,6 +11,10 @@ that still holds several components proposes links between members of them, anot
 bucket proposes a pair that was not yet verified. Links inside a component can't change it, so none are tried there.
 Texts that are equal are one node from the start.
 
+What this leaves open is finished exactly (`between`): members of buckets that still hold several components are
+joined on the prefixes of their shingles, rare ones first. A pair that reaches `similarity` shares a shingle of both
+prefixes, so every pair of two components is either verified or can't be near.
+
 Defined cases: null texts and texts without words are near each other and nothing else;
 a document without near copies is a class of its own; class_id is the smallest doc_id of the class; rows that repeat
 a doc_id are one document, also if their texts differ; rows with a null doc_id get the class of their text.
@@ -21,11 +25,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm.common import Memo, boxed, mix64, stored
 
@@ -36,6 +42,7 @@ class Settings:
     similarity: float = 0.8
     sketches: int = 32
     minima: int = 6
+    salt: int = 4096  # members of one prefix shingle that meet in a task
 
 
 def word_hashes(text: str | None, memo: Memo) -> np.ndarray:
@@ -157,6 +164,65 @@ def _shingled(docs: DataFrame, settings: Settings) -> DataFrame:
     return docs.select("doc_id", sequence("text").alias("_s"))
 
 
+COUNTER_BITS = 18
+
+
+def _levels(sequences: DataFrame) -> np.ndarray:
+    """How often shingles occur, as a coarse logarithm per counter; a shingle's counter is its upper bits."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        for b in batches:
+            counts += np.bincount(np.frombuffer(b"".join(b["_s"]), np.uint32) >> np.uint32(32 - COUNTER_BITS), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"at": at, "n": counts[at]})
+
+    counted = sequences.select("_s").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNTER_BITS, np.uint8)
+    out[counted["at"].to_numpy()] = np.minimum(8 * np.log2(counted["n"].to_numpy()), 255)
+    return out
+
+
+def prefix(s: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
+    """The labelled shingles that come first, rare ones before frequent ones: so many that a near text must share one.
+
+    m >= similarity * (n + k - m) and m <= k give m >= similarity * n; all but the last ceil(similarity * n) - 1 are taken.
+    """
+    rare = levels[s >> np.uint32(32 - COUNTER_BITS)]
+    s = labelled(s.astype(np.uint64))
+    return s[np.lexsort((s, rare))[: len(s) - ceil(similarity * len(s) - 1e-9) + 1]] if len(s) else s
+
+
+def _prefixes(sequences: DataFrame, settings: Settings) -> DataFrame:
+    """key, node, n (its shingles), at (the key's place in the prefix), rank (of the node among the key's), many (of them)."""
+    levels = _levels(sequences)
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for node, s in zip(b["doc_id"], b["_s"]):
+                s = np.frombuffer(s, np.uint32)
+                keys = prefix(s, levels, settings.similarity).view(np.int64)
+                yield pd.DataFrame({"key": keys, "node": node, "n": len(s), "at": np.arange(len(keys))})
+
+    found = sequences.mapInPandas(take, "key long, node long, n int, at int")
+    key = Window.partitionBy("key")
+    ranked = found.withColumn("rank", F.row_number().over(key.orderBy("at", F.xxhash64("node"), "node"))).withColumn("many", F.count("*").over(key))
+    return stored(ranked.where("many > 1"), "prefixes")
+
+
+def between(prefixes: DataFrame, roots: DataFrame, low: int, high: int, settings: Settings) -> DataFrame:
+    """Pairs (a > b) of two components that may be near: those of ranks from low below high with all of higher rank."""
+    now = prefixes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    live = now.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
+    now = now.join(live, "key").withColumn("salts", F.ceil(F.col("many") / settings.salt).cast("int"))
+    centres = now.where(F.col("rank").between(low, high - 1)).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
+    others = now.where(F.col("rank") > low).withColumn("salt", F.pmod(F.hash("node"), "salts"))
+    need = settings.similarity / (1 + settings.similarity) * (F.col("c.n") + F.col("o.n")) - 1e-6
+    most = F.least(F.col("c.n") - F.col("c.at"), F.col("o.n") - F.col("o.at"))  # matches that the first shared shingle leaves possible
+    pairs = centres.alias("c").join(others.alias("o"), ["key", "salt"]).where("o.rank > c.rank and o.root <> c.root").where(most >= need)
+    return pairs.select(F.greatest("c.node", "o.node").alias("a"), F.least("c.node", "o.node").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node that it is connected with.
 
@@ -215,6 +281,19 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         tried = tried.unionByName(more)
         if not found:
             break
+
+    inside = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    open_keys = inside.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
+    unresolved = inside.join(open_keys, "key").select(F.col("node").alias("doc_id")).distinct()
+    prefixes = _prefixes(sequences.join(unresolved, "doc_id", "left_semi"), settings)
+    most = prefixes.agg(F.max("many")).first()[0] or 0
+    low, high = 1, 2
+    while low < most:
+        more = stored(verified(between(prefixes, roots, low, high, settings).join(tried, ["a", "b"], "left_anti")), "more")
+        tried = tried.unionByName(more)
+        if not more.where("ok").isEmpty():
+            roots = stored(components(tried.where("ok")), "roots")
+        low, high = high, 16 * high
     whole = nodes.join(roots, "node", "left").select("_h1", "_h2", F.coalesce("root", "node").alias("class_id"), "_n")
     sizes = whole.groupBy(F.col("class_id").alias("_class")).agg(F.sum("_n").alias("class_size"))
     named = whole.drop("_n").join(sizes, F.col("class_id").eqNullSafe(F.col("_class"))).drop("_class")

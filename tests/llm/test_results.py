@@ -281,6 +281,20 @@ def test_chains_are_one_class(spark):
     assert {r["class_id"] for r in near_duplicates.classes(docs).collect()} == set(_brute_classes(dict(rows)).values())
 
 
+def test_hub_and_spokes_are_one_class(spark):
+    rng = np.random.default_rng(5)
+    hub = [f"w{i}" for i in range(600)]
+    rows = [(500, " ".join(hub))]
+    for k in range(1001):
+        if k != 500:  # ten other words each: 0.85 to the hub, 0.72 to each other
+            changed = set(rng.choice(600, 10, replace=False).tolist())
+            rows.append((k, " ".join(f"z{k}x{i}" if i in changed else w for i, w in enumerate(hub))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {k for k, v in _brute_classes(dict(rows[:40])).items() if v == 0}  # rows[0] is the hub
+    assert near == {r[0] for r in rows[:40]}
+    assert {(r["class_id"], r["class_size"]) for r in near_duplicates.classes(docs).collect()} == {(0, 1001)}
+
+
 def test_decontaminate(spark, texts):
     items = dict(spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect())
     found = {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_decontaminate"](spark, SF).collect()}
