@@ -13,7 +13,8 @@ Texts that are equal are one node from the start.
 
 What this leaves open is finished exactly (`between`): members of buckets that still hold several components are
 joined on the prefixes of their shingles, rare ones first. A pair that reaches `similarity` shares a shingle of both
-prefixes, so every pair of two components is either verified or can't be near.
+prefixes, so every pair of two components is either verified or can't be near. Texts of up to `short` shingles take
+part too, as few k-mers make sketches miss more: whole short texts don't even share one with a text that is longer.
 
 Defined cases: null texts and texts without words are near each other and nothing else;
 a document without near copies is a class of its own; class_id is the smallest doc_id of the class; rows that repeat
@@ -42,6 +43,7 @@ class Settings:
     similarity: float = 0.8
     sketches: int = 32
     minima: int = 6
+    short: int = 50  # shingles of texts that are compared exactly, whatever their sketches
     salt: int = 4096  # members of one prefix shingle that meet in a task
 
 
@@ -143,13 +145,15 @@ def _verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
 
 
 def _sketched(docs: DataFrame, settings: Settings) -> DataFrame:
-    @F.pandas_udf("array<long>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("sketch array<long>, size int")
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo = Memo()
         for texts in batches:
-            yield pd.Series([order_min_hash(shingles(word_hashes(t, memo), settings.words), settings).view(np.int64) for t in texts])
+            every = [shingles(word_hashes(t, memo), settings.words) for t in texts]
+            yield pd.DataFrame({"sketch": [order_min_hash(s, settings).view(np.int64) for s in every], "size": [len(s) for s in every]})
 
-    return docs.select("doc_id", F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), F.col("text")).alias("_h2"), sketch("text").alias("_sketch"))
+    columns = "doc_id", F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), F.col("text")).alias("_h2"), sketch("text").alias("_")
+    return docs.select(*columns).select("doc_id", "_h1", "_h2", F.col("_.sketch").alias("_sketch"), F.col("_.size").alias("_size"))
 
 
 def _shingled(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -258,7 +262,8 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     keys = own.select("node", F.posexplode("_sketch").alias("_k", "_v")).select(F.xxhash64("_k", "_v").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("_last > leader").drop("_last")
     members = stored(keys.join(shared, "key"), "members")
-    ids = members.select(F.col("node").alias("doc_id")).distinct()
+    short = own.where(F.col("_size").between(1, settings.short)).select(F.col("node").alias("doc_id"))
+    ids = members.select(F.col("node").alias("doc_id")).union(short).distinct()
     sequences = stored(_shingled(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), settings), "sequences")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -284,7 +289,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     inside = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = inside.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
-    unresolved = inside.join(open_keys, "key").select(F.col("node").alias("doc_id")).distinct()
+    unresolved = inside.join(open_keys, "key").select(F.col("node").alias("doc_id")).union(short).distinct()
     prefixes = _prefixes(sequences.join(unresolved, "doc_id", "left_semi"), settings)
     most = prefixes.agg(F.max("many")).first()[0] or 0
     low, high = 1, 2

@@ -295,6 +295,18 @@ def test_hub_and_spokes_are_one_class(spark):
     assert {(r["class_id"], r["class_size"]) for r in near_duplicates.classes(docs).collect()} == {(0, 1001)}
 
 
+def test_short_near_duplicates(spark):
+    rng, pairs = np.random.default_rng(7), []
+    for few, many in [(8, 9), (9, 10), (12, 14), (14, 16), (1, 2), (5, 6)]:
+        for k in range(40):
+            words = [f"s{few}x{k}x{i}" for i in range(many)]
+            cut = int(rng.integers(0, many - few + 1))
+            pairs += [" ".join(words), " ".join(words[cut : cut + few])]
+    texts = dict(enumerate(pairs))
+    found = near_duplicates.classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == _brute_classes(texts)
+
+
 def test_decontaminate(spark, texts):
     items = dict(spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect())
     found = {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_decontaminate"](spark, SF).collect()}
