@@ -1,7 +1,9 @@
 """Main text of raw web pages by nearest-URL page differencing.
 
 1. Each page is cut into lines (the text of one block). What markup names as no main text is dropped: scripts,
-   styles, forms, menus, headers, footers, sidebars, and elements whose class, id or role says so (FURNITURE).
+   styles, forms, menus, headers, footers, sidebars, and elements that have a word of FURNITURE as a class, id or
+   role. A form, header or element so named that contains an article or main element is a wrapper and not dropped,
+   unless it lies within an article itself; nor do ids of sections and headings count there.
    Lines inside an article or main element are marked as such.
 2. Pages of one host are put in the order of their URL paths; each page is paired with its nearest one before and
    after. Their lines outside an article are aligned by longest common subsequence, and shared lines deleted. If
@@ -34,17 +36,19 @@ from tessera.llm.common import partitions, stored
 
 # Names of HTML elements, and words in class, id and role that mark what is not main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg select option object math canvas audio video xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg select option canvas audio video xmp noembed noframes".split())
+WRAPPERS = frozenset("form fieldset".split())
 DROPPED = RAW | frozenset("head nav footer aside form button dialog menu fieldset label".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics annotation".split())
 MAIN = frozenset(("article", "main"))
+NAMED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|comment|comments|commentlist|respond|disqus|reply|replies|related|recommended|pagination|pager|toolbar|widget|skip|contentinfo|complementary|search)(?:$|[\s_-]|\d)",
+    r"(?<!\S)(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|comment|comments|commentlist|respond|disqus|reply|replies|related|recommended|pagination|pager|toolbar|widget|skip|contentinfo|complementary|search)(?:[_-]?\d+)?(?!\S)",
     re.I,
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^<]+|<)", re.S)
-MARKS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+MARKS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 ROLE_MAIN = re.compile(r"role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody", re.I)
 COPY = 0.8
@@ -55,46 +59,60 @@ def _unwanted(tag: str, attributes: str, in_main: bool) -> bool:
         return True
     if tag in ("html", "body", *MAIN) or not attributes:
         return False
-    return any(FURNITURE.search(next(x for x in m.groups() if x is not None)) for m in MARKS.finditer(attributes)) or bool(HIDDEN.search(attributes))
+    marks = (m.groups() for m in MARKS.finditer(attributes))
+    named = (next(x for x in values if x is not None) for name, *values in marks if not (in_main and tag in NAMED and name.lower() == "id"))
+    return any(FURNITURE.search(x) for x in named) or bool(HIDDEN.search(attributes))
+
+
+@dataclass(eq=False)
+class Element:
+    """An open element; movable: it is no longer dropped once an article or main element opens in it."""
+
+    tag: str
+    dropped: bool
+    main: bool
+    movable: bool
 
 
 def lines(page: str | None) -> tuple[list[str], list[bool]]:
     """The page's lines in order, and whether each lies in an article or main element."""
-    found, inside, parts = [], [], []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, dropped, main
-    dropped = main = 0
+    found: list[tuple[list[tuple[str, tuple[Element, ...]]], bool]] = []  # parts with the elements that may drop them, inside
+    parts: list[tuple[str, tuple[Element, ...]]] = []
+    stack: list[Element] = []
+    blocking: list[Element] = []
+    main = 0
 
     def flush() -> None:
-        text = " ".join(references.unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            found.append(text)
-            inside.append(main > 0)
+        if parts:
+            found.append((parts.copy(), main > 0))
+            parts.clear()
 
     def close(to: int) -> None:
-        nonlocal dropped, main
+        nonlocal main
         while len(stack) > to:
-            _, d, m = stack.pop()
-            dropped, main = dropped - d, main - m
+            e = stack.pop()
+            main -= e.main
+            if blocking and blocking[-1] is e:
+                blocking.pop()
 
     at, page = 0, page or ""
     while m := TOKEN.match(page, at):
         at = m.end()
         closing, tag, attributes, text = m.groups()
         if text is not None:
-            if not dropped:
-                parts.append(text)
+            if not blocking or all(e.movable for e in blocking):
+                parts.append((text, tuple(blocking)))
             continue
         if tag is None:
             continue
         tag = tag.lower()
         if tag not in INLINE:
             if tag == "br":
-                parts.append("\n")
+                parts.append(("\n", ()))
             else:
                 flush()
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k].tag == tag), None)
             if k is not None:
                 close(k)
             continue
@@ -104,14 +122,22 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
+        if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1].tag == tag:
             close(len(stack) - 1)
         is_main = tag in MAIN or bool(attributes and ROLE_MAIN.search(attributes))
         unwanted = not is_main and _unwanted(tag, attributes, main > 0)
-        stack.append((tag, unwanted, is_main))
-        dropped, main = dropped + unwanted, main + is_main
+        if is_main and all(e.movable for e in blocking):
+            for e in blocking:
+                e.dropped = False
+            blocking.clear()
+        e = Element(tag, unwanted, is_main, not main and (tag in WRAPPERS or tag not in DROPPED))
+        stack.append(e)
+        main += is_main
+        if unwanted:
+            blocking.append(e)
     flush()
-    return found, inside
+    texts = [(" ".join(references.unescape("".join(t for t, drop in line if not any(e.dropped for e in drop))).split()), m) for line, m in found]
+    return [t for t, _ in texts if t], [m for t, m in texts if t]
 
 
 def common(a: list[int], b: list[int]) -> set[int]:

@@ -220,6 +220,23 @@ def test_differencing_without_an_article(spark):
     assert found[9].startswith("Site name")
 
 
+def _kept(page):
+    found, inside = pages.lines(page)
+    return pages.main_text(found, inside, [], [])
+
+
+def test_furniture_words_keep_the_article():
+    for wrapper in ("div class='layout with-sidebar'", "div class='has-header'", "div class='sidebar page'", "form id='search'", "header", "div style='display:none'"):
+        assert _kept(f"<body><{wrapper}><p>Menu</p><article><p>Body text</p></article></{wrapper.split()[0]}></body>") == "Body text"
+    article = "<article><div class='article-header'><h1>Headline</h1></div><section id='related-work'>One</section><section id='search'>Two</section><h2 id='share'>Three</h2>{}</article>"
+    assert _kept(article.format("<p id='share-prices'>Four</p>")) == "Headline One Two Three Four"
+    assert _kept(article.format("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data='a.pdf'>a table</object></p>")) == "Headline One Two Three Let x=2 and a table"
+    assert _kept(article.format("<div class='share'>Share</div><p>Four <span class='ad'>buy</span></p>")) == "Headline One Two Three Four"
+    assert _kept(article.format("<div id='comments'><article><p>First!</p></article></div>")) == "Headline One Two Three"
+    assert _kept("<article><p>Body</p></article><aside><article>Card</article></aside><div class='ad-3'>Buy</div>") == "Body"
+    assert _kept("<div class='ad'>Buy</div><div class='sidebar'>Links</div><p>Body</p>") == "Body"
+
+
 @given(st.lists(st.integers(0, 3), max_size=8), st.lists(st.integers(0, 3), max_size=8))
 @settings(max_examples=300, deadline=None)
 def test_common_lines_are_longest(a, b):
