@@ -4,7 +4,8 @@ Texts become sequences of words in which numbers, units after a number, and name
 sentence) are replaced by placeholders of their type. Windows of the benchmark's templates are hash-joined with those
 of every document; matches on one diagonal (place in the document minus place in the item) are put together, and
 count if their slots agree: one value of the item stands for one value of the document throughout, and the other way
-round. So a copied question is found, and so is one whose numbers and names were exchanged.
+round. So a copied question is found, and so is one whose numbers and names were exchanged. Windows with few plain
+words (arithmetic, lists of names) say too little as templates; they are joined by the values that stand in the text.
 
 A document matches an item if consistent windows cover `coverage` of the item's words or `run` words on end.
 The benchmark's windows are held in memory in blocks of about `block` windows; each block is one pass over the
@@ -102,34 +103,55 @@ def windows(t: Template, length: int, plain: int) -> tuple[np.ndarray, np.ndarra
     return at, h[at]
 
 
+def valued(t: Template, length: int, plain: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes, by values, of the windows that have fewer than `plain` plain words."""
+    if len(t.words) < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    slots = np.concatenate([[0], np.cumsum(t.slot)])
+    at = np.flatnonzero(length - (slots[length:] - slots[:-length]) < plain)
+    h = np.full(len(at), length, np.uint64)
+    for k in range(length if len(at) else 0):
+        h = (h ^ mix64(t.values[at + k])) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(32)
+    return at, h
+
+
 def _plain(length: int, settings: Settings) -> int:
     return settings.plain if length == settings.window else min(settings.plain, max(3, length - 2))
 
 
 @dataclass(frozen=True)
 class Index:
-    """Templates of benchmark items and, for each window length, their windows in the order of the hash."""
+    """Templates of benchmark items and, for each window length, their windows in the order of the hash; by_value: those joined by values."""
 
     ids: list
     items: list[Template]
     tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    by_value: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def index(ids: list, texts: list[str | None], settings: Settings) -> Index:
     memo = Words()
     items = [template(t, memo) for t in texts]
     parts: dict[int, list] = {}
+    dense: dict[int, list] = {}
     for i, t in enumerate(items):
         length = min(settings.window, len(t.words))
         at, h = windows(t, length, _plain(length, settings)) if length >= 3 else ((), ())
         if len(at):
             parts.setdefault(length, []).append((h, np.full(len(at), i), at))
-    tables = {}
-    for length, p in parts.items():
+        if length == settings.window:
+            # the first word may be a placeholder in a document, where another word comes before it
+            at, h = valued(Template(t.words, t.values, np.concatenate([[True], t.slot[1:]])), length, settings.plain)
+            if len(at):
+                dense.setdefault(length, []).append((h, np.full(len(at), i), at))
+
+    def ordered(p: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h, i, at = (np.concatenate(x) for x in zip(*p))
         order = np.argsort(h, kind="stable")
-        tables[length] = h[order], i[order], at[order]
-    return Index(ids, items, tables)
+        return h[order], i[order], at[order]
+
+    return Index(ids, items, {k: ordered(p) for k, p in parts.items()}, {k: ordered(p) for k, p in dense.items()})
 
 
 def consistent(item: np.ndarray, doc: np.ndarray) -> bool:
@@ -141,24 +163,35 @@ def consistent(item: np.ndarray, doc: np.ndarray) -> bool:
 def matches(text: str | None, ix: Index, memo: Words, settings: Settings) -> list[tuple[int, float, int, bool]]:
     """(item number, share of its words covered, longest run, whether the values are the same too) for each item found."""
     t = template(text, memo)
-    diagonals: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for length, (hashes, numbers, places) in ix.tables.items():
-        at, h = windows(t, length, _plain(length, settings))
+    diagonals: dict[tuple[int, int], tuple[list, list]] = {}  # windows found by template, and by value
+    joins = [(length, windows, _plain(length, settings), table) for length, table in ix.tables.items()]
+    joins += [(length, valued, settings.plain, table) for length, table in ix.by_value.items()]
+    for length, cut, plain, (hashes, numbers, places) in joins:
+        at, h = cut(t, length, plain)
         low = np.searchsorted(hashes, h)
         hit = np.flatnonzero((low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == h))
         for k in hit.tolist():
             j = low[k]
             while j < len(hashes) and hashes[j] == h[k]:
-                diagonals.setdefault((int(numbers[j]), int(at[k] - places[j])), []).append((int(places[j]), length))
+                diagonals.setdefault((int(numbers[j]), int(at[k] - places[j])), ([], []))[cut is valued].append((int(places[j]), length))
                 j += 1
     best: dict[int, tuple[float, int, bool]] = {}
     covered_by: dict[int, set[int]] = {}
-    for (number, shift), found in diagonals.items():
-        item, covered = ix.items[number], sorted({p for place, length in found for p in range(place, place + length)})
-        here = np.array(covered)
-        slots = here[item.slot[here]]
-        if not consistent(item.values[slots], t.values[slots + shift]):
-            continue
+
+    def agreeing(number: int, shift: int, found: list) -> list:
+        """The windows as a list of one, or none if their slots disagree."""
+        here = np.array(sorted({p for place, length in found for p in range(place, place + length)}), dtype=np.int64)
+        slots = here[ix.items[number].slot[here]]
+        return [here] if len(here) and consistent(ix.items[number].values[slots], t.values[slots + shift]) else []
+
+    agreed = []
+    for (number, shift), (by_template, by_value) in diagonals.items():
+        both = agreeing(number, shift, by_template + by_value)
+        if not both and by_value:  # exchanged values in one part, kept ones in another
+            both = agreeing(number, shift, by_template) + agreeing(number, shift, by_value)
+        agreed += [(number, shift, here) for here in both]
+    for number, shift, here in agreed:
+        item, covered = ix.items[number], here.tolist()
         breaks = np.flatnonzero(np.diff(here) > 1)
         run = int(np.diff(np.concatenate([[-1], breaks, [len(here) - 1]])).max())
         same = bool((item.values[here] == t.values[here + shift]).all())
@@ -178,7 +211,7 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings())
     for b in range(blocks):
         items = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").orderBy("item_id", "text").collect()
         ix = index([r["item_id"] for r in items], [r["text"] for r in items], settings)
-        if not ix.tables:
+        if not ix.tables and not ix.by_value:
             continue
 
         def search(batches: Iterator[pd.DataFrame], ix: Index = ix) -> Iterator[pd.DataFrame]:
