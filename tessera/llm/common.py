@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +48,12 @@ class Memo(dict):
         super().__init__()
         self.most = most
 
-    def __missing__(self, token: str) -> int:
-        import xxhash
-
+    def hashed(self, token: str) -> int:
+        """The token's hash, when it is not remembered."""
         if len(self) >= self.most:
             self.clear()
-        value = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+
+    def __missing__(self, token: str) -> int:
+        value = self[token] = self.hashed(token)
         return value

@@ -2,24 +2,30 @@
 
 Texts become sequences of words in which numbers, units after a number, and names (capitalised words that begin no
 sentence) are replaced by placeholders of their type. Windows of the benchmark's templates are hash-joined with those
-of every document; matches on one diagonal (place in the document minus place in the item) are put together, and
-count if their slots agree: one value of the item stands for one value of the document throughout, and the other way
-round. So a copied question is found, and so is one whose numbers and names were exchanged. Windows with few plain
-words (arithmetic, lists of names) say too little as templates; they are joined by the values that stand in the text.
+of every document, as DataFrames. Matches on one diagonal (place in the document minus place in the item) are put
+together into maximal runs whose slots agree: one value of the item stands for one value of the document throughout,
+and two names of the item never for one of the document. Two numbers of the item may become the same one, as they do
+by chance when a question is given other numbers. So a copied question is found, and so is one whose numbers and names
+were exchanged. Windows with few plain words (arithmetic, lists of names) say too little as templates; they are joined
+by the values that stand in the text.
 
-A document matches an item if consistent windows cover `coverage` of the item's words or `run` words on end.
-The benchmark's windows are held in memory in blocks of about `block` windows; each block is one pass over the
-documents, so there is no size at which items are left out.
+A document matches an item if consistent windows cover `coverage` of the item's words or `run` words on end. Of the
+runs of one diagonal that contradict each other the one that covers most counts.
+
+Before the join a bit set of `filter_bits` bits (its size is a parameter and does not grow with the benchmark) drops
+those windows of documents that no item has. Windows that more than `common` items share are joined only for pairs that
+another window has found, unless an item can match by such windows alone; windows that many documents have are salted.
 
 Defined cases: null and empty texts match nothing; items of fewer than `window` words are one window of their own
-length, those without three plain words match nothing; repeated items and documents each give their rows; other
-columns are left as they are.
+length; those of one or two words match only a document that has no other words; items without words match nothing;
+repeated items and documents each give their rows, also under null or equal ids; other columns are left as they are.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,11 +33,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, boxed, mix64
+from tessera.llm.common import Memo, boxed, mix64, stored
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 PLAIN, CAPITAL, NUMBER, BREAK, UNIT = range(5)
-NAME_MARK, NUMBER_MARK, UNIT_MARK = 11, 12, 13
+NAME_SLOT, NUMBER_SLOT, UNIT_SLOT = 1, 2, 3
 
 # Words for numbers, and units of measure.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million".split())
@@ -39,6 +45,9 @@ UNITS = frozenset(
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg t gram grams kilogram kilograms ton tons pound pounds lb lbs ounce ounces oz ml cl l liter liters litre litres gallon gallons cup cups second seconds sec s minute minutes min hour hours h day days week weeks month months year years percent degree degrees dollar dollars usd euro euros eur cent cents mph kmh watt watts w kw kwh volt volts v amp amps joule joules newton newtons hz khz mhz ghz byte bytes kb mb gb tb".split()
 )
 
+SLICE = 1 << 18  # words whose windows are hashed at once
+LONG = 1 << 20  # code points that are canonicalised at once; a longer text goes alone
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -46,7 +55,9 @@ class Settings:
     plain: int = 5  # words of a window that must be no placeholder
     coverage: float = 0.5
     run: int = 13
-    block: int = 200_000
+    filter_bits: int = 26
+    common: int = 64
+    salt: int = 200_000  # matches of one window that meet in a task
 
 
 class Words(Memo):
@@ -63,169 +74,276 @@ class Words(Memo):
             kind = UNIT
         elif token[0].isupper() and token[1:] == low[1:] and len(token) > 1:
             kind = CAPITAL
-        value = self[token] = super().__missing__("\0" + low) & ~7 | kind
-        del self["\0" + low]
+        value = self[token] = self.hashed(low) & ~7 | kind
         return value
 
 
 @dataclass(frozen=True)
 class Template:
-    words: np.ndarray  # hashes, with placeholders
-    values: np.ndarray  # hashes of what stands in the text
-    slot: np.ndarray
-
+    """Words of several texts, one after the other."""
 
-def template(text: str | None, memo: Words) -> Template:
-    t = np.array([memo[w] for w in TOKEN.findall(text)] if text else [], dtype=np.uint64)
+    values: np.ndarray  # hashes of what stands in the text
+    slot: np.ndarray  # kind of placeholder, 0 for none
+    begins: np.ndarray  # place of the first word of each text, and the end
+
+    def words(self) -> np.ndarray:
+        """Hashes with placeholders."""
+        return np.where(self.slot > 0, self.slot.astype(np.uint64) + np.uint64(10), self.values)
+
+
+def template(texts: Sequence[str | None], memo: Words) -> Template:
+    t, sizes = array("Q"), []
+    for text in texts:
+        before = len(t)
+        if text:
+            t.extend(map(memo.__getitem__, TOKEN.findall(text) if len(text) < LONG else (m[0] for m in TOKEN.finditer(text))))
+        sizes.append(len(t) - before)
+    t = np.frombuffer(t, np.uint64) if t else np.zeros(0, np.uint64)
     kind = (t & np.uint64(7)).astype(np.int8)
     stop = kind == BREAK
-    begins = np.concatenate([[True], stop[:-1]])[: len(t)]
-    t, kind, begins = t[~stop], kind[~stop], begins[~stop]
+    ends = np.cumsum([0, *sizes])
+    first = np.concatenate([[True], stop[:-1]])[: len(t)]
+    first[ends[:-1][np.array(sizes, dtype=np.int64) > 0]] = True
+    words = np.concatenate([[0], np.cumsum(~stop)])
+    t, kind, first = t[~stop], kind[~stop], first[~stop]
     after_number = np.concatenate([[False], kind[:-1] == NUMBER])[: len(t)]
-    name, number, unit = (kind == CAPITAL) & ~begins, kind == NUMBER, (kind == UNIT) & after_number
-    values = t >> np.uint64(3)
-    words = np.where(name, np.uint64(NAME_MARK), np.where(number, np.uint64(NUMBER_MARK), np.where(unit, np.uint64(UNIT_MARK), values)))
-    return Template(words, values, name | number | unit)
-
-
-def windows(t: Template, length: int, plain: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows of `length` words that have enough plain words."""
-    n = len(t.words) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    mixed = mix64(t.words)
-    h = np.full(n, length, np.uint64)
-    for k in range(length):
-        h = (h ^ mixed[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(32)
-    slots = np.concatenate([[0], np.cumsum(t.slot)])
-    at = np.flatnonzero(length - (slots[length:] - slots[:-length]) >= plain)
-    return at, h[at]
-
-
-def valued(t: Template, length: int, plain: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes, by values, of the windows that have fewer than `plain` plain words."""
-    if len(t.words) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    slots = np.concatenate([[0], np.cumsum(t.slot)])
-    at = np.flatnonzero(length - (slots[length:] - slots[:-length]) < plain)
-    h = np.full(len(at), length, np.uint64)
-    for k in range(length if len(at) else 0):
-        h = (h ^ mix64(t.values[at + k])) * np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(32)
-    return at, h
-
-
-def _plain(length: int, settings: Settings) -> int:
-    return settings.plain if length == settings.window else min(settings.plain, max(3, length - 2))
-
-
-@dataclass(frozen=True)
-class Index:
-    """Templates of benchmark items and, for each window length, their windows in the order of the hash; by_value: those joined by values."""
-
-    ids: list
-    items: list[Template]
-    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    by_value: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-
-
-def index(ids: list, texts: list[str | None], settings: Settings) -> Index:
-    memo = Words()
-    items = [template(t, memo) for t in texts]
-    parts: dict[int, list] = {}
-    dense: dict[int, list] = {}
-    for i, t in enumerate(items):
-        length = min(settings.window, len(t.words))
-        at, h = windows(t, length, _plain(length, settings)) if length >= 3 else ((), ())
-        if len(at):
-            parts.setdefault(length, []).append((h, np.full(len(at), i), at))
-        if length == settings.window:
-            # the first word may be a placeholder in a document, where another word comes before it
-            at, h = valued(Template(t.words, t.values, np.concatenate([[True], t.slot[1:]])), length, settings.plain)
-            if len(at):
-                dense.setdefault(length, []).append((h, np.full(len(at), i), at))
-
-    def ordered(p: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h, i, at = (np.concatenate(x) for x in zip(*p))
-        order = np.argsort(h, kind="stable")
-        return h[order], i[order], at[order]
-
-    return Index(ids, items, {k: ordered(p) for k, p in parts.items()}, {k: ordered(p) for k, p in dense.items()})
-
-
-def consistent(item: np.ndarray, doc: np.ndarray) -> bool:
-    """Whether equal values stand for equal values, both ways."""
-    forward, backward = {}, {}
-    return all(forward.setdefault(a, b) == b and backward.setdefault(b, a) == a for a, b in zip(item.tolist(), doc.tolist()))
-
-
-def matches(text: str | None, ix: Index, memo: Words, settings: Settings) -> list[tuple[int, float, int, bool]]:
-    """(item number, share of its words covered, longest run, whether the values are the same too) for each item found."""
-    t = template(text, memo)
-    diagonals: dict[tuple[int, int], tuple[list, list]] = {}  # windows found by template, and by value
-    joins = [(length, windows, _plain(length, settings), table) for length, table in ix.tables.items()]
-    joins += [(length, valued, settings.plain, table) for length, table in ix.by_value.items()]
-    for length, cut, plain, (hashes, numbers, places) in joins:
-        at, h = cut(t, length, plain)
-        low = np.searchsorted(hashes, h)
-        hit = np.flatnonzero((low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == h))
-        for k in hit.tolist():
-            j = low[k]
-            while j < len(hashes) and hashes[j] == h[k]:
-                diagonals.setdefault((int(numbers[j]), int(at[k] - places[j])), ([], []))[cut is valued].append((int(places[j]), length))
-                j += 1
-    best: dict[int, tuple[float, int, bool]] = {}
-    covered_by: dict[int, set[int]] = {}
-
-    def agreeing(number: int, shift: int, found: list) -> list:
-        """The windows as a list of one, or none if their slots disagree."""
-        here = np.array(sorted({p for place, length in found for p in range(place, place + length)}), dtype=np.int64)
-        slots = here[ix.items[number].slot[here]]
-        return [here] if len(here) and consistent(ix.items[number].values[slots], t.values[slots + shift]) else []
-
-    agreed = []
-    for (number, shift), (by_template, by_value) in diagonals.items():
-        both = agreeing(number, shift, by_template + by_value)
-        if not both and by_value:  # exchanged values in one part, kept ones in another
-            both = agreeing(number, shift, by_template) + agreeing(number, shift, by_value)
-        agreed += [(number, shift, here) for here in both]
-    for number, shift, here in agreed:
-        item, covered = ix.items[number], here.tolist()
-        breaks = np.flatnonzero(np.diff(here) > 1)
-        run = int(np.diff(np.concatenate([[-1], breaks, [len(here) - 1]])).max())
-        same = bool((item.values[here] == t.values[here + shift]).all())
-        every = covered_by.setdefault(number, set())
-        every.update(covered)
-        _, longest, exact = best.get(number, (0.0, 0, False))
-        best[number] = (len(every) / len(item.words), max(run, longest), same or exact)
-    return [(n, c, r, e) for n, (c, r, e) in sorted(best.items()) if c >= settings.coverage or r >= settings.run]
+    begins = words[ends]
+    after_number[begins[:-1][begins[:-1] < len(t)]] = False
+    slot = np.where((kind == CAPITAL) & ~first, NAME_SLOT, np.where(kind == NUMBER, NUMBER_SLOT, np.where((kind == UNIT) & after_number, UNIT_SLOT, 0))).astype(np.int8)
+    return Template(t >> np.uint64(3), slot, begins)
+
+
+def windows(t: Template, length: int, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (among all words) and hashes of the windows of `length` words that lie in one text: of the template, or of the values where plain words are few."""
+    plain = settings.plain if length == settings.window else min(settings.plain, max(3, length - 2))
+    number = np.searchsorted(t.begins, np.arange(len(t.values)), side="right") if length > 1 else None
+    words, whole = t.words(), np.diff(t.begins)
+    for low in range(0, max(0, len(words) - length + 1), SLICE):
+        n = min(SLICE, len(words) - length + 1 - low)
+        if length < 3:  # only texts that have no other words
+            starts = t.begins[:-1][whole == length]
+            at = starts[(starts >= low) & (starts < low + n)] - low
+        else:
+            at = np.flatnonzero(number[low : low + n] == number[low + length - 1 : low + length - 1 + n])
+        slots = np.concatenate([[0], np.cumsum(t.slot[low : low + n + length - 1] > 0)])
+        dense = length - (slots[at + length] - slots[at]) < plain
+        h = np.where(dense, np.uint64(64 + length), np.uint64(length))
+        by_word, by_value = mix64(words[low : low + n + length - 1]), mix64(t.values[low : low + n + length - 1])
+        for k in range(length):
+            h = (h ^ np.where(dense, by_value[at + k], by_word[at + k])) * np.uint64(0x9FB21C651E98DF25)
+            h ^= h >> np.uint64(32)
+        yield at + low, h
+
+
+def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter that a window sets."""
+    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+WINDOW = "hash long, item long, place int, length int, words int, slots binary, item_values binary"
+
+
+def item_windows(benchmark: DataFrame, settings: Settings) -> DataFrame:
+    """The windows of each distinct text of the benchmark; item: the text's hash."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = Words()
+        for b in batches:
+            out = []
+            for item, text in zip(b["item"], b["text"]):
+                t = template([text], memo)
+                n = len(t.values)
+                if not n:
+                    continue
+                length = min(settings.window, n)
+                forms = [t]
+                if not t.slot[0] and text.lstrip(" \n\t.!?:\"'([")[:1].isupper():  # where other words come before it, it looks like a name
+                    forms.append(Template(t.values, np.concatenate([[NAME_SLOT], t.slot[1:]]).astype(np.int8), t.begins))
+                low = t.values.astype(np.uint32)
+                for k, form in enumerate(forms):
+                    for at, h in windows(form, length, settings):
+                        at, h = (at, h) if not k else (at[at == 0], h[at == 0])
+                        out += [(hash_, item, p, length, n, form.slot[p : p + length].tobytes(), low[p : p + length].tobytes()) for p, hash_ in zip(at.tolist(), h.view(np.int64).tolist())]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOW.split(", ")])
+
+    texts = benchmark.select("text").where(F.length("text") > 0).distinct()
+    return texts.select(F.xxhash64("text").alias("item"), "text").mapInPandas(cut, WINDOW).dropDuplicates(["hash", "item", "place", "slots"])
+
+
+def window_filter(cut: DataFrame, bits: int) -> np.ndarray:
+    """The bit set of all windows, 2^bits bits: what comes to the driver is bounded by that."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = np.unique(np.concatenate(_bits(b["hash"].to_numpy().view(np.uint64), bits)))
+            yield pd.DataFrame({"at": at})
+
+    out = np.zeros(1 << bits, bool)
+    marked = cut.select("hash").mapInPandas(mark, "at long")
+    words = marked.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("set")).toArrow()
+    if words.num_rows:
+        word, held = words["word"].to_numpy(), words["set"].to_numpy().view(np.uint64)
+        for k in range(64):
+            out[word[(held >> np.uint64(k)) & np.uint64(1) > 0] * 64 + k] = True
+    return np.packbits(out, bitorder="little")
+
+
+def _in_filter(held: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
+    a, b = _bits(h, bits)
+    return (held[a >> 3] >> (a & 7).astype(np.uint8) & 1 > 0) & (held[b >> 3] >> (b & 7).astype(np.uint8) & 1 > 0)
+
+
+def _batches(texts: pd.Series) -> Iterator[range]:
+    """Ranges of texts that are canonicalised together."""
+    low, size = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text) if text else 0
+        if size and size + n > LONG:
+            yield range(low, i)
+            low, size = i, 0
+        size += n
+    yield range(low, len(texts))
+
+
+def document_windows(docs: DataFrame, held: np.ndarray, lengths: list[int], settings: Settings) -> DataFrame:
+    """The windows of documents (_h1, _h2, text) that pass the filter, equal texts once: _h1, _h2, hash, at, doc_values."""
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memo = Words()
+        for b in batches:
+            one, two, texts = b["_h1"].to_numpy(), b["_h2"].to_numpy(), b["text"].tolist()
+            for part in _batches(texts):
+                t = template([texts[i] for i in part], memo)
+                low = t.values.astype(np.uint32)
+                for length in lengths:
+                    for at, h in windows(t, length, settings):
+                        hit = _in_filter(held, h, settings.filter_bits)
+                        if hit.any():
+                            at, h = at[hit], h[hit]
+                            of = np.searchsorted(t.begins, at, side="right") - 1
+                            values = low[at[:, None] + np.arange(length)]
+                            yield pd.DataFrame({"_h1": one[part.start + of], "_h2": two[part.start + of], "hash": h.view(np.int64), "at": (at - t.begins[of]).astype(np.int32), "doc_values": [v.tobytes() for v in values]})
+
+    found = docs.mapInPandas(search, "_h1 long, _h2 long, hash long, at int, doc_values binary")
+    return found.dropDuplicates(["_h1", "_h2", "hash", "at"])
+
+
+Match = tuple[int, int, int, bytes, np.ndarray, np.ndarray]  # at, place, length, slots, the item's values, the document's
+
+
+def agrees(m: Match, forward: dict, backward: dict) -> bool:
+    """Whether the window's slots agree with the values seen so far, which take them up if so."""
+    _, _, _, slots, item, doc = m
+    seen, back = {}, {}
+    for kind, a, b in zip(slots, item.tolist(), doc.tolist()):
+        if kind and forward.get(a, seen.setdefault(a, b)) != b or a in seen and seen[a] != b:
+            return False
+        if kind == NAME_SLOT and (backward.get(b, back.setdefault(b, a)) != a or back.get(b, a) != a):
+            return False
+    forward.update(seen)
+    backward.update(back)
+    return True
+
+
+def runs(found: list[Match]) -> list[list[Match]]:
+    """The maximal runs of these windows of one diagonal, in the order of their places, whose slots agree."""
+    found = [m for m in found if agrees(m, {}, {})]
+    out, start, forward, backward = [], 0, {}, {}
+    for k, m in enumerate(found):
+        if not agrees(m, forward, backward):
+            out.append(found[start:k])
+            forward, backward, start = {}, {}, k
+            agrees(m, forward, backward)
+            while start and agrees(found[start - 1], forward, backward):
+                start -= 1
+    return [*out, found[start:]] if found else []
+
+
+def judged(found: list[Match], words: int) -> tuple[float, int, bool]:
+    """Share of the item's words covered, longest run of words, and whether a run has all the item's values."""
+    diagonals: dict[int, list[Match]] = {}
+    for m in sorted(found, key=lambda m: (m[1], m[0])):
+        diagonals.setdefault(m[0] - m[1], []).append(m)
+    covered, longest, verbatim = set(), 0, False
+    for these in diagonals.values():
+        best: list[int] = []
+        for run in runs(these):
+            places = sorted({p for _, place, length, *_ in run for p in range(place, place + length)})
+            breaks = np.flatnonzero(np.diff(places) > 1)
+            longest = max(longest, int(np.diff(np.concatenate([[-1], breaks, [len(places) - 1]])).max()))
+            verbatim |= all((item == doc).all() for *_, item, doc in run)
+            best = max(best, places, key=len)
+        covered.update(best)
+    return len(covered) / words, longest, verbatim
+
+
+def _verdicts(settings: Settings):
+    @F.pandas_udf("coverage double, longest_run int, verbatim boolean")
+    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        values = lambda x: np.frombuffer(x, np.uint32)
+        for every, sizes in batches:
+            rows = [judged([(m["at"], m["place"], m["length"], m["slots"], values(m["item_values"]), values(m["doc_values"])) for m in ms], n) for ms, n in zip(every, sizes)]
+            yield pd.DataFrame(rows, columns=["coverage", "longest_run", "verbatim"])
+
+    return judge
+
+
+def held_texts(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """_h1, _h2 (the hashes of a text of docs), item (an item's text hash), coverage, longest_run, verbatim of every match."""
+    schema = "_h1 long, _h2 long, item long, coverage double, longest_run int, verbatim boolean"
+    cut = stored(item_windows(benchmark, settings), "windows")
+    lengths = sorted(r["length"] for r in cut.select("length").distinct().collect())  # `window` numbers at most
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], schema)
+    hits = stored(document_windows(docs.select("_h1", "_h2", "text"), window_filter(cut, settings.filter_bits), lengths, settings), "hits")
+
+    total = hits.count()
+    most = max(settings.salt, total // 10_000)
+    hot = hits.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > most).select("hash", F.ceil(F.col("n") / most).cast("int").alias("salts"))  # 10,000 rows at most
+    hot = stored(hot, "hot")
+    salted = hits.join(F.broadcast(hot), "hash", "left").withColumn("salt", F.pmod(F.xxhash64("_h1", "at"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    spread = lambda w: w.join(F.broadcast(hot), "hash", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1))).drop("salts")
+
+    shared = stored(cut.groupBy("hash").agg(F.count_distinct("item").alias("items")).where(F.col("items") > settings.common).select("hash"), "shared")
+    if shared.isEmpty():
+        matched = salted.join(spread(cut), ["hash", "salt"])
+    else:
+        common = cut.join(shared, "hash", "left_semi")
+        enough = F.pandas_udf(lambda places, lengths, words: pd.Series([_can_match(p, n, w, settings) for p, n, w in zip(places, lengths, words)], dtype=bool), "boolean")
+        alone = common.groupBy("item").agg(F.collect_list("place").alias("p"), F.collect_list("length").alias("l"), F.first("words").alias("w")).where(enough("p", "l", "w")).select("item")
+        alone = stored(alone, "alone")
+        rest = common.join(alone, "item", "left_anti")
+        matched = stored(salted.join(spread(cut.join(shared, "hash", "left_anti").unionByName(common.join(alone, "item", "left_semi"))), ["hash", "salt"]).drop("salt"), "matched")
+        pairs = matched.select("_h1", "_h2", "item").distinct()
+        matched = matched.unionByName(pairs.join(rest, "item").join(hits, ["_h1", "_h2", "hash"]))
+    listed = F.collect_list(F.struct("at", "place", "length", "slots", "item_values", "doc_values"))
+    found = matched.groupBy("_h1", "_h2", "item").agg(listed.alias("found"), F.first("words").alias("words"))
+    found = found.select("_h1", "_h2", "item", _verdicts(settings)("found", "words").alias("v")).select("_h1", "_h2", "item", "v.*")
+    return found.where((F.col("coverage") >= settings.coverage) | (F.col("longest_run") >= settings.run))
+
+
+def _can_match(places: np.ndarray, lengths: np.ndarray, words: int, settings: Settings) -> bool:
+    """Whether these windows of an item are enough for a match."""
+    covered = np.zeros(words + 1, np.int8)
+    for p, n in zip(places, lengths):
+        covered[p : p + n] = 1
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], covered])))
+    longest = int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
+    return covered.sum() >= settings.coverage * words or longest >= settings.run
+
+
+def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*columns, F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), F.col("text")).alias("_h2"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, coverage, longest_run, verbatim."""
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (4 * settings.block)))  # a window begins at a word, words have four letters or more on average
-    schema = "doc_id long, item_id long, coverage double, longest_run int, verbatim boolean"
-    out = None
-    for b in range(blocks):
-        items = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").orderBy("item_id", "text").collect()
-        ix = index([r["item_id"] for r in items], [r["text"] for r in items], settings)
-        if not ix.tables and not ix.by_value:
-            continue
-
-        def search(batches: Iterator[pd.DataFrame], ix: Index = ix) -> Iterator[pd.DataFrame]:
-            memo = Words()
-            for d in batches:
-                rows = [(doc, ix.ids[n], c, r, e) for doc, t in zip(d["doc_id"], d["text"]) for n, c, r, e in matches(t, ix, memo, settings)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage", "longest_run", "verbatim"])
-
-        found = docs.select("doc_id", "text").mapInPandas(search, schema)
-        out = found if out is None else out.unionByName(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    found = stored(held_texts(_hashed(docs, "text"), benchmark, settings), "found")
+    items = benchmark.select("item_id", F.xxhash64("text").alias("item"))
+    return _hashed(docs, "doc_id").join(found, ["_h1", "_h2"]).join(items, "item").select("doc_id", "item_id", "coverage", "longest_run", "verbatim")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The documents that hold no benchmark item, all columns as they were. Rows with a null id are judged by nothing and stay."""
-    held = find(docs, benchmark, settings).select(F.col("doc_id").alias("_held")).distinct()
-    return boxed(docs, "doc_id").join(held, F.col("doc_id") == F.col("_held"), "left_anti").select("row.*")
+    """The documents that hold no benchmark item, all columns as they were; judged by their text, so null and repeated ids too."""
+    held = stored(held_texts(_hashed(docs, "text"), benchmark, settings).select("_h1", "_h2").distinct(), "held")
+    return _hashed(boxed(docs, "text"), "row").join(held, ["_h1", "_h2"], "left_anti").select("row.*")

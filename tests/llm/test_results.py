@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessera.llm import decontaminate, fingerprint, mixing, near_duplicates, pages, pii, sharding
+from tessera.llm import fingerprint, mixing, near_duplicates, pages, pii, sharding
 from tessera.llm.common import Memo
 from tessera.llm.queries import QUERIES
 
@@ -330,35 +330,6 @@ def test_decontaminate(spark, texts):
     assert found == {(d, i) for d, text in texts.items() for i, item in items.items() if item in text}
 
 
-def test_exchanged_slots():
-    item = "a farmer has 12 apples and gives 5 apples to his friend Maria before lunch today"
-    ix = decontaminate.index([1], [item], decontaminate.Settings())
-    find = lambda text: decontaminate.matches(text, ix, decontaminate.Words(), decontaminate.Settings())
-    assert find("Now: a farmer has 70 apples and gives 31 apples to his friend Peter before lunch today")[0][3] is False
-    assert find(item)[0][3] is True
-    assert not find("nothing of this kind is in here at all, it is another text about farmers and apples")
-    twice = "he pays 3 coins for milk and then he pays 3 coins for bread at the old market"
-    ix = decontaminate.index([1], [twice], decontaminate.Settings())
-    assert find(twice.replace("3", "9")) and not find("he pays 3 coins for milk and then he pays 4 coins for bread at the old market")
-
-
-def test_dense_items():
-    items = ["12 plus 7 is 19 and 19 minus 4 is 15 and 15 plus 8 is 23", "The guests were Anna Berta Clara Dora Emma Frida Greta Hanna Ida and Julia", "Born 4 May 1871 in Riga, died 1930"]
-    ix = decontaminate.index([1, 2, 3], items, decontaminate.Settings())
-    find = lambda text: [n for n, *_ in decontaminate.matches(text, ix, decontaminate.Words(), decontaminate.Settings())]
-    for n, item in enumerate(items):
-        assert find(item) == [n] and find(f"some words before it {item} and some after it") == [n]
-    assert not find("13 plus 9 is 22 and 22 minus 5 is 17 and 17 plus 2 is 19")
-    assert not find("The guests were Karl Otto Paul Max Hugo Ernst Fritz Hans Kurt and Emil")
-
-
-def test_dense_part_takes_no_match_away():
-    item = "a farmer has 12 apples and gives 5 apples to his friend before lunch today then he adds 7 and 9 and 4 and 12 and 5"
-    ix = decontaminate.index([1], [item], decontaminate.Settings())
-    text = item.replace("12 apples", "70 apples").replace("5 apples", "31 apples")
-    assert decontaminate.matches(text, ix, decontaminate.Words(), decontaminate.Settings())
-
-
 def test_memo_forgets():
     memo = Memo(3)
     values = {w: memo[w] for w in "abcdef"}
