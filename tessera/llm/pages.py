@@ -1,15 +1,22 @@
 """Main text of raw web pages by nearest-URL page differencing.
 
-1. Each page is cut into lines (the text of one block). What markup names as no main text is dropped: scripts,
+1. Each page is cut into lines (the text of one block). What markup names as no main text is no line: scripts,
    styles, forms, menus, headers, footers, sidebars, and elements that have a word of FURNITURE as a class, id or
    role. A form, header or element so named that contains an article or main element is a wrapper and not dropped,
-   unless it lies within an article itself; nor do ids of sections and headings count there.
-   Lines inside an article or main element are marked as such.
+   unless it lies within an article itself. Within an article names count less: paragraphs, headings, list items and
+   cells go only by the words of ADVERTS, other elements also by those of FURNITURE, and what is named by a word of
+   DOUBTFUL there stays a line, marked as doubtful. Lines in an article or main element are marked with it.
 2. Pages of one host are put in the order of their URL paths; each page is paired with its nearest one before and
-   after. Their lines outside an article are aligned by longest common subsequence, and shared lines deleted. If
-   that would delete almost all of them (COPY) the two are copies of one page, and that pair deletes nothing.
-3. A page with an article element keeps its article lines; other lines count only on pages that have none, for
-   there the differencing is the only evidence. Within an article shared lines stay: they are quotations.
+   after. All their lines are aligned by longest common subsequence. If almost all of a page is shared (COPY) the two
+   are copies of one page and that pair deletes nothing; if both pairs are such, what all three share is deleted,
+   unless nothing were left.
+3. Shared lines are deleted, with one exception: those of an article or main element that are not doubtful are kept as
+   quotations, but for those at its beginning and end that are mostly links and stand there on both neighbours (no
+   copies) too, in that order: these belong to the site. Plain lines there stay, as nothing but menus, notices and
+   the like may be dropped from an article.
+4. Of what is left the marked lines are the text if they are at least half of it, or if there was no page to compare
+   with; else the marks say nothing and all lines left are the text. An article much shorter than the longest one
+   (CARD) that is mostly links, or named by a word of CARDS, is a teaser of another page and goes.
 
 Defined cases: null html gives the empty text; a null or odd URL is a
 host of its own text; a host's only page is paired with none; repeated rows each get a row, with equal texts;
@@ -38,30 +45,49 @@ from tessera.llm.common import partitions, stored
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg select option canvas audio video xmp noembed noframes".split())
 WRAPPERS = frozenset("form fieldset".split())
-DROPPED = RAW | frozenset("head nav footer aside form button dialog menu fieldset label".split())
+DROPPED = RAW | frozenset("head nav footer aside form button dialog menu fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr object math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics annotation".split())
 MAIN = frozenset(("article", "main"))
-NAMED = frozenset("section h1 h2 h3 h4 h5 h6".split())
-FURNITURE = re.compile(
-    r"(?<!\S)(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|sidebar|side|aside|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|comment|comments|commentlist|respond|disqus|reply|replies|related|recommended|pagination|pager|toolbar|widget|skip|contentinfo|complementary|search)(?:[_-]?\d+)?(?!\S)",
-    re.I,
-)
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote li dt dd td th pre caption figcaption".split())
+ADVERTS = "ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|cookie|cookies|consent|gdpr|newsletter"
+MENUS = "notice|alert|banner|sidebar|aside|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|masthead|footer|popup|modal|overlay|subscribe|subscription|signup|login|share|sharing|social|comment|comments|commentlist|respond|disqus|reply|replies|related|recommended|pagination|pager|toolbar|contentinfo|complementary"
+DOUBTFUL = "side|header|widget|skip|search"
+CARDS = "card|teaser|preview|excerpt|summary|promo|related|recommended"
+
+
+def _words(words: str) -> re.Pattern:
+    """Any of the words as a whole one, with a number behind it or not."""
+    return re.compile(rf"(?<!\S)(?:{words})(?:[_-]?\d+)?(?!\S)", re.I)
+
+
+ADVERT, MENU, DOUBT, TEASER = _words(ADVERTS), _words(f"{ADVERTS}|{MENUS}"), _words(DOUBTFUL), _words(CARDS)
+FURNITURE = _words(f"{ADVERTS}|{MENUS}|{DOUBTFUL}")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^<]+|<)", re.S)
 MARKS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
 ROLE_MAIN = re.compile(r"role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody", re.I)
 COPY = 0.8
+CARD = 0.25
+LINKED = 1 / 3
+START, END = (1 << 63) - 2, (1 << 63) - 1
+KEPT, DOUBTED, UNWANTED = range(3)
 
 
-def _unwanted(tag: str, attributes: str, in_main: bool) -> bool:
+def _judged(tag: str, attributes: str, in_main: bool) -> int:
+    """Whether markup names an element as no main text."""
     if tag in DROPPED or tag == "header" and not in_main:
-        return True
+        return UNWANTED
     if tag in ("html", "body", *MAIN) or not attributes:
-        return False
-    marks = (m.groups() for m in MARKS.finditer(attributes))
-    named = (next(x for x in values if x is not None) for name, *values in marks if not (in_main and tag in NAMED and name.lower() == "id"))
-    return any(FURNITURE.search(x) for x in named) or bool(HIDDEN.search(attributes))
+        return KEPT
+    if HIDDEN.search(attributes):
+        return UNWANTED
+    marks = [next(x for x in m.groups()[1:] if x is not None) for m in MARKS.finditer(attributes)]
+    if not in_main:
+        return UNWANTED if any(FURNITURE.search(x) for x in marks) else KEPT
+    if any((ADVERT if tag in TEXTUAL else MENU).search(x) for x in marks) and not (tag == "section" and "id" in attributes and "class" not in attributes):
+        return UNWANTED
+    return DOUBTED if tag not in TEXTUAL and any(DOUBT.search(x) for x in marks) else KEPT
 
 
 @dataclass(eq=False)
@@ -70,28 +96,43 @@ class Element:
 
     tag: str
     dropped: bool
-    main: bool
+    region: int  # number of the article or main element that it is, or 0
     movable: bool
+    doubted: bool
 
 
-def lines(page: str | None) -> tuple[list[str], list[bool]]:
-    """The page's lines in order, and whether each lies in an article or main element."""
-    found: list[tuple[list[tuple[str, tuple[Element, ...]]], bool]] = []  # parts with the elements that may drop them, inside
-    parts: list[tuple[str, tuple[Element, ...]]] = []
+@dataclass
+class Line:
+    text: str
+    region: int  # the innermost article or main element, 0 for none
+    doubted: bool
+    linked: int  # code points in links
+    card: bool  # whether the region's name is that of a teaser
+
+
+def lines(page: str | None) -> list[Line]:
+    """The page's lines in order."""
+    found: list[tuple[list[tuple[str, bool, tuple[Element, ...]]], int, bool]] = []  # parts with the elements that may drop them
+    parts: list[tuple[str, bool, tuple[Element, ...]]] = []
     stack: list[Element] = []
     blocking: list[Element] = []
-    main = 0
+    regions: list[int] = [0]
+    cards: set[int] = set()
+    count = doubted = links = 0
 
     def flush() -> None:
         if parts:
-            found.append((parts.copy(), main > 0))
+            found.append((parts.copy(), regions[-1], doubted > 0))
             parts.clear()
 
     def close(to: int) -> None:
-        nonlocal main
+        nonlocal doubted, links
         while len(stack) > to:
             e = stack.pop()
-            main -= e.main
+            doubted -= e.doubted
+            links -= e.tag == "a"
+            if e.region:
+                regions.pop()
             if blocking and blocking[-1] is e:
                 blocking.pop()
 
@@ -101,14 +142,14 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
         closing, tag, attributes, text = m.groups()
         if text is not None:
             if not blocking or all(e.movable for e in blocking):
-                parts.append((text, tuple(blocking)))
+                parts.append((text, links > 0, tuple(blocking)))
             continue
         if tag is None:
             continue
         tag = tag.lower()
         if tag not in INLINE:
             if tag == "br":
-                parts.append(("\n", ()))
+                parts.append(("\n", False, ()))
             else:
                 flush()
         if closing:
@@ -125,19 +166,30 @@ def lines(page: str | None) -> tuple[list[str], list[bool]]:
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1].tag == tag:
             close(len(stack) - 1)
         is_main = tag in MAIN or bool(attributes and ROLE_MAIN.search(attributes))
-        unwanted = not is_main and _unwanted(tag, attributes, main > 0)
-        if is_main and all(e.movable for e in blocking):
-            for e in blocking:
-                e.dropped = False
-            blocking.clear()
-        e = Element(tag, unwanted, is_main, not main and (tag in WRAPPERS or tag not in DROPPED))
+        judged = KEPT if is_main else _judged(tag, attributes, len(regions) > 1)
+        if is_main:
+            if all(e.movable for e in blocking):
+                for e in blocking:
+                    e.dropped = False
+                blocking.clear()
+            count += 1
+            regions.append(count)
+            if any(TEASER.search(next(x for x in m.groups()[1:] if x is not None)) for m in MARKS.finditer(attributes or "")):
+                cards.add(count)
+        e = Element(tag, judged == UNWANTED, count if is_main else 0, len(regions) == 1 and (tag in WRAPPERS or tag not in DROPPED), judged == DOUBTED)
         stack.append(e)
-        main += is_main
-        if unwanted:
+        doubted += e.doubted
+        links += tag == "a"
+        if e.dropped:
             blocking.append(e)
     flush()
-    texts = [(" ".join(references.unescape("".join(t for t, drop in line if not any(e.dropped for e in drop))).split()), m) for line, m in found]
-    return [t for t, _ in texts if t], [m for t, m in texts if t]
+    out = []
+    for every, region, doubt in found:
+        kept = [(t, link) for t, link, drop in every if not any(e.dropped for e in drop)]
+        text = " ".join(references.unescape("".join(t for t, _ in kept)).split())
+        if text:
+            out.append(Line(text, region, doubt, min(len(text), sum(len(t) for t, link in kept if link)), region in cards))
+    return out
 
 
 def common(a: list[int], b: list[int]) -> set[int]:
@@ -170,21 +222,76 @@ def common(a: list[int], b: list[int]) -> set[int]:
     return shared
 
 
-def main_text(texts: list[str], inside: list[bool], hashes: list[int], neighbours: list[list[int]]) -> str:
-    """The page's text; hashes: of its lines outside an article, neighbours: those of the pages it is paired with."""
-    if any(inside):
-        return " ".join(t for t, m in zip(texts, inside) if m)
-    gone: set[int] = set()
-    for other in neighbours:
-        shared = common(hashes, other)
-        if sum(len(texts[i]) for i in shared) < COPY * sum(map(len, texts)):
-            gone |= shared
-    return " ".join(t for i, t in enumerate(texts) if i not in gone)
-
-
-def _hashes(texts: list[str], inside: list[bool]) -> list[int]:
-    """Signed 64-bit hashes of the lines outside an article."""
-    return [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, m in zip(texts, inside) if not m]
+def _linked(line: Line) -> bool:
+    return 2 * line.linked >= len(line.text)
+
+
+def _at_edge(inside: list[int], neighbour: list[int]) -> int:
+    """How many of these lines (of one article, from its beginning) begin an article of the neighbour as well."""
+    most = 0
+    for j, x in enumerate(neighbour):
+        if x == START:
+            k = 0
+            while k < len(inside) and j + 1 + k < len(neighbour) and inside[k] == neighbour[j + 1 + k]:
+                k += 1
+            most = max(most, k)
+    return most
+
+
+def _deleted(page: list[Line], hashes: list[int], neighbours: list[list[int]]) -> set[int]:
+    """Places of the lines that differencing deletes; neighbours as sequence() gives them."""
+    total = sum(len(x.text) for x in page)
+    shared = [common(hashes, [h for h in other if h not in (START, END)]) for other in neighbours]
+    copies = [sum(len(page[i].text) for i in places) >= COPY * total for places in shared]
+    every = set.intersection(*shared) if len(shared) > 1 else set()
+    if shared and all(copies):
+        gone = every if len(every) < len(page) else set()
+    else:
+        gone = set().union(*(places for places, copy in zip(shared, copies) if not copy))
+    out = {i for i in gone if not page[i].region or page[i].doubted}
+    if len(shared) > 1 and not any(copies):
+        mirrored = [[{START: END, END: START}.get(h, h) for h in reversed(other)] for other in neighbours]
+        for region in {x.region for x in page} - {0}:
+            inside = [i for i, x in enumerate(page) if x.region == region]
+            own = [hashes[i] for i in inside]
+            first, last = (min(_at_edge(o, other) for other in others) for o, others in ((own, neighbours), (own[::-1], mirrored)))
+            if first + last < len(inside):  # the whole is no edge of it
+                out.update(i for i in (*inside[:first], *inside[len(inside) - last :]) if _linked(page[i]))
+    return out
+
+
+def main_text(page: list[Line], neighbours: list[list[int]]) -> str:
+    """The page's text; neighbours: the sequences of the pages it is paired with."""
+    gone = _deleted(page, _hashes(page), neighbours)
+    left = [x for i, x in enumerate(page) if i not in gone]
+    mass: dict[int, int] = {}
+    for x in left:
+        mass[x.region] = mass.get(x.region, 0) + len(x.text)
+    most = max((n for region, n in mass.items() if region), default=0)
+    marked = sum(mass.values()) - mass.get(0, 0)
+    if most and (not neighbours or marked >= mass.get(0, 0)):
+        linked: dict[int, int] = {}
+        for x in left:
+            linked[x.region] = linked.get(x.region, 0) + x.linked
+        small = {x.region for x in left if mass[x.region] < CARD * most and (x.card or linked[x.region] >= LINKED * mass[x.region])}
+        left = [x for x in left if x.region and x.region not in small]
+    return " ".join(x.text for x in left)
+
+
+def _hashes(page: list[Line]) -> list[int]:
+    """Signed 64-bit hashes of the lines; two values are left for marks."""
+    return [xxhash.xxh64_intdigest(x.text.encode("utf-8", "surrogatepass")) % ((1 << 64) - 2) - (1 << 63) for x in page]
+
+
+def sequence(page: list[Line]) -> list[int]:
+    """The hashes of the lines, with START and END where an article or main element begins and ends."""
+    out, region = [], 0
+    for x, h in zip(page, _hashes(page)):
+        if x.region != region:
+            out += [END] * (region > 0) + [START] * (x.region > 0)
+            region = x.region
+        out.append(h)
+    return out + [END] * (region > 0)
 
 
 @dataclass
@@ -198,11 +305,11 @@ class Page:
     copies: int = 1
 
     def __post_init__(self) -> None:
-        self.lines, self.inside = lines(self.html)
-        self.hashes = _hashes(self.lines, self.inside)
+        self.lines = lines(self.html)
+        self.hashes = sequence(self.lines)
 
     def text(self, *neighbours: list[int] | None) -> str:
-        return main_text(self.lines, self.inside, self.hashes, [n for n in neighbours if n is not None])
+        return main_text(self.lines, [n for n in neighbours if n is not None])
 
 
 def _packed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

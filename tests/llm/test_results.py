@@ -220,9 +220,8 @@ def test_differencing_without_an_article(spark):
     assert found[9].startswith("Site name")
 
 
-def _kept(page):
-    found, inside = pages.lines(page)
-    return pages.main_text(found, inside, [], [])
+def _kept(page, *neighbours):
+    return pages.main_text(pages.lines(page), [pages.sequence(pages.lines(n)) for n in neighbours])
 
 
 def test_furniture_words_keep_the_article():
@@ -237,6 +236,57 @@ def test_furniture_words_keep_the_article():
     assert _kept("<div class='ad'>Buy</div><div class='sidebar'>Links</div><p>Body</p>") == "Body"
 
 
+def test_names_inside_an_article():
+    article = "<article><h1 id='search'>One</h1><p class='related'>Two</p><p class='alert'>Three</p><div class='side note'>Four</div><p>Let <math><mi>x</mi></math> be <label>five</label></p>{}</article>"
+    assert _kept(article.format("")) == "One Two Three Four Let x be five"
+    assert _kept(article.format("<p class='ad'>Buy</p><div class='comments'><p>First!</p></div>")) == "One Two Three Four Let x be five"
+    assert _kept(article.format("<div class='side'>More of us</div>"), "<article><div class='side'>More of us</div><p>Other</p></article>") == "One Two Three Four Let x be five"
+
+
+SITE = "<body><div>Site name</div><div>Home</div>{}<div>All rights reserved</div></body>"
+
+
+def _story(k, body, first="", last=""):
+    return SITE.format(f"<article>{first}<h1>Story {k}</h1><p>{k} begins here and is long enough to matter for the share of words</p>{body}<p>It ends with {k} words</p>{last}</article>")
+
+
+def test_differencing_inside_an_article():
+    site = {"first": "<p><a href='/'>You read the daily page</a></p>", "last": "<ul><li><a href='/f'>Tell your friends</a></li><li><a href='/t'>about us</a></li></ul>"}
+    plain = "<p>A plain last line</p>"
+    assert _kept(b := _story(2, "", last=plain), _story(1, "", last=plain), _story(3, "", last=plain)) == _kept(b)
+    quoted = "<p>A quotation that many pages share</p>"
+    assert _kept(b := _story(2, ""), _story(1, quoted), _story(3, quoted)) == _kept(b)
+    text = "Story 2 2 begins here and is long enough to matter for the share of words A quotation that many pages share It ends with 2 words"
+    a, b, c = (_story(k, quoted, **site) for k in (1, 2, 3))
+    assert _kept(b, a, c) == text  # the site's own lines go, the quotation stays
+    assert _kept(b, a).startswith("You read the daily page")  # one neighbour is no evidence against an article
+    assert _kept(b, b, b) == _kept(b)  # copies delete nothing
+    assert _kept(b) == f"You read the daily page {text} Tell your friends about us"
+
+
+def test_marks_that_mean_little():
+    body = "".join(f"<div>Line {{k}} {i} of a text that lies in plain blocks</div>" for i in range(9))
+    page = lambda k: SITE.format(body.format(k=k) + "<article><p>Also read this card</p></article>")
+    assert _kept(page(2), page(1), page(3)).startswith("Line 2 0 of") and "Site name" not in _kept(page(2), page(1), page(3))
+    card = "<article><h3><a href='/o'>Another story</a></h3></article>"
+    assert "Another" not in _kept(_story(1, "") + card) and "Another" not in _kept(_story(1, "") + "<article class='teaser'>Another</article>")
+    assert _kept(_story(1, "") + "<article><p>A short second part</p></article>").endswith("A short second part")
+
+
+def test_short_pages_under_a_large_menu():
+    menu = "".join(f"<div>Entry {i} of a long menu that has no marks</div>" for i in range(40))
+    page = lambda k: f"<body>{menu}<div>Text {k}</div><div>Imprint</div></body>"
+    assert _kept(page(2), page(1), page(3)) == "Text 2"
+    assert _kept(page(2), page(2), page(2)) == _kept(page(2))
+
+
+def test_deep_and_long_pages():
+    deep = "<div>" * 20000 + "<article><p>Body</p></article>"
+    assert _kept(deep) == "Body"
+    long = "<article>" + "".join(f"<p>Paragraph {i} of many</p>" for i in range(60000)) + "</article>"
+    assert _kept(long, long.replace("many", "more"), long) == " ".join(f"Paragraph {i} of many" for i in range(60000))
+
+
 @given(st.lists(st.integers(0, 3), max_size=8), st.lists(st.integers(0, 3), max_size=8))
 @settings(max_examples=300, deadline=None)
 def test_common_lines_are_longest(a, b):
