@@ -1,14 +1,18 @@
 """Personal data: base patterns plus a character-level bidirectional LSTM with CRF transitions.
 
 The tagger is trained in numpy from labelled spans: those that the base patterns find in a bounded sample of
-documents, and written-out variants of the same kinds (`variants`) that the patterns don't cover. A text is cut
-into overlapping windows; each is decoded by Viterbi, and the spans of all windows of a text are reconciled
-globally by weighted interval scheduling. Every kind holds a digit or an @, so a window without either is
-outside every span by constraint and needs no network. A span of the tagger counts only if it overlaps no base
-span, is likely enough and has its kind's form (`plausible`).
+documents, and written-out forms of the same kinds (`variants`) that the patterns don't cover, such as local phone
+numbers, cards in other groups, spaced or bracketed addresses, "at" and "dot". A text is cut into overlapping windows;
+each is decoded by Viterbi, pieces of one span that two windows cut are joined, and the spans of all windows of a text
+are reconciled globally by weighted interval scheduling. A span of the tagger is added if it overlaps no base span and
+each of its characters' tags has the probability `sure` under the CRF.
+
+Every kind that the tagger learns holds a digit, an @, a bracketed "at" or the word "dot" (GATE), so a window without
+one is outside every span and needs no network. A span of up to half a window is seen whole; a longer one is found if
+each window that it touches holds such a mark.
 
 Defined cases: null and empty texts have no spans; spans are in code points, end exclusive; repeated rows get
-equal results; other columns are left as they are.
+equal results; of overlapping spans with equal weight the one that ends first counts; other columns are left as they are.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-GATE = re.compile(r"[@0-9]")
+GATE = re.compile(r"[@0-9]|[\[({] ?at ?[\])}]|\bdot\b", re.I)
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -76,31 +80,20 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def plausible(kind: str, s: str) -> bool:
-    """Whether a span that the tagger proposes has its kind's form."""
-    d = _digits(s)
-    if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d)
-    if kind == "phone":
-        return 9 <= len(d) <= 15 and bool(re.fullmatch(r"(?:\(?0?[0-9]{2,4}\)|0[0-9]+|[0-9]{3})(?:[ .\-/]{1,2}[0-9]{2,5}){1,5}", s))
-    if kind == "ip":
-        return bool(m := re.fullmatch(r"([0-9]{1,3}) ?\. ?([0-9]{1,3}) ?\. ?([0-9]{1,3}) ?\. ?([0-9]{1,3})", s)) and all(int(p) <= 255 for p in m.groups())
-    return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?[\[(]?@[\])]? ?[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]+)+", s))
-
-
 # The tagger
 
 TAGS = ("O", *[f"{p}-{k}" for k in KINDS for p in "BI"])
-MARKS = "@.-+() _%\n,:/[]#$&*!|\"'"
-SYMBOLS = len(MARKS) + 6
+MARKS = "@.-+() _%\n,:/[]#$&*!|\"'={}"
+LETTERS = "atdo"  # those of the words at and dot; other letters are alike
+SYMBOLS = 6 + len(MARKS) + len(LETTERS)
 
 
 def _symbol_table() -> np.ndarray:
     """Symbol number of each code point under 128; 0 is padding, 4 other signs, 5 what isn't ASCII."""
     out = np.full(128, 4, np.int8)
     out[48:58], out[97:123], out[65:91] = 1, 2, 3
-    for i, c in enumerate(MARKS):
-        out[ord(c)] = 6 + i
+    for i, c in enumerate(MARKS + LETTERS):
+        out[ord(c)] = out[ord(c.upper())] = 6 + i
     return out
 
 
@@ -125,16 +118,16 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Settings:
-    window: int = 80
-    stride: int = 40
-    hidden: int = 16
-    inputs: int = 10
+    window: int = 96
+    stride: int = 48
+    hidden: int = 20
+    inputs: int = 12
     sample: int = 600  # documents
-    windows: int = 3000  # of the sample
-    variants: int = 1500
-    steps: int = 160
-    batch: int = 96
-    sure: float = 0.9
+    windows: int = 2000  # of the sample
+    variants: int = 4000
+    steps: int = 500
+    batch: int = 64
+    sure: float = 0.6
 
 
 class Tagger:
@@ -168,12 +161,12 @@ class Tagger:
 
     def _back(self, side: str, x: np.ndarray, kept: list, dout: np.ndarray, grad: dict) -> None:
         n, dh, dc = self.h, 0, 0
-        table = np.zeros((SYMBOLS, 4 * n), np.float32)
+        table, every = np.zeros((SYMBOLS, 4 * n), self.p["E"].dtype), np.eye(SYMBOLS, dtype=self.p["E"].dtype)
         for t, h, before, i, f, o, g, tc in reversed(kept):
             dh = dh + dout[t]
             dc = dc + dh * o * (1 - tc * tc)
             da = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            np.add.at(table, x[:, t], da)
+            table += every[x[:, t]].T @ da
             grad[f"h{side}"] += h.T @ da
             dh, dc = da @ self.p[f"h{side}"].T, dc * f
         grad[f"c{side}"] += table.sum(axis=0)
@@ -264,52 +257,79 @@ def tags_of(spans: list[Span], start: int, length: int) -> np.ndarray:
     return out
 
 
-def variants(settings: Settings, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled windows written by rule: the kinds in forms with and without the base patterns' marks, and numbers that are none."""
-    rng = np.random.default_rng(seed)
-    pick = lambda options: options[rng.integers(len(options))]
-    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9)))
+def written(rng: np.random.Generator) -> tuple[str, str]:
+    """A kind and a span of it, in a form with or without the base patterns' marks."""
+    pick = lambda *options: options[rng.integers(len(options))]
+    word = lambda least=2: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(least, 9)))
     number = lambda n: "".join(str(d) for d in rng.integers(0, 10, n))
-
-    def email() -> str:
-        name, host = pick([word(), f"{word()}.{word()}", word() + number(2), f"{word()}.{number(2)}"]), f"{word()}{pick(['', number(1)])}{pick(['.', '.' + word() + '.'])}{pick(['com', 'org', 'net', 'de', 'io'])}"
-        return name + pick(["@", "@", "@", " @ ", "[@]", "(@)", " (@) "]) + host
-
-    def ip() -> str:
-        return pick([".", ".", " . "]).join(str(v) for v in rng.integers(0, 256, 4))
-
-    def card() -> str:
-        d = [int(c) for c in pick(["4", "5", "37", "6"]) + number(13)]
-        d = d[:14] + [int(number(1))]
+    kind = pick(*KINDS)
+    if kind == "email":
+        name = pick(word(), f"{word()}.{word()}", word() + number(2), f"{word()}_{word()}", f"{word()}.{number(2)}")
+        at = pick("@", " @ ", "[@]", "(@)", " (@) ", "(at)", " (at) ", "[at]", " [at] ", "{at}", " at ")
+        dot = pick(" dot ", "(dot)", " [dot] ") if at == " at " else pick(".", ".", " . ", "[.]", " dot ", "(dot)", "[dot]")
+        if at == "{at}":
+            dot = pick("{dot}", ".")
+        parts = [pick(word(), word() + number(1)), *([word()] if rng.random() < 0.4 else []), pick("com", "org", "net", "de", "io", "fr", "es", "edu")]
+        out = name + at + dot.join(parts)
+        return kind, out.upper() if rng.random() < 0.1 else out
+    if kind == "ip":
+        return kind, pick(".", " . ", "[.]", "(.)", "[dot]", " dot ").join(str(v) for v in rng.integers(0, 256, 4))
+    if kind == "card":
+        d = [int(c) for c in pick("4", "5", "37", "6") + number(14)][:15]
         d.append(next(c for c in range(10) if luhn([*d, c])))
         s = "".join(map(str, d))
-        return pick([s, " ".join([s[:4], s[4:8], s[8:12], s[12:]]), "-".join([s[:4], s[4:8], s[8:12], s[12:]])])
-
-    def phone() -> str:
-        a, b, c = number(3), number(3), number(4)
-        return pick([f"+{rng.integers(1, 99)} ({a}) {b}-{c}", f"+{rng.integers(1, 99)} {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{a} {b}{c}", f"(0{a}) {b} {c}"])
+        return kind, pick(" ", "-", ".", "  ", " - ", "_", "/", ".").join([s[:4], s[4:8], s[8:12], s[12:]])
+    a, b, c = number(3), number(3), number(4)
+    form = rng.integers(11)
+    if form < 2:
+        return kind, pick(f"+{rng.integers(1, 99)} ({a}) {b}-{c}", f"+{rng.integers(1, 99)} {a} {b} {c}")
+    return kind, (f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"0{a} {b}{c}", f"(0{a}) {b} {c}", f"0{a}/{b}{c}", f"00{rng.integers(30, 50)} {a} {b}{c}", f"{a} {b} {c}", f"1-{a}-{b}-{c}")[form - 2]
+
+
+def other(rng: np.random.Generator) -> str:
+    """Something that has marks of the kinds and is none of them."""
+    pick = lambda *options: options[rng.integers(len(options))]
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 8)))
+    n = lambda k: "".join(str(d) for d in rng.integers(0, 10, k))
+    token = "".join(pick(*"0123456789abcdef") for _ in range(rng.integers(12, 50)))
+    forms = (
+        lambda: n(rng.integers(1, 9)), lambda: n(rng.integers(9, 24)), lambda: f"{n(4)}-{n(2)}-{n(2)}", lambda: f"{n(2)}.{n(2)}.{n(4)}", lambda: f"{n(2)}/{n(2)}/{n(4)}", lambda: f"{n(2)}:{n(2)}:{n(2)}",
+        lambda: f"{n(1)}.{n(2)}", lambda: f"v{n(1)}.{n(1)}.{n(1)}", lambda: f"{n(1)}.{n(1)}", lambda: token, lambda: f'token = "{token}"', lambda: f"@{word()}", lambda: f"{n(1)},{n(3)},{n(3)}", lambda: f"${n(3)}.{n(2)}",
+        lambda: f"{n(2)}-{n(2)}", lambda: f"978-{n(1)}-{n(2)}-{n(6)}-{n(1)}", lambda: f"({n(2)})", lambda: f"{word()} at {word()} dot", lambda: f"the dot {word()}", lambda: f"{word()} (at) {word()}", lambda: f"no. {n(3)} and {n(4)}", lambda: f"{n(3)}%", lambda: f"{n(1)} {n(1)} {n(1)} {n(1)}",
+        lambda: f"{n(4)}-{n(4)}", lambda: f"p. {n(2)}-{n(3)}", lambda: ".".join(n(2) for _ in range(5)), lambda: f"{word()} @ {n(2)}", lambda: f"{word()}-{n(3)}-{word()}",
+    )
+    return pick(*forms)()
 
-    def other() -> str:
-        return pick([number(rng.integers(1, 8)), f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}:{number(2)}", f"{number(1)}.{number(2)}", f"{number(1)}.{number(1)}.{number(1)}", "".join(pick(list("0123456789abcdef")) for _ in range(rng.integers(12, 50))), f"@{word()}", f"{number(3)},{number(3)}"])
 
-    made, x, y = {"email": email, "ip": ip, "card": card, "phone": phone}, [], []
+def variants(settings: Settings, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled windows written by rule: words, spans of the kinds, and what looks like them."""
+    rng, x, y = np.random.default_rng(seed), [], []
+    pick = lambda *options: options[rng.integers(len(options))]
     for _ in range(settings.variants):
-        text, spans = "", []
-        while len(text) < settings.window + 20:
-            kind = pick([*KINDS, "none", "word", "word", "word", "word"])
-            s = word() + pick(["", "", "", ",", ".", "!!", "***", "%%%"]) if kind == "word" else other() if kind == "none" else made[kind]()
-            s = s.capitalize() if kind == "word" and rng.random() < 0.15 else s
-            if kind in made:
+        text, spans, shout = "", [], rng.random() < 0.1
+        junk = pick(("",), ("", "", "", ",", "."), ("", "", "", ",", "."), ("***", "###", "&&&", "%%%", "$$$"), ("!!",))
+        while len(text) < settings.window + 24:
+            what = rng.integers(10)
+            if what < 2:
+                kind, s = written(rng)
                 spans.append((kind, len(text), len(text) + len(s)))
-            text += s + (pick(["", ".", ",", "###", "&&&"]) if kind in made else "") + pick([" ", " ", " ", "\n"])
-        start = int(rng.integers(0, 20))
+            elif what < 4:
+                s = other(rng)
+            else:
+                s = "".join(pick(*"abcdefghijklmnopqrstuvwxyzéüñßaeiotnrdo") for _ in range(rng.integers(1, 10)))
+                s = s.upper() if shout else s.capitalize() if rng.random() < 0.15 else s
+            text += s + pick(*junk) + pick(" ", " ", " ", " ", "\n")
+        start = int(rng.integers(0, 24))
         x.append(symbols(text[start : start + settings.window], settings.window))
         y.append(tags_of(spans, start, settings.window))
     return np.array(x), np.array(y)
 
 
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Tagger:
-    """A tagger trained on the variants and on at most settings.windows windows of at most settings.sample documents."""
+    """A tagger trained on the variants and on at most settings.windows windows of at most settings.sample documents.
+
+    Windows of documents are around base spans; those with further marks are left out, as what they hold has no label.
+    """
     width = settings.window
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -317,9 +337,10 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Tagger:
             out = []
             for key, t in zip(b["_rank"], b["text"]):
                 spans = base_spans(t)
-                middles = [(s + e) // 2 for _, s, e in spans[:6]] + [m.start() for m, _ in zip(GATE.finditer(t), range(2))]
-                for at in sorted({max(0, m - width // 2) for m in middles}):
-                    out.append((key, at, symbols(t[at : at + width], width).tobytes(), tags_of(spans, at, width).astype(np.int8).tobytes()))
+                for at in sorted({max(0, (s + e - width) // 2) for _, s, e in spans[:8]}):
+                    marks = (at + m.start() for m in GATE.finditer(t[at : at + width]))
+                    if all(any(s <= m < e for _, s, e in spans) for m in marks):  # nothing whose label is unknown
+                        out.append((key, at, symbols(t[at : at + width], width).tobytes(), tags_of(spans, at, width).astype(np.int8).tobytes()))
             yield pd.DataFrame(out, columns=["key", "at", "x", "y"])
 
     rank = F.xxhash64("doc_id", F.lit(3)).alias("_rank")
@@ -351,17 +372,35 @@ def reconcile(found: list[tuple[str, int, int, float]]) -> list[tuple[str, int,
     return out[::-1]
 
 
-def tagged(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int, float]]]:
+Piece = tuple[str, int, int, float, bool, bool]  # kind, start, end, probability, cut on the left, cut on the right
+
+
+def joined(pieces: list[Piece]) -> list[tuple[str, int, int, float]]:
+    """The whole spans, and those that pieces of one kind make which windows cut and which overlap."""
+    whole = [p[:4] for p in pieces if not p[4] and not p[5]]
+    cut = sorted({p for p in pieces if p[4] or p[5]}, key=lambda p: (p[0], p[1], p[2]))
+    held: Piece | None = None
+    for p in cut:
+        if held and held[0] == p[0] and held[5] and p[4] and p[1] < held[2] <= p[2]:
+            held = (held[0], held[1], p[2], min(held[3], p[3]), held[4], p[5])
+            if not held[4] and not held[5]:
+                whole.append(held[:4])
+        elif not p[4]:
+            held = p
+    return whole
+
+
+def tagged(texts: list[str], tagger: Tagger, gate: bool = True) -> list[list[tuple[str, int, int, float]]]:
     """The reconciled spans of the tagger in each text."""
     s = tagger.settings
     places = []
     for i, t in enumerate(texts):
-        starts = set()
-        for m in GATE.finditer(t):
+        starts = set() if gate else set(range(-(-len(t) // s.stride)))
+        for m in GATE.finditer(t) if gate else ():
             k = m.start() // s.stride
             starts |= {k, max(0, k - 1)}
         places += [(i, k * s.stride) for k in sorted(starts)]
-    found: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+    found: list[list[Piece]] = [[] for _ in texts]
     for part in range(0, len(places), 2048):
         these = places[part : part + 2048]
         x = np.array([symbols(texts[i][at : at + s.window], s.window) for i, at in these])
@@ -375,10 +414,8 @@ def tagged(texts: list[str], tagger: Tagger) -> list[list[tuple[str, int, int, f
                 if t[start]:
                     while end < n and t[end] == 2 * ((t[start] + 1) // 2):
                         end += 1
-                    inside = (start or not at) and (end < s.window or at + end == len(texts[i]))  # a span cut by its window is another window's
-                    if inside:
-                        found[i].append((KINDS[(t[start] - 1) // 2], at + start, at + end, round(float(p[row, start:end].mean()), 6)))
-    return [reconcile(f) for f in found]
+                    found[i].append((KINDS[(t[start] - 1) // 2], at + start, at + end, round(float(p[row, start:end].min()), 6), not start and at > 0, end == s.window and at + end < len(texts[i])))
+    return [reconcile(joined(f)) for f in found]
 
 
 def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[Span]]]:
@@ -388,7 +425,7 @@ def all_spans(texts: list[str], tagger: Tagger) -> list[tuple[list[Span], list[S
         base = base_spans(t)
         covered = sorted((s, e) for _, s, e in base)
         starts, reach = [s for s, _ in covered], np.maximum.accumulate([0, *[e for _, e in covered]])
-        more = [(k, s, e) for k, s, e, p in found if p >= tagger.settings.sure and reach[bisect_right(starts, e - 1)] <= s and plausible(k, t[s:e])]
+        more = [(k, s, e) for k, s, e, p in found if p >= tagger.settings.sure and reach[bisect_right(starts, e - 1)] <= s]
         out.append((base, sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))))
     return out
 
