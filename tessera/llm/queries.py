@@ -71,4 +71,4 @@ SELECT d.doc_id, count(i) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS
 FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-SQL: dict[str, str] = {"op3_repeats": REPEATS_SQL}
+SQL: dict[str, str] = {"op3_repeats": REPEATS_SQL, "op4_mixing": mixing.sql()}
