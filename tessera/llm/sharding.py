@@ -26,6 +26,7 @@ EXTRA = 16
 FIRST, FINER = 12, 6  # bits of the hash for the first blocks, and for each split
 CELLS = 50_000  # about so many cells at most number the rows
 WHOLE = 64
+HOT, HOT_GROUPS = 100_000, 1000  # rows of a group that is split by place, and how many such groups there can be
 
 
 def cuts(sizes: list[int], shards: int) -> tuple[int, list[int]]:
@@ -124,7 +125,7 @@ def _plan(groups: DataFrame, shards: int) -> tuple[list[int], list[int]]:
 
 
 def _placed(rows: DataFrame, shards: int) -> DataFrame:
-    """rows (doc_id, size, text_crc32, _h) with law, shard and slot."""
+    """rows (_id, _u, _h, size, text_crc32 and any others) with law, shard and slot."""
     rows = stored(rows, "sizes")
     groups = stored(rows.groupBy("_h").agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows")), "groups")
     begins, alone = _plan(groups, shards)
@@ -145,8 +146,9 @@ COLUMNS = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 def _measured(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(
-        "doc_id",
         *more,
+        F.col("doc_id").alias("_id"),
+        F.monotonically_increasing_id().alias("_u"),  # written before it is used, so it stays as it is
         (F.coalesce(F.octet_length("text"), F.lit(0)) + EXTRA).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64("text").alias("_h"),
@@ -155,34 +157,29 @@ def _measured(docs: DataFrame, *more: str) -> DataFrame:
 
 def shard(docs: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id with size, text_crc32, law, shard, slot and grown_shard, for every row of docs."""
-    return _placed(_measured(docs), shards).select("doc_id", *COLUMNS)
+    return _placed(_measured(docs), shards).select(F.col("_id").alias("doc_id"), *COLUMNS)
 
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """Every row of docs, its columns as they were but for those named in COLUMNS, which are set.
-
-    Rows are put back together by doc_id and text hash; rows that repeat both are numbered among themselves, so
-    that each gets a slot of its own.
-    """
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    number = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(1)))
-    whole = boxed(docs.drop(*COLUMNS), "doc_id", "text").select("row", key.alias("_id"), F.xxhash64("text").alias("_h")).withColumn("_k", number)
-    placed = _placed(_measured(docs), shards).select(key.alias("_id"), "_h", *COLUMNS).withColumn("_l", number)
-    # As a difference the number is no join key, so that the numbering's exchange serves the join too.
-    return whole.join(placed, ["_id", "_h"]).where(F.col("_k") - F.col("_l") == 0).select("row.*", *COLUMNS)
+    """Every row of docs, its columns as they were but for those named in COLUMNS, which are set."""
+    return _placed(_measured(boxed(docs.drop(*COLUMNS), "doc_id", "text"), "row"), shards).select("row.*", *COLUMNS)
 
 
 def _numbered(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """slot: the row's gapless number in its shard. Rows fall into cells (a block of hashes, split by a hash of the
-    document where it has many rows), cells are counted and their first slots summed, and rows numbered within cells."""
+    """slot: the row's gapless number in its shard. Rows fall into cells (a block of hashes, split where it has many
+    rows), cells are counted and their first slots summed, and rows numbered within cells. Blocks are split by a hash of
+    the document, and where that does not tell rows apart (null ids, groups of very many rows) by their place in the table."""
     block = _block(FIRST).alias("_b")
     counts = groups.groupBy(block).agg(F.sum("_rows").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     target = max(WHOLE, total // CELLS)
     salts = counts.select("_b", F.ceil(F.col("n") / target).cast("int").alias("_salts"))  # 2^FIRST rows at most
-    cells = rows.withColumn("_b", block).join(F.broadcast(salts), "_b").withColumn("_c", F.pmod(F.xxhash64("doc_id", "_h", F.lit(17)), F.col("_salts")))
+    large = groups.where(F.col("_rows") > max(HOT, total // HOT_GROUPS)).select("_h", F.lit(True).alias("_hot"))  # HOT_GROUPS rows at most
+    cells = rows.withColumn("_b", block).join(F.broadcast(salts), "_b").join(F.broadcast(large), "_h", "left")
+    alike = F.when(F.col("_hot") | F.col("_id").isNull(), F.col("_u"))
+    cells = cells.withColumn("_c", F.pmod(F.xxhash64("_id", "_h", alike, F.lit(17)), F.col("_salts"))).drop("_hot")
     first = cells.groupBy("shard", "_b", "_c").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)
     first = first.select("shard", "_b", "_c", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))  # bounded: about CELLS + 2^FIRST + shards cells
-    within = Window.partitionBy("shard", "_b", "_c").orderBy("_h", "doc_id", "size")
+    within = Window.partitionBy("shard", "_b", "_c").orderBy("_h", "_id", "_u")
     return cells.withColumn("_r", F.row_number().over(within)).join(F.broadcast(first), ["shard", "_b", "_c"]).withColumn("slot", F.col("_first") + F.col("_r") - 1)
