@@ -2,14 +2,14 @@
 elastic-net penalties, then temperature scaling.
 
 Document frequencies are counted over all training documents; the regression is fitted on a bounded sample of
-them (`per_language` rows a language at most, about). Defined cases: a text that is null or has no letter is
+them (`per_language` distinct texts a language at most, about). All languages are learnt; the model grows with their
+number (2^bits weights each). A letter is a character of category L. Defined cases: a text that is null or has no letter is
 `und` with score 0; without any training row every text is `und`; ties go to the smaller language code;
 repeated rows get equal results; other columns are left as they are.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import held_out
 from tessera.llm.ftrl import Ftrl, epochs
 
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character has the category L."""
+    return any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
@@ -29,7 +33,6 @@ class Settings:
     bits: int = 14
     orders: tuple[int, ...] = (1, 2, 3)
     per_language: int = 1000
-    languages: int = 256
     passes: int = 2
 
 
@@ -87,23 +90,23 @@ def fit(docs: DataFrame, use: Column | None = None, settings: Settings = Setting
     train = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if use is not None:
         train = train.where(use)
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     n_docs, df = _document_frequency(train, settings)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
     languages = sorted(sizes)
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    unit = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)  # equal texts are drawn together and count once
     rate = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, settings.per_language / n))])
     number = F.create_map(*[F.lit(v) for i, lang in enumerate(languages) for v in (lang, i)])
-    sample = train.where(unit < rate[F.col("lang")]).select("doc_id", "text", number[F.col("lang")].alias("y"))
+    sample = train.where(unit < rate[F.col("lang")]).select(F.xxhash64("text").alias("id"), "text", number[F.col("lang")].alias("y"))
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [vector(t, idf, settings) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "at": [a.astype(np.int32).tobytes() for a, _ in rows], "x": [x.astype(np.float32).tobytes() for _, x in rows]})
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "at": [a.astype(np.int32).tobytes() for a, _ in rows], "x": [x.astype(np.float32).tobytes() for _, x in rows]})
 
-    found = sample.mapInPandas(sparse, "doc_id long, y int, at binary, x binary").toPandas().sort_values(["doc_id", "y"])
+    found = sample.mapInPandas(sparse, "id long, y int, at binary, x binary").dropDuplicates(["id", "y"]).toPandas().sort_values(["id", "y"])
     rows = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float), int(y)) for a, x, y in zip(found["at"], found["x"], found["y"])]
     check = rows[::5] if len(rows) >= 25 else rows
     learn = [r for i, r in enumerate(rows) if i % 5] if len(rows) >= 25 else rows
@@ -127,7 +130,7 @@ def predict(text: Column, model: Model | None) -> Column:
         for texts in batches:
             names, scores = ["und"] * len(texts), np.zeros(len(texts))
             for i, t in enumerate(texts):
-                if model is not None and t and LETTER.search(t):
+                if model is not None and t and has_letter(t):
                     at, x = vector(t, model.idf, model.settings)
                     z = x @ model.weights[at] / model.temperature
                     e = np.exp(z - z.max())
