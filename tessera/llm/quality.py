@@ -2,7 +2,7 @@
 
 fit() learns from a bounded sample of labelled rows (`sample`, the rows of smallest hashed id); score() adds
 a probability to every row and reads whole texts. Defined cases: null and empty texts are scored by the bias
-alone; labels that are null are skipped; a document with several labels counts with its smallest one; with no
+alone; labels that are null are skipped; a document with several labels counts with its smallest one, an id with several texts with one of them; with no
 labelled rows every score is 0.5; repeated rows get equal scores; other columns are left as they are.
 """
 
@@ -58,8 +58,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Column
             rows = [features(t, bits, memo) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["_y"], "at": [a.astype(np.int32).tobytes() for a, _ in rows], "x": [x.astype(np.float32).tobytes() for _, x in rows]})
 
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(sparse, "doc_id long, y int, at binary, x binary").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(sparse, "doc_id long, y int, at binary, x binary")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("y", "at", "x")).alias("m")).select("doc_id", "m.*").toPandas().sort_values("doc_id")  # one text for each id
     rows = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float), int(y)) for a, x, y in zip(found["at"], found["x"], found["y"])]
     return epochs(Ftrl(1 << bits), rows, settings.passes).weights()[:, 0]
 
