@@ -16,13 +16,16 @@ joined on the prefixes of their shingles, rare ones first. A pair that reaches `
 prefixes, so every pair of two components is either verified or can't be near. Texts of up to `short` shingles take
 part too, as few k-mers make sketches miss more: whole short texts don't even share one with a text that is longer.
 
-Defined cases: null texts and texts without words are near each other and nothing else;
-a document without near copies is a class of its own; class_id is the smallest doc_id of the class; rows that repeat
-a doc_id are one document, also if their texts differ; rows with a null doc_id get the class of their text.
+Defined cases: null texts and texts without words are near each other and nothing else; a pair of exactly
+`similarity` is linked; a document without near copies is a class of its own; class_id is the smallest doc_id of the
+class, and so is the id of the document that stays, of equal ones that of the smallest text hash; rows that repeat
+a doc_id with other texts are judged by their texts, and so are rows with a null doc_id; a class of such rows alone
+gets a negative number; of rows with equal ids and texts distinct_documents keeps any one.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -120,17 +123,24 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     if matched + len(np.intersect1d(a, b)) + _repeats(a, b) < need - 1e-9:
         return False
     band = int(max(n, k) - need) + 1
-    at: dict[int, int] = {}
+    where: dict[int, list[int]] = {}
     for i, x in enumerate(a.tolist()):
-        at[x] = at.get(x, 0) | 1 << i
-    row = full = (1 << len(a)) - 1
+        where.setdefault(x, []).append(i)
+    # The row's bits from `low` to `low + width`, all that the band can change; below it zeros are matches for good.
+    low, width, row = 0, min(len(a), band + 1), (1 << min(len(a), band + 1)) - 1
     for j, x in enumerate(b.tolist()):
-        m = at.get(x, 0)
-        if m:
-            low = max(0, j - band)
-            m = (m >> low & (1 << (j + band + 1 - low)) - 1) << low
-            row = (row + (row & m) | row & ~m) & full
-    return matched + len(a) - row.bit_count() >= need - 1e-9
+        while low < j - band and width:
+            matched += 1 - (row & 1)
+            row, low, width = row >> 1, low + 1, width - 1
+        while low + width < min(len(a), j + band + 1):
+            row, width = row | 1 << width, width + 1
+        places = where.get(x)
+        if places:
+            m = 0
+            for i in places[bisect_left(places, low) : bisect_left(places, low + width)]:
+                m |= 1 << (i - low)
+            row = (row + (row & m) | row & ~m) & (1 << width) - 1
+    return matched + width - row.bit_count() >= need - 1e-9
 
 
 def _repeats(a: np.ndarray, b: np.ndarray) -> int:
@@ -138,10 +148,13 @@ def _repeats(a: np.ndarray, b: np.ndarray) -> int:
     return min(len(a) - len(np.unique(a)), len(b) - len(np.unique(b)))
 
 
-def _verified(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    settings = Settings()
-    for left, right in batches:
-        yield pd.Series([aligned(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), settings.similarity) for a, b in zip(left, right)], dtype=bool)
+def _verified(similarity: float):
+    @F.pandas_udf("boolean")
+    def verify(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in batches:
+            yield pd.Series([aligned(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), similarity) for a, b in zip(left, right)], dtype=bool)
+
+    return verify
 
 
 def _sketched(docs: DataFrame, settings: Settings) -> DataFrame:
@@ -157,7 +170,7 @@ def _sketched(docs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _shingled(docs: DataFrame, settings: Settings) -> DataFrame:
-    """The shingle sequences (32 bits each) of these documents, one row per doc_id."""
+    """The shingle sequences (32 bits each) of these nodes."""
 
     @F.pandas_udf("binary")
     def sequence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -165,7 +178,7 @@ def _shingled(docs: DataFrame, settings: Settings) -> DataFrame:
         for texts in batches:
             yield pd.Series([(shingles(word_hashes(t, memo), settings.words) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts], dtype=object)
 
-    return docs.select("doc_id", sequence("text").alias("_s"))
+    return docs.select("node", sequence("text").alias("_s"))
 
 
 COUNTER_BITS = 18
@@ -203,7 +216,7 @@ def _prefixes(sequences: DataFrame, settings: Settings) -> DataFrame:
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for node, s in zip(b["doc_id"], b["_s"]):
+            for node, s in zip(b["node"], b["_s"]):
                 s = np.frombuffer(s, np.uint32)
                 keys = prefix(s, levels, settings.similarity).view(np.int64)
                 yield pd.DataFrame({"key": keys, "node": node, "n": len(s), "at": np.arange(len(keys))})
@@ -253,23 +266,31 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, class_id, class_size for every row."""
-    docs = docs.select("doc_id", "text")
-    sketched = stored(_sketched(docs, settings), "sketches")
-    nodes = stored(sketched.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("_n")), "nodes")
-    own = sketched.join(nodes, ["_h1", "_h2"]).where("doc_id = node").dropDuplicates(["_h1", "_h2"])
-    keys = own.select("node", F.posexplode("_sketch").alias("_k", "_v")).select(F.xxhash64("_k", "_v").alias("key"), "node")
+def _matching(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows whose text hashes and doc_id are those of `texts`. The id is a key too, so copies of one text don't meet."""
+    other = texts.withColumnsRenamed({"_h1": "_g1", "_h2": "_g2"})
+    return rows.join(other, (F.col("_h1") == F.col("_g1")) & (F.col("_h2") == F.col("_g2")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
+
+
+def _classed(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Text hashes of every row (doc_id, _h1, _h2), and of every distinct text its smallest doc_id (_doc), its number of rows (_n) and its class (_root)."""
+    sketched = stored(_sketched(docs.select("doc_id", "text"), settings), "sketches")
+    texts = sketched.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_doc"), F.count("*").alias("_n"), F.first("_sketch").alias("_sketch"), F.first("_size").alias("_size"))
+    nodes = stored(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")  # as written, so the numbers stay
+    keys = nodes.select("node", F.posexplode("_sketch").alias("_k", "_v")).select(F.xxhash64("_k", "_v").alias("key"), "node")
     shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("_last > leader").drop("_last")
     members = stored(keys.join(shared, "key"), "members")
-    short = own.where(F.col("_size").between(1, settings.short)).select(F.col("node").alias("doc_id"))
-    ids = members.select(F.col("node").alias("doc_id")).union(short).distinct()
-    sequences = stored(_shingled(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), settings), "sequences")
+    short = nodes.where(F.col("_size").between(1, settings.short)).select("node")
+    ids = nodes.join(members.select("node").union(short).distinct(), "node").select("node", "_h1", "_h2", "_doc")
+    # One row of each text is enough; the smallest id finds it without moving the text of its copies.
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), F.col("text")).alias("_h2"))
+    wanted = _matching(rows, ids).select("node", "text")
+    sequences = stored(_shingled(wanted, settings).dropDuplicates(["node"]), "sequences")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs with ok: whether the two texts are near duplicates."""
-        out = pairs.join(sequences.select(F.col("doc_id").alias("a"), F.col("_s").alias("_sa")), "a").join(sequences.select(F.col("doc_id").alias("b"), F.col("_s").alias("_sb")), "b")
-        return out.select("a", "b", F.pandas_udf(_verified, "boolean")("_sa", "_sb").alias("ok"))
+        out = pairs.join(sequences.select(F.col("node").alias("a"), F.col("_s").alias("_sa")), "a").join(sequences.select(F.col("node").alias("b"), F.col("_s").alias("_sb")), "b")
+        return out.select("a", "b", _verified(settings.similarity)("_sa", "_sb").alias("ok"))
 
     tried = stored(verified(members.where("node > leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()), "tried")
     while True:
@@ -289,8 +310,8 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     inside = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = inside.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
-    unresolved = inside.join(open_keys, "key").select(F.col("node").alias("doc_id")).union(short).distinct()
-    prefixes = _prefixes(sequences.join(unresolved, "doc_id", "left_semi"), settings)
+    unresolved = inside.join(open_keys, "key").select("node").union(short).distinct()
+    prefixes = _prefixes(sequences.join(unresolved, "node", "left_semi"), settings)
     most = prefixes.agg(F.max("many")).first()[0] or 0
     low, high = 1, 2
     while low < most:
@@ -299,14 +320,22 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         if not more.where("ok").isEmpty():
             roots = stored(components(tried.where("ok")), "roots")
         low, high = high, 16 * high
-    whole = nodes.join(roots, "node", "left").select("_h1", "_h2", F.coalesce("root", "node").alias("class_id"), "_n")
-    sizes = whole.groupBy(F.col("class_id").alias("_class")).agg(F.sum("_n").alias("class_size"))
-    named = whole.drop("_n").join(sizes, F.col("class_id").eqNullSafe(F.col("_class"))).drop("_class")
-    return sketched.select("doc_id", "_h1", "_h2").join(named, ["_h1", "_h2"]).select("doc_id", "class_id", "class_size")
+    whole = nodes.join(roots, "node", "left").select("_h1", "_h2", "_doc", "_n", F.coalesce("root", "node").alias("_root"))
+    return sketched.select("doc_id", "_h1", "_h2"), whole
+
+
+def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """doc_id, class_id, class_size for every row."""
+    rows, texts = _classed(docs, settings)
+    of = texts.groupBy("_root").agg(F.min("_doc").alias("_least"), F.sum("_n").alias("class_size")).withColumn("class_id", F.coalesce("_least", -F.col("_root") - 1))
+    named = texts.select("_h1", "_h2", "_root").join(of, "_root")
+    return rows.join(named, ["_h1", "_h2"]).select("doc_id", "class_id", "class_size")
 
 
 def distinct_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One document of each class, the one with the smallest id, all columns as they were; rows with a null id stay."""
-    first = classes(docs, settings).where("doc_id = class_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = boxed(docs, "doc_id").join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"]).select("row.*")
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each class, the one with the smallest id, all columns as they were."""
+    _, texts = _classed(docs, settings)
+    first = F.min(F.struct(F.col("_doc").isNull().alias("_null"), "_doc", "_h1", "_h2"))
+    kept = texts.groupBy("_root").agg(first.alias("m")).select("m._doc", "m._h1", "m._h2")
+    rows = boxed(docs, "doc_id", "text").select("row", "doc_id", F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), F.col("text")).alias("_h2"))
+    return _matching(rows, stored(kept, "kept")).dropDuplicates(["_h1", "_h2"]).select("row.*")

@@ -3,6 +3,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -165,6 +166,16 @@ def test_sharding_refines_blocks(spark):
     assert len(loads) == 40 and max(loads) - min(loads) <= 2 * 1020
 
 
+def test_sharding_of_equal_rows(spark):
+    """Equal rows with null ids: each gets its slot, in time that grows with their number."""
+    rows = spark.range(200_000).selectExpr("cast(if(id % 2 = 0, null, id) AS long) AS doc_id", "cast(if(id % 2 = 0, null, id) AS string) AS text")
+    began = time.perf_counter()
+    out = sharding.assign(rows, 8)
+    checked = out.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.count_distinct("slot").alias("d")).collect()
+    assert sum(r["n"] for r in checked) == 200_000 and all((r["low"], r["high"], r["d"]) == (0, r["n"] - 1, r["n"]) for r in checked)
+    assert time.perf_counter() - began < 120
+
+
 def test_repeats(spark, texts):
     found, seen = result(spark, "op3_repeats"), set()
     for i, text in texts.items():
@@ -400,6 +411,47 @@ def test_alignment(a, b):
         assert near_duplicates.aligned(np.array(a, np.uint32), np.array(b, np.uint32), similarity) == (m >= similarity * (len(a) + len(b) - m) - 1e-9)
 
 
+def test_alignment_in_a_band():
+    rng = np.random.default_rng(2)
+    for _ in range(300):  # long common ends, few changes, so that the band is narrow
+        a = rng.integers(0, 40, int(rng.integers(30, 120))).astype(np.uint32)
+        b = [x for x in a.tolist() if rng.random() > 0.06]
+        for _ in range(int(rng.integers(0, 8))):
+            b.insert(int(rng.integers(0, len(b) + 1)), int(rng.integers(0, 60)))
+        b, row = np.array(b, np.uint32), [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[-1]))
+        for similarity in (0.7, 0.8, 0.9):
+            assert near_duplicates.aligned(a, b, similarity) == (row[-1] >= similarity * (len(a) + len(b) - row[-1]) - 1e-9)
+
+
+def test_dense_templates_lose_no_link(spark):
+    """Texts of one template that are about as far apart as the threshold, many in the same buckets."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(250):
+        words = [f"w{i}" for i in range(100)]
+        for c in rng.choice(100, int(rng.integers(2, 4)), replace=False):
+            words[c] = f"z{rng.integers(0, 40)}"
+        rows.append((k, " ".join(words)))
+    found = near_duplicates.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == _brute_classes(dict(rows))
+
+
+def test_ids_that_repeat_or_are_null(spark):
+    word = lambda seed, n=40: " ".join(f"w{seed}x{i}" for i in range(n))
+    near = word(1).replace("w1x39", "other")
+    rows = [(1, word(1)), (1, word(2)), (1, word(1)), (None, near), (None, word(3)), (None, word(3)), (4, word(2) + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r["doc_id"] or 0, r["class_size"]) for r in near_duplicates.classes(docs).collect())
+    assert found == [(0, 2), (0, 2), (0, 3), (1, 2), (1, 3), (1, 3), (4, 2)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in near_duplicates.distinct_documents(docs).collect())
+    assert kept == sorted([(1, word(1)), (1, word(2)), (0, word(3))])
+    strict = near_duplicates.Settings(similarity=0.99)
+    assert near_duplicates.distinct_documents(docs, strict).count() == 5
+
+
 def test_chains_are_one_class(spark):
     words, rows = [f"w{i}" for i in range(300)], []
     for k in range(12):  # each differs from the one before in one more word
