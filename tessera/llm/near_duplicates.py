@@ -7,9 +7,8 @@ sequences within a band matches a share of `similarity` (matched over matched an
 
 Classes are the connected components of the verified links between different texts. Candidates of a bucket are not
 paired with each other but with one leader; after the components of the verified links are known, each bucket
-that still holds several components proposes links between members of them, another pair in each bucket, until no
-bucket proposes a pair that was not yet verified. Links inside a component can't change it, so none are tried there.
-Texts that are equal are one node from the start.
+that still holds several components proposes links between members of them, for up to `rounds` rounds. Links inside a
+component can't change it, so none are tried there. Texts that are equal are one node from the start.
 
 What this leaves open is finished exactly (`between`): members of buckets that still hold several components are
 joined on the prefixes of their shingles, rare ones first. A pair that reaches `similarity` shares a shingle of both
@@ -47,6 +46,7 @@ class Settings:
     sketches: int = 32
     minima: int = 6
     short: int = 50  # shingles of texts that are compared exactly, whatever their sketches
+    rounds: int = 3  # of cheap proposals per bucket, before the rest is finished exactly
     salt: int = 4096  # members of one prefix shingle that meet in a task
 
 
@@ -255,6 +255,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
     before, now = None, state(edges)
+    if now[1] is not None and edges.groupBy("a").count().where("count > 1").isEmpty() and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        before = now  # all are stars already
     while now[0] and before != now:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(smallest(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -266,6 +268,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after further links (a, b): only the components that the links join are worked on."""
+    ends = links.select("a", "b")
+    for end in "ab":
+        ends = ends.join(roots.withColumnsRenamed({"node": end, "root": f"_{end}"}), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    up = stored(components(ends), "up")
+    moved = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("_up")), "root", "left").select("node", F.coalesce("_up", "root").alias("root"))
+    return stored(moved.unionByName(up.join(roots, "node", "left_anti")), "roots")
+
+
 def _matching(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """rows whose text hashes and doc_id are those of `texts`. The id is a key too, so copies of one text don't meet."""
     other = texts.withColumnsRenamed({"_h1": "_g1", "_h2": "_g2"})
@@ -293,20 +305,18 @@ def _classed(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]
         return out.select("a", "b", _verified(settings.similarity)("_sa", "_sb").alias("ok"))
 
     tried = stored(verified(members.where("node > leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()), "tried")
-    while True:
-        roots = stored(components(tried.where("ok")), "roots")
+    roots = stored(components(tried.where("ok")), "roots")
+    for _ in range(settings.rounds):
         inside = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         proposal = F.struct(F.xxhash64("node", "key").alias("h"), "node")
         each = inside.groupBy("key", "root").agg(F.min(proposal)["node"].alias("node"))
         centre = each.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", "key").alias("h"), "root", "node")).alias("c"), F.count("*").alias("n")).where("n > 1")
         pairs = each.join(centre, "key").where("root <> c.root").select(F.greatest("node", F.col("c.node")).alias("a"), F.least("node", F.col("c.node")).alias("b")).distinct()
         more = stored(verified(pairs.join(tried, ["a", "b"], "left_anti")), "more")
-        if more.isEmpty():
-            break
-        found = not more.where("ok").isEmpty()
-        tried = tried.unionByName(more)
-        if not found:
+        if more.where("ok").isEmpty():
+            tried = tried.unionByName(more)
             break
+        tried, roots = tried.unionByName(more), merged(roots, more.where("ok"))
 
     inside = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = inside.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
@@ -318,8 +328,8 @@ def _classed(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]
         more = stored(verified(between(prefixes, roots, low, high, settings).join(tried, ["a", "b"], "left_anti")), "more")
         tried = tried.unionByName(more)
         if not more.where("ok").isEmpty():
-            roots = stored(components(tried.where("ok")), "roots")
-        low, high = high, 16 * high
+            roots = merged(roots, more.where("ok"))
+        low, high = high, 32 * high
     whole = nodes.join(roots, "node", "left").select("_h1", "_h2", "_doc", "_n", F.coalesce("root", "node").alias("_root"))
     return sketched.select("doc_id", "_h1", "_h2"), whole
 
