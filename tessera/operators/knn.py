@@ -95,15 +95,16 @@ def kd_tree(keys: DataFrame, levels: int | None = None) -> tuple[DataFrame, Data
     n = keys.count()
     size = keys.select(F.max(F.size("descriptors"))).first()[0] or 0
     depth = min(size, max(0, (n - 1).bit_length()) if levels is None else levels)
-    rows = keys.select("key_id", "descriptors", F.lit(1).cast("long").alias("node"), F.col("key_id").alias("place"))
+    dims = split_dimensions(keys, depth)
+    wanted = stored(keys.select("key_id", F.array(*[F.element_at("descriptors", dim + 1) for dim in dims]).cast("array<double>").alias("xs")), "splits")  # only what is split on travels
+    rows = wanted.select("key_id", "xs", F.lit(1).cast("long").alias("node"), F.col("key_id").alias("place"))
     nodes = None
-    for d, dim in enumerate(split_dimensions(keys, depth)):
-        ranked = _ranked(rows.select("key_id", "node", "place", F.element_at("descriptors", dim + 1).alias("x")))
+    for d, dim in enumerate(dims):
+        ranked = _ranked(rows.select("key_id", "node", "place", "xs", F.element_at("xs", d + 1).alias("x")))
         ranked = stored(ranked.withColumn("_middle", F.expr("_n div 2")), f"level{d}")
         made = ranked.where("_n > 1 AND _r = _middle").select(F.col("node").alias("node_id"), F.lit(d).alias("depth"), F.lit(dim).alias("dim"), F.col("x").alias("median"))
         nodes = made if nodes is None else nodes.unionByName(made)
-        moved = ranked.select("key_id", F.when(F.col("_n") <= 1, F.col("node")).otherwise(2 * F.col("node") + F.when(F.col("_r") >= F.col("_middle"), 1).otherwise(0)).alias("node"), F.col("_i").alias("place"))
-        rows = keys.select("key_id", "descriptors").join(moved, "key_id")
+        rows = ranked.select("key_id", "xs", F.when(F.col("_n") <= 1, F.col("node")).otherwise(2 * F.col("node") + F.when(F.col("_r") >= F.col("_middle"), 1).otherwise(0)).alias("node"), F.col("_i").alias("place"))
     if nodes is None:
         nodes = keys.sparkSession.createDataFrame([], "node_id long, depth int, dim int, median double")
     return nodes, rows.select("key_id", F.col("node").alias("node_id"), "place")

@@ -262,7 +262,7 @@ def kmeans_float_k4(spark, sf_dir):
     return plain(cluster.kmeans(rasters.bgr(spark, sf_dir), 4, 5)[0])
 
 
-@query()
+@query(sql.kmeans(8, 200, True))
 def kmeans_fixed_200(spark, sf_dir):
     return plain(cluster.kmeans_fixed(rasters.bgr(spark, sf_dir), 8, 200)[0])
 
@@ -375,17 +375,18 @@ def knn_exact(spark, sf_dir):
     return knn.nearest_exact(keys.where("key_id % 20 = 0"), keys).withColumn("distance", F.round("distance", 6))
 
 
-@query()
+@query(sql.kd_build(12))
 def kd_build(spark, sf_dir):
     nodes, leaves = knn.kd_tree(rasters.descriptors(spark, sf_dir))
     return nodes.select("node_id", "depth", "dim", F.round("median", 9).alias("median"))
 
 
-@query()
+@query(sql.kd_leaf(12))
 def kd_leaf_of_query(spark, sf_dir):
     keys = rasters.descriptors(spark, sf_dir)
-    nodes, _ = knn.kd_tree(keys, 4)
-    return knn.leaf_of(keys, nodes, 4)
+    levels = max(0, (keys.count() - 1).bit_length())
+    nodes, _ = knn.kd_tree(keys, levels)
+    return knn.leaf_of(keys, nodes, levels)
 
 
 @query()

@@ -140,15 +140,15 @@ def pyramid(levels: int) -> str:
 def kmeans(k: int, rounds: int, fixed: bool) -> str:
     size = f"({N} * 21)"
     unit = "65536" if fixed else "1"
-    ctes = [BGR, f"start AS (SELECT k.i AS k, b * {unit} AS cb, g * {unit} AS cg, r * {unit} AS cr FROM range({k}) AS k(i) JOIN bgr ON row * 21 + col = (k.i * {size}) // {k})"]
+    ctes = [BGR.replace("bgr AS (", "bgr AS MATERIALIZED ("), f"start AS MATERIALIZED (SELECT k.i AS k, b * {unit} AS cb, g * {unit} AS cg, r * {unit} AS cr FROM range({k}) AS k(i) JOIN bgr ON row * 21 + col = (k.i * {size}) // {k})"]
     source = "start"
     share = lambda c: f"CAST(sum(({c} * 65536::BIGINT) // n) AS BIGINT)" if fixed else f"sum({c})::DOUBLE / count(*)"
     for i in range(rounds + 1):
         cost = " + ".join(f"({c} - c{c} / {unit}.0::DOUBLE) * ({c} - c{c} / {unit}.0::DOUBLE)" for c in "bgr")
-        ctes.append(f"near{i} AS (SELECT row, col, b, g, r, min({{'cost': {cost}, 'k': k}}).k AS k FROM bgr, {source} GROUP BY ALL)")
+        ctes.append(f"near{i} AS MATERIALIZED (SELECT row, col, b, g, r, min({{'cost': {cost}, 'k': k}}).k AS k FROM bgr, {source} GROUP BY ALL)")
         if i < rounds:
             counted = f"(SELECT *, count(*) OVER (PARTITION BY k) AS n FROM near{i})"
-            ctes.append(f"mean{i} AS (SELECT s.k, " + ", ".join(f"coalesce(m.{c}, 0) AS c{c}" for c in "bgr") + f" FROM start s LEFT JOIN (SELECT k, {', '.join(f'{share(c)} AS {c}' for c in 'bgr')} FROM {counted} GROUP BY k) m USING (k))")
+            ctes.append(f"mean{i} AS MATERIALIZED (SELECT s.k, " + ", ".join(f"coalesce(m.{c}, 0) AS c{c}" for c in "bgr") + f" FROM start s LEFT JOIN (SELECT k, {', '.join(f'{share(c)} AS {c}' for c in 'bgr')} FROM {counted} GROUP BY k) m USING (k))")
             source = f"mean{i}"
     return f"WITH {', '.join(ctes)} SELECT row, col, {', '.join(f'CAST(floor(c{c} / {unit}.0::DOUBLE) AS INTEGER) AS {c}' for c in 'bgr')} FROM near{rounds} JOIN {source} USING (k)"
 
@@ -184,6 +184,7 @@ def refined(source_ctes: str, source: str) -> str:
     turned = f"turned AS (SELECT image_id, w AS h, h AS w, col AS row, row AS col, v FROM {source})"
     parts = ", ".join([source_ctes, convolved("c2", source, SECOND_DERIVATIVE, True), convolved("c1", source, DERIVATIVE, True), turned, convolved("ct", "turned", DERIVATIVE, True)])
     value = "CASE WHEN s.h = s.w THEN (CASE WHEN c2.v = 0 THEN '-Infinity'::DOUBLE ELSE -1.0::DOUBLE / c2.v END) * c1.v * ct.v * 0.5::DOUBLE + s.v ELSE s.v END"
+    parts = parts.replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
     return f"WITH {parts}, result AS (SELECT s.image_id, s.row, s.col, {value} AS v FROM {source} s JOIN c2 USING (image_id, row, col) JOIN c1 USING (image_id, row, col) LEFT JOIN ct USING (image_id, row, col)) SELECT image_id, row, col, CASE WHEN isnan(v) THEN 'nan' WHEN isinf(v) THEN 'inf' ELSE 'number' END AS kind, CASE WHEN isnan(v) OR isinf(v) THEN NULL ELSE round(v, 6) END AS v FROM result"
 
 
@@ -239,3 +240,28 @@ def edge_filtered(sigmas: list[float]) -> str:
     ctes.append("q AS (SELECT *, CASE WHEN det = 0 THEN 'NaN'::DOUBLE ELSE (xx + yy) * (xx + yy) / det END AS ratio FROM d)")
     bad = "(abs(v) < 7.65 AND NOT isnan(v)) OR (det <= 0 AND NOT isnan(det)) OR (ratio > 12.1 AND NOT isnan(ratio))"
     return f"WITH {', '.join(ctes)} SELECT image_id, CAST(step AS INTEGER) AS step, idx, idy FROM keys JOIN q USING (image_id, step, idx, idy) WHERE NOT ({bad})"
+
+
+def kd_levels(levels: int) -> str:
+    """CTEs of a KD tree: split0.. (key_id, node, dim, x, i, n, r), of which node is that before the split, and last."""
+    ctes = ["dims AS MATERIALIZED (SELECT dim, row_number() OVER (ORDER BY v DESC, dim DESC) - 1 AS level FROM (SELECT d.i AS dim, var_pop(CAST(embedding[d.i + 1] AS DOUBLE)) AS v FROM embeddings, range(64) AS d(i) GROUP BY d.i))"]
+    source = "(SELECT vec_id AS key_id, 1::BIGINT AS node, vec_id AS place FROM embeddings)"
+    for k in range(levels):
+        ctes.append(f"rank{k} AS MATERIALIZED (SELECT s.key_id, node, dim, x, row_number() OVER (ORDER BY node, x, place) - 1 AS i FROM (SELECT s.*, dim, CAST(embedding[dim + 1] AS DOUBLE) AS x FROM {source} s JOIN embeddings ON vec_id = key_id JOIN dims ON level = {k}) s)")
+        ctes.append(f"split{k} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY node) AS n, i - min(i) OVER (PARTITION BY node) AS r FROM rank{k})")
+        source = f"(SELECT key_id, CASE WHEN n <= 1 THEN node ELSE 2 * node + CASE WHEN r >= n // 2 THEN 1 ELSE 0 END END AS node, i AS place FROM split{k})"
+    nodes = " UNION ALL ".join(f"SELECT node AS node_id, {k} AS depth, dim, x AS median FROM split{k} WHERE n > 1 AND r = n // 2" for k in range(levels))
+    return ", ".join([*ctes, f"nodes AS MATERIALIZED ({nodes})"])
+
+
+def kd_build(levels: int) -> str:
+    """For up to 2^levels keys: further levels split nothing."""
+    return f"WITH {kd_levels(levels)} SELECT node_id, CAST(depth AS INTEGER) AS depth, CAST(dim AS INTEGER) AS dim, round(median, 9) AS median FROM nodes"
+
+
+def kd_leaf(levels: int) -> str:
+    ctes, source = [kd_levels(levels)], "(SELECT vec_id AS query_id, 1::BIGINT AS node_id FROM embeddings)"
+    for k in range(levels):
+        ctes.append(f"at{k} AS (SELECT query_id, CASE WHEN dim IS NULL THEN a.node_id ELSE 2 * a.node_id + CASE WHEN CAST(embedding[dim + 1] AS DOUBLE) < median THEN 0 ELSE 1 END END AS node_id FROM {source} a JOIN embeddings ON vec_id = query_id LEFT JOIN nodes ON nodes.node_id = a.node_id AND depth = {k})")
+        source = f"at{k}"
+    return f"WITH {', '.join(ctes)} SELECT query_id, node_id FROM {source}"
