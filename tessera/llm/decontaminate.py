@@ -55,7 +55,7 @@ class Settings:
     plain: int = 5  # words of a window that must be no placeholder
     coverage: float = 0.5
     run: int = 13
-    filter_bits: int = 26
+    filter_bits: int = 24
     common: int = 64
     salt: int = 200_000  # matches of one window that meet in a task
 
@@ -178,14 +178,12 @@ def window_filter(cut: DataFrame, bits: int) -> np.ndarray:
             at = np.unique(np.concatenate(_bits(b["hash"].to_numpy().view(np.uint64), bits)))
             yield pd.DataFrame({"at": at})
 
-    out = np.zeros(1 << bits, bool)
+    out = np.zeros(1 << max(0, bits - 6), np.uint64)
     marked = cut.select("hash").mapInPandas(mark, "at long")
     words = marked.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 AS int))")).alias("set")).toArrow()
     if words.num_rows:
-        word, held = words["word"].to_numpy(), words["set"].to_numpy().view(np.uint64)
-        for k in range(64):
-            out[word[(held >> np.uint64(k)) & np.uint64(1) > 0] * 64 + k] = True
-    return np.packbits(out, bitorder="little")
+        out[words["word"].to_numpy()] = words["set"].to_numpy().view(np.uint64)
+    return out.view(np.uint8)  # bits from the lowest on
 
 
 def _in_filter(held: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:

@@ -107,7 +107,7 @@ def fit(docs: DataFrame, use: Column | None = None, settings: Settings = Setting
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "at": [a.astype(np.int32).tobytes() for a, _ in rows], "x": [x.astype(np.float32).tobytes() for _, x in rows]})
 
     found = sample.mapInPandas(sparse, "id long, y int, at binary, x binary").dropDuplicates(["id", "y"]).toPandas().sort_values(["id", "y"])
-    rows = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float), int(y)) for a, x, y in zip(found["at"], found["x"], found["y"])]
+    rows = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32), int(y)) for a, x, y in zip(found["at"], found["x"], found["y"])]
     check = rows[::5] if len(rows) >= 25 else rows
     learn = [r for i, r in enumerate(rows) if i % 5] if len(rows) >= 25 else rows
     weights = epochs(Ftrl(1 << settings.bits, len(languages) + (len(languages) == 1), alpha=0.3, l1=0.02, l2=0.1), learn, settings.passes).weights()

@@ -60,7 +60,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Column
 
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(sparse, "doc_id long, y int, at binary, x binary")
     found = found.groupBy("doc_id").agg(F.min(F.struct("y", "at", "x")).alias("m")).select("doc_id", "m.*").toPandas().sort_values("doc_id")  # one text for each id
-    rows = [(np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(x, np.float32).astype(float), int(y)) for a, x, y in zip(found["at"], found["x"], found["y"])]
+    rows = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32), int(y)) for a, x, y in zip(found["at"], found["x"], found["y"])]
     return epochs(Ftrl(1 << bits), rows, settings.passes).weights()[:, 0]
 
 
