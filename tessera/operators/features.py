@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.kernels import DERIVATIVE, SECOND_DERIVATIVE, gauss_1d, gauss_2d
-from tessera.model import PLACE, along_col, along_row, at_offset, require, whole
+from tessera.model import BGR, PLACE, along_col, along_row, at_offset, require, whole
 from tessera.operators.point import peak, to_gray_float, transpose
 from tessera.operators.resample import bilinear_float, nearest
 from tessera.operators.stencil import ONE, convolve, neighbours
@@ -247,3 +247,17 @@ def features(image: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def numbered(keys: DataFrame) -> DataFrame:
     """key_id in the order of image, octave, step and place, counted within the image."""
     return keys.withColumn("key_id", F.row_number().over(Window.partitionBy("image_id").orderBy("oct", "step", "idx", "idy", "angle")) - 1)
+
+
+def drawn(image: DataFrame, keys: DataFrame) -> DataFrame:
+    """b, g, r rasters with a red circle of radius oct + 1 around each key (image_id, oct, idx, idy); those of keys of the doubled image are at half their places.
+
+    A circle is the places whose rounded distance to its centre is the radius. Circles are cut at the image's edges.
+    """
+    centre = lambda c: F.expr(f"cast({c} * pow(2, oct - 1) as int)")
+    round_it = "flatten(transform(sequence(-oct - 1, oct + 1), i -> transform(sequence(-oct - 1, oct + 1), j -> struct(i AS i, j AS j))))"
+    circle = F.expr(f"explode(filter({round_it}, p -> floor(sqrt(p.i * p.i + p.j * p.j) + 0.5) = oct + 1))")
+    marks = keys.select("image_id", centre("idx").alias("_y"), centre("idy").alias("_x"), circle.alias("_p"))
+    marks = marks.select("image_id", (F.col("_y") + F.col("_p.i")).alias("row"), (F.col("_x") + F.col("_p.j")).alias("col")).distinct().withColumn("_on", F.lit(True))
+    on = F.coalesce("_on", F.lit(False))
+    return require(image, *BGR).join(marks, ["image_id", "row", "col"], "left").select(*PLACE, *[F.when(on, 255 if c == "r" else 0).otherwise(F.col(c)).alias(c) for c in BGR])

@@ -6,6 +6,7 @@ the same dimension, the one of the next largest variance over all keys, at the m
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 from tessera.session import stored
 
 BLOCK = 2048  # queries that are held in memory at once
-HELD = 200_000  # keys of a tree that is searched in memory, at most
+LEVELS = 12  # levels of a tree that are searched as one block
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -120,38 +121,73 @@ def leaf_of(queries: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
     return at.select("query_id", "node_id")
 
 
-def best_bin_first(queries: DataFrame, keys: DataFrame, nodes: DataFrame, leaves: DataFrame, more_leaves: int = 7) -> DataFrame:
-    """(query_id, key_id, distance): the nearest first key of the leaf reached and of up to `more_leaves` others, cells that lie too far left out.
+def _block(node: str) -> Column:
+    """The root of the block of LEVELS levels that an inner node is in."""
+    return F.expr(f"shiftright({node}, cast((length(bin({node})) - 1) % {LEVELS} as int))")
+
 
-    The tree is held by every task, so its size is checked; for more keys take nearest_exact().
+def _walked(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    """Queries after their search inside one block of the tree.
+
+    `stack` holds, as JSON, the entries that are open: node, its block, and the gaps by dimension between the query and
+    the node's cell. A query stops where its next entry lies in another block, which `block` then names, or is done (null).
     """
-    if keys.count() > HELD:
-        raise ValueError(f"more than {HELD} keys: nearest_exact() takes any number")
-    tree = {r["node_id"]: (r["dim"], r["median"]) for r in nodes.collect()}
-    first = leaves.groupBy("node_id").agg(F.min(F.struct("place", "key_id"))["key_id"].alias("key_id")).join(keys, "key_id").select("node_id", "key_id", "descriptors").collect()
-    leaf = {r["node_id"]: (r["key_id"], np.array(r["descriptors"])) for r in first}
-
-    def one(q: np.ndarray) -> tuple[int, float]:
-        best, left, open_nodes = (-1, np.inf), more_leaves + 1, [(1, {})]
-        while open_nodes and left:
-            node, gaps = open_nodes.pop()
-            if sum(g * g for g in gaps.values()) > best[1]:
-                continue
-            if node not in tree:
-                if node in leaf:
-                    left -= 1
-                    key, x = leaf[node]
-                    distance = float(((q - x) ** 2).sum())
-                    best = min(best, (key, distance), key=lambda b: b[1])
+    inner, leaf = {}, {}
+    for node, dim, median, key, x in zip(block["node_id"], block["dim"], block["median"], block["key_id"], block["descriptors"]):
+        if x is None:
+            inner[int(node)] = (int(dim), float(median))
+        else:
+            leaf[int(node)] = (int(key), np.array(x))
+    out = queries.copy()
+    for i, (q, at, stack, left, key, distance) in enumerate(zip(queries["descriptors"], queries["block"], queries["stack"], queries["left"], queries["key_id"], queries["distance"])):
+        entries = json.loads(stack)
+        while entries and left:
+            node, home, gaps = entries[-1]
+            far_off = sum(g * g for g in gaps.values()) > distance
+            if not far_off and home != at:
+                break
+            entries.pop()
+            if far_off:
                 continue
-            dim, median = tree[node]
-            near, far = (2 * node, 2 * node + 1) if q[dim] < median else (2 * node + 1, 2 * node)
-            open_nodes += [(far, gaps | {dim: max(abs(q[dim] - median), gaps.get(dim, 0.0))}), (near, gaps)]
-        return best
+            if node in leaf:
+                left -= 1
+                d = float(((q - leaf[node][1]) ** 2).sum())
+                if d < distance:
+                    key, distance = leaf[node][0], d
+            elif node in inner:
+                dim, median = inner[node]
+                low, high = ((c, at if c in inner or c in leaf else c) for c in (2 * node, 2 * node + 1))
+                near, far = (low, high) if q[dim] < median else (high, low)
+                entries += [[*far, gaps | {str(dim): max(abs(q[dim] - median), gaps.get(str(dim), 0.0))}], [*near, gaps]]
+        more = entries and left
+        for column, value in (("block", entries[-1][1] if more else -1), ("stack", json.dumps(entries) if more else "[]"), ("left", left), ("key_id", key), ("distance", distance)):
+            out.iat[i, out.columns.get_loc(column)] = value
+    return out[STATE]
+
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [one(np.array(x)) for x in b["descriptors"]]
-            yield pd.DataFrame({"query_id": b["key_id"], "key_id": [k for k, _ in found], "distance": [d for _, d in found]})
+STATE = ["query_id", "descriptors", "block", "stack", "left", "key_id", "distance"]
 
-    return queries.select("key_id", "descriptors").mapInPandas(search, "query_id long, key_id long, distance double")
+
+def best_bin_first(queries: DataFrame, keys: DataFrame, nodes: DataFrame, leaves: DataFrame, more_leaves: int = 7) -> DataFrame:
+    """(query_id, key_id, distance): the nearest first key of the leaf reached and of up to `more_leaves` others, cells that lie too far left out.
+
+    The tree is cut into blocks of LEVELS levels (4,095 nodes and 4,096 leaves at most). In each round the queries
+    meet, in groups of about BLOCK, the block of their next open cell and search it as far as it goes, so no task holds more
+    than one block, and a block that many queries need is sent out once a group. Without keys the key_id is -1.
+    """
+    schema = "query_id long, descriptors array<double>, block long, stack string, left long, key_id long, distance double"
+    first = leaves.groupBy("node_id").agg(F.min(F.struct("place", "key_id"))["key_id"].alias("key_id")).join(keys.select("key_id", "descriptors"), "key_id")
+    parent = first.withColumn("_up", F.expr("greatest(node_id div 2, 1L)"))
+    tree = nodes.select(_block("node_id").alias("block"), "node_id", F.col("dim").cast("int").alias("dim"), "median", F.lit(None).cast("long").alias("key_id"), F.lit(None).cast("array<double>").alias("descriptors"))
+    tree = stored(tree.unionByName(parent.select(_block("_up").alias("block"), "node_id", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("double").alias("median"), "key_id", "descriptors")), "tree")
+    begun = F.lit(json.dumps([[1, 1, {}]]))
+    state = stored(queries.select(F.col("key_id").alias("query_id"), "descriptors", F.lit(1).cast("long").alias("block"), begun.alias("stack"), F.lit(more_leaves + 1).cast("long").alias("left"), F.lit(-1).cast("long").alias("key_id"), F.lit(float("inf")).alias("distance")), "search")
+    done = state.where("block < 0")
+    while not (active := state.where("block >= 0")).isEmpty():
+        groups = active.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("_groups"))
+        asked = active.join(groups, "block").withColumn("_group", F.pmod(F.xxhash64("query_id"), F.col("_groups")))
+        sent = tree.join(groups, "block").withColumn("_group", F.explode(F.expr("sequence(0L, _groups - 1)")))
+        pair = asked.drop("_groups").groupBy("block", "_group").cogroup(sent.drop("_groups").groupBy("block", "_group"))
+        state = stored(pair.applyInPandas(_walked, schema), "search")
+        done = done.unionByName(state.where("block < 0"))
+    return done.select("query_id", "key_id", "distance")

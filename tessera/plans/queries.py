@@ -346,6 +346,15 @@ def sift(spark, sf_dir):
     return features.numbered(features.features(gray.select("image_id", "h", "w", "row", "col", *[F.col("v").cast("int").alias(c) for c in BGR])))
 
 
+@query(
+    f"WITH {sql.TILES}, marks AS (SELECT DISTINCT vec_id // 64 AS image_id, CAST(trunc((vec_id % 128) * 2.0::DOUBLE ** (o - 1)) AS INTEGER) + i.i AS row, CAST(trunc((vec_id * 7 % 128) * 2.0::DOUBLE ** (o - 1)) AS INTEGER) + j.i AS col FROM (SELECT vec_id, vec_id % 3 AS o FROM embeddings), range(-3, 4) AS i(i), range(-3, 4) AS j(i) WHERE floor(sqrt(i.i * i.i + j.i * j.i) + 0.5) = o + 1) SELECT t.image_id, t.row, t.col, {', '.join(f"CASE WHEN m.row IS NULL THEN CAST(v AS INTEGER) ELSE {255 if c == 'r' else 0} END AS {c}" for c in BGR)} FROM tiles t LEFT JOIN marks m ON m.image_id = t.image_id AND m.row = t.row AND m.col = t.col"
+)
+def keys_drawn(spark, sf_dir):
+    tiles = rasters.tiles(spark, sf_dir)
+    keys = spark.read.parquet(f"{sf_dir}/embeddings.parquet").selectExpr("vec_id div 64 AS image_id", "cast(vec_id % 3 as int) AS oct", "cast(vec_id % 128 as int) AS idx", "cast(vec_id * 7 % 128 as int) AS idy")
+    return features.drawn(tiles.select("image_id", "h", "w", "row", "col", *[F.col("v").cast("int").alias(c) for c in BGR]), keys).drop("h", "w")
+
+
 @query("SELECT CAST(k AS INTEGER) AS k, round((k * 10 + 5 + CASE WHEN l - 2 * p + r <> 0 THEN 5.0::DOUBLE * (l - r) / (l - 2 * p + r) END) * (pi() / 180), 6) AS angle FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS i, (vec_id % 34) + 1 AS k, CAST(embedding[1] AS DOUBLE) AS l, 2 + CAST(embedding[2] AS DOUBLE) AS p, CAST(embedding[3] AS DOUBLE) AS r FROM embeddings)")
 def vertex_parabola(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -441,7 +450,7 @@ def keyfile_roundtrip(spark, sf_dir):
 
 @query()
 def png_images(spark, sf_dir):
-    return images.encode_png(rasters.bgr(spark, sf_dir))
+    return images.encode_png(rasters.bgr_tiles(spark, sf_dir))
 
 
 @query("SELECT 'heat' AS image, CAST(sum(v) AS DOUBLE) AS total, CAST(max(v) AS DOUBLE) AS most FROM (WITH " + sql.HEAT + " SELECT v FROM heat)")

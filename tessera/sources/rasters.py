@@ -59,3 +59,9 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, row = _heights(spark, sf_dir), F.col("vec_id")
     e = _table(spark, sf_dir, "embeddings").select(F.expr(f"vec_id div {WIDTH}").alias("image_id"), (row % WIDTH).cast("int").alias("row"), F.posexplode("embedding").alias("col", "e"))
     return e.select("image_id", F.least(F.lit(WIDTH), n - F.col("image_id") * WIDTH).cast("int").alias("h"), F.lit(WIDTH).alias("w"), "row", "col", _sample(F.col("e")).alias("v"))
+
+
+def bgr_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bgr() as images of 64 rows; the last one has as many as are left."""
+    image = F.expr(f"row div {WIDTH}")
+    return bgr(spark, sf_dir).select(image.alias("image_id"), F.least(F.lit(WIDTH), F.col("h") - image * WIDTH).cast("int").alias("h"), "w", (F.col("row") % WIDTH).cast("int").alias("row"), "col", "b", "g", "r")

@@ -236,6 +236,69 @@ def test_search(spark):
     assert found == exact
 
 
+@pytest.mark.parametrize("levels, block", [(2, 12), (7, 3), (40, 2)])
+def test_search_in_blocks(spark, monkeypatch, levels, block):
+    """Blocks of any height and groups of any size give what a search of the whole tree gives, for any number of leaves."""
+    rng = np.random.default_rng(11)
+    data, asked = rng.random((90, 8)), rng.random((12, 8))
+    make = lambda a: spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(a)], "key_id long, descriptors array<double>")
+    keys = make(data)
+    nodes, leaves = knn.kd_tree(keys, levels)
+    inner = {r["node_id"]: (r["dim"], r["median"]) for r in nodes.collect()}
+    first = {r["node_id"]: r["m"]["key_id"] for r in leaves.groupBy("node_id").agg(F.min(F.struct("place", "key_id")).alias("m")).collect()}
+
+    def plain(q, budget):
+        best, stack = (-1, math.inf), [(1, {})]
+        while stack and budget:
+            node, gaps = stack.pop()
+            if sum(g * g for g in gaps.values()) > best[1]:
+                continue
+            if node in first:
+                budget -= 1
+                d = ((q - data[first[node]]) ** 2).sum()
+                best = (first[node], d) if d < best[1] else best
+                continue
+            dim, median = inner[node]
+            sides = [2 * node, 2 * node + 1][:: 1 if q[dim] < median else -1]
+            stack += [(sides[1], {**gaps, dim: max(abs(q[dim] - median), gaps.get(dim, 0))}), (sides[0], gaps)]
+        return best
+
+    monkeypatch.setattr(knn, "LEVELS", block)
+    monkeypatch.setattr(knn, "BLOCK", 5)
+    for more in (0, 7):
+        found = {r["query_id"]: (r["key_id"], pytest.approx(r["distance"])) for r in knn.best_bin_first(make(asked), keys, nodes, leaves, more).collect()}
+        assert found == {i: plain(q, more + 1) for i, q in enumerate(asked)}
+
+
+def test_search_without_keys(spark):
+    none = spark.createDataFrame([], "key_id long, descriptors array<double>")
+    one = spark.createDataFrame([(4, [1.0, 2.0])], none.schema)
+    assert [r["key_id"] for r in knn.best_bin_first(one, none, *knn.kd_tree(none)).collect()] == [-1]
+    assert [tuple(r) for r in knn.best_bin_first(one, one, *knn.kd_tree(one)).collect()] == [(4, 4, 0.0)]
+    assert knn.best_bin_first(none, one, *knn.kd_tree(one)).isEmpty()
+
+
+def test_stereo_against_all_windows(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    pairs = [(rng.integers(0, 4, (h, w)), rng.integers(0, 4, (h, w))) for h, w in ((17, 15), (5, 9), (4, 3))]
+    monkeypatch.setattr(stereo, "BAND", 5)
+    found = {(r["image_id"], r["row"], r["col"]): r["d"] for r in stereo.disparity(plane(spark, *[a for a, _ in pairs]), plane(spark, *[b for _, b in pairs]), reach=2, most=6).collect()}
+    expected = {}
+    for k, (a, b) in enumerate(pairs):
+        h, w = a.shape
+        for i in range(2, h - 2):
+            for j in range(2, w - 2):
+                cost = {d: ((a[i - 2 : i + 2, j - 2 : j + 2] - b[i - 2 : i + 2, j - d - 2 : j - d + 2]) ** 2).sum() for d in range(-w, 7) if 2 <= j - d <= w - 2}
+                expected[k, i, j] = min(cost, key=lambda d: (cost[d], d))
+    assert found == expected and len(found) > 100
+
+
+def test_drawing(spark):
+    keys = spark.createDataFrame([(0, 0, 10, 11), (0, 1, 0, 8), (0, 1, 0, 8)], "image_id long, oct int, idx int, idy int")
+    red = array(features.drawn(colour(spark, np.full((9, 9, 3), 7)), keys), "r") == 255
+    assert {(int(i), int(j)) for i, j in np.argwhere(red)} == {(i, j) for i in range(9) for j in range(9) if any(int(math.hypot(i - y, j - x) + 0.5) == r for y, x, r in ((5, 5, 1), (0, 8, 2)))}
+
+
 def test_stereo_finds_the_shift(spark):
     a = np.random.default_rng(6).integers(0, 256, (26, 40))
     left = plane(spark, a)
