@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.model import PLACE, require
+from tessera.session import stored
 
 BAND = 64  # rows that one task matches at once
 
@@ -62,7 +63,7 @@ def disparity(left: DataFrame, right: DataFrame, reach: int = 10, most: int = 25
 
 def depth(left: DataFrame, right: DataFrame, camera: Camera = Camera(), reach: int = 10, most: int = 250) -> DataFrame:
     """Depth scaled to 255 (near) .. 0 (far) over the image's range; places without a window have depth 0 before scaling."""
-    z = disparity(left, right, reach, most).select("image_id", "row", "col", (camera.focal * camera.baseline / (F.abs("d") + camera.offset)).alias("z"))
+    z = stored(disparity(left, right, reach, most), "disparity").select("image_id", "row", "col", (camera.focal * camera.baseline / (F.abs("d") + camera.offset)).alias("z"))
     span = z.groupBy("image_id").agg(F.min("z").alias("low"), F.max("z").alias("high"))
     every = left.select(*PLACE).join(z, ["image_id", "row", "col"], "left").join(span, "image_id")
     scaled = 255.0 - (F.coalesce("z", F.lit(0.0)) - F.col("low")) * 255.0 / (F.col("high") - F.col("low"))
