@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +12,10 @@ from pyspark.sql import functions as F
 
 from tessera.session import stored
 
-__all__ = ["Memo", "boxed", "held_out", "mix64", "partitions", "stored", "table"]
+__all__ = ["Memo", "SLICE", "boxed", "code_points", "held_out", "mix64", "partitions", "slices", "stored", "table"]
+
+SLICE = 1 << 20  # characters of a text that are worked on at once, which bounds the memory that a long one takes
+SPACE = re.compile(r"\s")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +47,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def slices(text: str) -> Iterator[str]:
+    """The text in slices of about SLICE characters, cut before white space so that no word is."""
+    at = 0
+    while at < len(text):
+        cut = SPACE.search(text, at + SLICE)
+        end = cut.start() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 class Memo(dict):
     """token -> 64-bit hash (as int), remembered; emptied when it grows beyond `most` entries."""
 

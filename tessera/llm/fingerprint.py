@@ -3,7 +3,8 @@
 A rolling hash over seven code points sets the boundaries; each piece between them gives one of 64 signs. The
 block size is the power-of-two multiple of three under which a text has about 64 pieces; a fingerprint is
 `block:signs:signs` with the signs at the block size and at twice it. A signature has at most LONGEST signs: the
-last one hashes all the rest of the text, so whole texts count. Fingerprints are compared by edit distance where
+last one hashes all the rest of the text, so whole texts count. Texts are read in slices, so a long one takes little
+more memory than itself. Fingerprints are compared by edit distance where
 their block sizes are equal or a factor of two apart, else their likeness is 0.
 
 Defined cases: a null text is empty; the empty text has the fingerprint `3::`, equal ones have likeness 1;
@@ -14,7 +15,7 @@ as the next document and each get a row; several texts under one doc_id are orde
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import mix64, partitions, stored
+from tessera.llm import common
+from tessera.llm.common import code_points, mix64, partitions, stored
 
 SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 SMALLEST, WIDE, LONGEST = 3, 7, 128
@@ -37,34 +39,52 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def _signature(values: np.ndarray, rolled: np.ndarray, block: int) -> str:
+def _hashed(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Slices of the text: hashes of its code points, and the rolling hash that ends at each of them."""
+    for at in range(0, len(text), common.SLICE):
+        before = min(at, WIDE - 1)
+        values = mix64(code_points(text[at - before : at + common.SLICE]).astype(np.uint64) + np.uint64(1))
+        rolled = values.copy()
+        for k in range(1, min(WIDE, len(values))):
+            rolled[k:] += values[:-k] << np.uint64(5 * k)
+        yield values[before:], mix64(rolled[before:])
+
+
+def _signature(parts: Iterable[tuple[np.ndarray, np.ndarray]], block: int) -> str:
     """One sign per piece; pieces end where the rolling hash triggers, and the last one goes to the end."""
-    ends = np.flatnonzero(rolled % np.uint64(block) == block - 1)[: LONGEST - 1] + 1
-    starts = np.concatenate([[0], ends[ends < len(values)]])
-    lengths = np.diff(np.append(starts, len(values)))
-    offset = np.arange(len(values)) - np.repeat(starts, lengths)
-    longest = 1 << int(lengths.max()).bit_length()
-    pieces = np.add.reduceat(values * _powers(longest)[offset], starts)
-    return "".join(SIGNS[k] for k in (mix64(pieces) >> np.uint64(58)).tolist())
+    done: list[int] = []
+    held = length = 0  # hash and length of the piece that the next slice goes on with
+    for values, rolled in parts:
+        ends = np.flatnonzero(rolled % np.uint64(block) == block - 1)[: LONGEST - 1 - len(done)] + 1
+        starts = np.concatenate([[0], ends[ends < len(values)]])
+        lengths = np.diff(np.append(starts, len(values)))
+        offset = np.arange(len(values)) - np.repeat(starts, lengths)
+        longest = 1 << int(lengths.max()).bit_length()
+        pieces = np.add.reduceat(values * _powers(longest)[offset], starts).tolist()
+        pieces[0] = pieces[0] * pow(BASE, length, 1 << 64) + held & (1 << 64) - 1
+        length = int(lengths[-1]) + (length if len(pieces) == 1 else 0)
+        held = pieces.pop()
+        done += pieces
+        if len(ends) and ends[-1] == len(values):
+            done.append(held)
+            held = length = 0
+    if length:
+        done.append(held)
+    return "".join(SIGNS[k] for k in (mix64(np.array(done, np.uint64)) >> np.uint64(58)).tolist())
 
 
 def fingerprint(text: str) -> str:
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if not len(c):
+    if not text:
         return f"{SMALLEST}::"
-    values = mix64(c + np.uint64(1))
-    rolled = values.copy()
-    for k in range(1, min(WIDE, len(c))):
-        rolled[k:] += values[:-k] << np.uint64(5 * k)
-    rolled = mix64(rolled)
+    short = list(_hashed(text)) if len(text) <= common.SLICE else None  # a longer text is hashed anew for each block size
     block = SMALLEST
-    while block * 64 < len(c):
+    while block * 64 < len(text):
         block *= 2
-    signs = _signature(values, rolled, block)
+    signs = _signature(short or _hashed(text), block)
     while len(signs) < 32 and block > SMALLEST:
         block //= 2
-        signs = _signature(values, rolled, block)
-    return f"{block}:{signs}:{_signature(values, rolled, 2 * block)}"
+        signs = _signature(short or _hashed(text), block)
+    return f"{block}:{signs}:{_signature(short or _hashed(text), 2 * block)}"
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -125,7 +145,10 @@ def _compared(doc_id: int | None, text: str, own: str, following: str, next_own:
     """A row of RESULT, from the text and the next document's, and the fingerprints of both."""
     e = edited(text, following)
     of_edited = fingerprint(e)
-    return doc_id, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), own, of_edited, likeness(own, of_edited), likeness(own, next_own)
+    digest = hashlib.sha256()
+    for at in range(0, len(e), common.SLICE):
+        digest.update(e[at : at + common.SLICE].encode("utf-8", "surrogatepass"))
+    return doc_id, len(text), digest.hexdigest(), own, of_edited, likeness(own, of_edited), likeness(own, next_own)
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

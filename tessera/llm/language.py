@@ -18,11 +18,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out
+from tessera.llm import common
+from tessera.llm.common import code_points, held_out
 from tessera.llm.ftrl import Ftrl, epochs
 
 
-
 def has_letter(text: str) -> bool:
     """Whether a character has the category L."""
     return any(map(str.isalpha, text))
@@ -38,16 +38,18 @@ class Settings:
 
 def counts(text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed n-grams of the lower-cased code points and how often each occurs."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    total = np.zeros(1 << settings.bits, np.int64)
-    for n in settings.orders:
-        if len(c) >= n:
-            h = np.full(len(c) - n + 1, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
-            for k in range(n):
-                h = (h ^ c[k : len(c) - n + 1 + k]) * np.uint32(0x85EBCA6B)
-                h ^= h >> np.uint32(15)
-            h *= np.uint32(0xC2B2AE35)
-            total += np.bincount(h >> np.uint32(32 - settings.bits), minlength=len(total))
+    low, total = text.lower(), np.zeros(1 << settings.bits, np.int64)
+    for start in range(0, len(low), common.SLICE):
+        c = code_points(low[start : start + common.SLICE + max(settings.orders) - 1])
+        for n in settings.orders:
+            size = min(common.SLICE, len(c) - n + 1)  # n-grams that begin in this slice
+            if size > 0:
+                h = np.full(size, n * 0x9E3779B1 & 0xFFFFFFFF, np.uint32)
+                for k in range(n):
+                    h = (h ^ c[k : size + k]) * np.uint32(0x85EBCA6B)
+                    h ^= h >> np.uint32(15)
+                h *= np.uint32(0xC2B2AE35)
+                total += np.bincount(h >> np.uint32(32 - settings.bits), minlength=len(total))
     at = np.flatnonzero(total)
     return at, total[at]
 

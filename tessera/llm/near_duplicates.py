@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Memo, boxed, mix64, stored
+from tessera.llm.common import Memo, boxed, mix64, slices, stored
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ class Settings:
 
 
 def word_hashes(text: str | None, memo: Memo) -> np.ndarray:
-    return np.array([memo[w] for w in text.split()] if text else [], dtype=np.uint64)
+    return np.concatenate([np.empty(0, np.uint64), *(np.array([memo[w] for w in s.split()], np.uint64) for s in slices(text or ""))])
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, held_out, mix64
+from tessera.llm.common import Memo, held_out, mix64, slices
 from tessera.llm.ftrl import Ftrl, epochs
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -32,8 +32,7 @@ class Settings:
 
 def features(text: str | None, bits: int, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed one- and two-word features with damped counts of unit length; coordinate 0 is the bias."""
-    tokens = TOKEN.findall(text) if text else []
-    one = np.array([memo[t] for t in tokens], dtype=np.uint64)
+    one = np.concatenate([np.empty(0, np.uint64), *(np.array([memo[t] for t in TOKEN.findall(s)], np.uint64) for s in slices(text or ""))])
     two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]
     at = (mix64(np.concatenate([one, two])) >> np.uint64(64 - bits)).astype(np.int64)
     at, count = np.unique(at[at > 0], return_counts=True)

@@ -36,6 +36,7 @@ LOWEST = -(1 << 63)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 BASE = 0x5851F42D4C957F2D
+AT_ONCE = 1 << 17  # words of a chunk that are hashed at once, which bounds the memory that a long text takes
 
 
 @dataclass(frozen=True)
@@ -77,9 +78,13 @@ class Chunk:
         space = SPACE[b]
         begin = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])[: len(b)])
         end = np.flatnonzero(~space & np.concatenate([space[1:], [True]])[: len(b)]) + 1
-        up, down = _both(len(b))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_letters()[b] * up[: len(b)])])
-        self.words = mix64((sums[end] - sums[begin]) * down[begin])
+        self.words = np.empty(len(begin), np.uint64)
+        for at in range(0, len(begin), AT_ONCE):
+            low, high = begin[at : at + AT_ONCE], end[at : at + AT_ONCE]
+            part = b[low[0] : high[-1]]
+            up, down = _both(len(part))
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(_letters()[part] * up[: len(part)])])
+            self.words[at : at + AT_ONCE] = mix64((sums[high - low[0]] - sums[low - low[0]]) * down[low - low[0]])
         self.doc = np.searchsorted(self.ends, begin, side="right")
         self.first = np.searchsorted(self.doc, np.arange(len(self.ids)))
         self.place = np.arange(len(begin)) - self.first[self.doc] if len(begin) else np.zeros(0, np.int64)
