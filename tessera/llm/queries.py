@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, fingerprint, language, mixing, near_duplicates, pages, pii, quality, repeats, sharding
+from tessera.llm import decontaminate, fim, fingerprint, language, mixing, near_duplicates, packing, pages, pii, quality, repeats, sharding, yinyang
 from tessera.llm.common import table
 
 
@@ -50,8 +50,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.public(), with_ids=False)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_sharding, op3_repeats, op4_mixing, op5_language, op6_fingerprint, op7_pages, op8_near_duplicates, op9_decontaminate, op10_quality)
+    f.__name__: f for f in (op1_pii, op2_sharding, op3_repeats, op4_mixing, op5_language, op6_fingerprint, op7_pages, op8_near_duplicates, op9_decontaminate, op10_quality, op11_packing, op12_clusters, op13_fill_in_middle)
 }
 
 REPEATS_SQL = r"""
@@ -71,4 +83,4 @@ SELECT d.doc_id, count(i) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS
 FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-SQL: dict[str, str] = {"op3_repeats": REPEATS_SQL, "op4_mixing": mixing.sql()}
+SQL: dict[str, str] = {"op3_repeats": REPEATS_SQL, "op4_mixing": mixing.sql(), "op12_clusters": yinyang.sql(), "op13_fill_in_middle": fim.sql()}
