@@ -1,8 +1,8 @@
 """Local features: scale space, extrema, refinement, orientations, descriptors.
 
-An octave is one wide relation: the base v and its blurs s1..s5, all from one window along the rows and one along the
-columns. Key points are rows (image_id, oct, step, idx, idy, ...); what a key needs of its surroundings comes by an equi-join
-of its places with the plane of its octave.
+An octave is one wide relation: the base v and its blurs s1..s5. Blurs, extrema and the refinement of planes are stencils on halo
+tiles: one exchange each, whatever the kernel's size. Key points are rows (image_id, oct, step, idx, idy, ...); what a key needs
+of its surroundings is one array, cut from the tile that it lies in.
 """
 
 from __future__ import annotations
@@ -10,16 +10,20 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera import tiles
 from tessera.functions.kernels import DERIVATIVE, SECOND_DERIVATIVE, gauss_1d, gauss_2d
-from tessera.model import BGR, PLACE, along_col, along_row, at_offset, require, whole
-from tessera.operators.point import peak, to_gray_float, transpose
+from tessera.model import BGR, PLACE, require
+from tessera.operators.point import peak, to_gray_float
 from tessera.operators.resample import bilinear_float, nearest
-from tessera.operators.stencil import ONE, convolve, neighbours
+from tessera.operators.stencil import ONE, Kernel, neighbours
 from tessera.session import stored
+from tessera.tiles import SIDE, Tile
 
 TURN = 2 * math.pi
 
@@ -38,24 +42,31 @@ class Settings:
         return [self.sigma * 2 ** ((self.levels * octave + step) / self.levels) for step in range(1, self.levels + 1)]
 
 
-def blurs(df: DataFrame, sigmas: list[float]) -> DataFrame:
-    """v with its separable Gaussian blurs s1, s2, ... (as gaussian_separable() gives them), in two exchanges for all."""
+def _folded(v: np.ndarray, kernel: list[float]) -> np.ndarray:
+    """The kernel along the rows of v, in whole fixed-point products; v has the columns it needs on both sides."""
+    n, total = len(kernel), None
+    for k, weight in enumerate(kernel):  # the first weight meets the value furthest to the right
+        part = np.trunc(v[:, n - 1 - k : v.shape[1] - k] * weight * float(ONE)).astype(np.int64)
+        total = part if total is None else total + part
+    return np.trunc(total / float(ONE))
+
+
+def blurs(df: DataFrame, sigmas: list[float], side: int = SIDE) -> DataFrame:
+    """v with its separable Gaussian blurs s1, s2, ... (as gaussian_separable() gives them), in one exchange for all."""
     kernels = [gauss_1d(s) for s in sigmas]
-    offsets = sorted({x for k in kernels for x in range(len(k) // 2 - len(k) + 1, len(k) // 2 + 1)})
-    name = lambda i, x: f"_{i}_{x + len(offsets)}"
+    halo = max(len(k) for k in kernels) // 2
 
-    def summed(i: int, source: str, size: str, column: Column) -> Column:
-        k = kernels[i]
-        total = F.lit(0).cast("bigint")
-        for x in range(len(k) // 2 - len(k) + 1, len(k) // 2 + 1):
-            total = total + whole(F.coalesce(F.col(name(source, x)), F.lit(0.0)) * k[len(k) // 2 - x] * float(ONE)).cast("bigint")
-        return F.when(F.col(size) >= len(k), whole(total / F.lit(float(ONE))).cast("double")).otherwise(column)
+    def blurred(tile: Tile) -> pd.DataFrame:
+        base, made = np.nan_to_num(tile.planes["v"]), {}
+        for i, k in enumerate(kernels, 1):
+            before, after = len(k) - 1 - len(k) // 2, len(k) // 2
+            across = _folded(base[:, halo - before : base.shape[1] - halo + after], k) if tile.w >= len(k) else base[:, halo : halo + tile.cols]
+            down = _folded(across[halo - before : across.shape[0] - halo + after].T, k).T if tile.h >= len(k) else across[halo : halo + tile.rows]
+            made[f"s{i}"] = down
+        return tile.pixels(v=tile.at("v"), **made)
 
     df = require(df, "v").select(*PLACE, F.col("v").cast("double").alias("v"))
-    out = df.withColumns({name("v", x): at_offset("v", x, along_row()) for x in offsets})
-    out = out.select(*PLACE, "v", *[summed(i, "v", "w", F.col("v")).alias(f"h{i}") for i in range(len(kernels))])
-    out = out.withColumns({name(i, x): at_offset(f"h{i}", x, along_col()) for i, k in enumerate(kernels) for x in range(len(k) // 2 - len(k) + 1, len(k) // 2 + 1)})
-    return out.select(*PLACE, "v", *[summed(i, str(i), "h", F.col(f"h{i}")).alias(f"s{i + 1}") for i in range(len(kernels))])
+    return tiles.mapped(df, ["v"], halo, blurred, f"{tiles.schema_of(df)}, {', '.join(f's{i} double' for i in range(1, len(kernels) + 1))}", side)
 
 
 def octaves(gray: DataFrame, settings: Settings = Settings()) -> list[DataFrame]:
@@ -73,19 +84,26 @@ def differences(planes: DataFrame) -> DataFrame:
     return planes.select(*PLACE, *[(F.col(f"s{k}") - F.col("v")).alias(f"d{k - 1}") for k in range(1, 6)])
 
 
-def extrema(planes: DataFrame, octave: int, settings: Settings = Settings()) -> DataFrame:
+def extrema(planes: DataFrame, octave: int, settings: Settings = Settings(), side: int = SIDE) -> DataFrame:
     """Places that are above or below all 26 neighbours in their difference plane and the ones beside it."""
-    out, both = neighbours(differences(planes), [-1, 0, 1], [-1, 0, 1])
-    around = lambda k, centre: [F.col(both[f"d{k}", y, x]) for y in (-1, 0, 1) for x in (-1, 0, 1) if centre or (y, x) != (0, 0)]
-    found = []
-    for step in (1, 2, 3):
-        v, others = F.col(f"d{step}"), around(step - 1, True) + around(step, False) + around(step + 1, True)
-        found.append(F.when((v > F.greatest(*others)) | (v < F.least(*others)), F.lit(step)))
-    inner = (F.col("row") >= 1) & (F.col("row") < F.col("h") - 1) & (F.col("col") >= 1) & (F.col("col") < F.col("w") - 1)
-    steps = out.where(inner).withColumn("step", F.explode(F.array_compact(F.array(*found))))
+    around = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+
+    def found(tile: Tile) -> pd.DataFrame:
+        row, col = tile.places()
+        inner = (row >= 1) & (row < tile.h - 1) & (col >= 1) & (col < tile.w - 1)
+        parts = []
+        for step in (1, 2, 3):
+            v = tile.at(f"d{step}")
+            others = [tile.at(f"d{k}", y, x) for k in (step - 1, step, step + 1) for y, x in around if (k, y, x) != (step, 0, 0)]
+            with np.errstate(invalid="ignore"):
+                at = inner & ((v > np.maximum.reduce(others)) | (v < np.minimum.reduce(others)))
+            parts.append(pd.DataFrame({"image_id": tile.image_id, "h": np.int32(tile.h), "w": np.int32(tile.w), "step": np.int32(step), "idx": row[at], "idy": col[at]}))
+        return pd.concat(parts)
+
+    steps = tiles.mapped(differences(planes), [f"d{k}" for k in range(5)], 1, found, "image_id long, h int, w int, step int, idx int, idy int", side)
     k, e = 2 ** (1 / settings.levels), 5 + 3 * octave - 6 + F.col("step")
     scale = (F.pow(F.lit(k), e - 1) + F.pow(F.lit(k), e)) / 2 * settings.sigma
-    return steps.select("image_id", F.lit(octave).alias("oct"), "step", F.col("row").alias("idx"), F.col("col").alias("idy"), scale.alias("scale"), (F.col("col") / F.col("w")).alias("posx"), (F.col("row") / F.col("h")).alias("posy"))
+    return steps.select("image_id", F.lit(octave).alias("oct"), "step", "idx", "idy", scale.alias("scale"), (F.col("idy") / F.col("w")).alias("posx"), (F.col("idx") / F.col("h")).alias("posy"))
 
 
 def orientation(df: DataFrame, column: str = "v") -> DataFrame:
@@ -97,41 +115,76 @@ def orientation(df: DataFrame, column: str = "v") -> DataFrame:
     return out.select(*PLACE, F.when(theta < 0, theta + TURN).otherwise(theta).alias("theta"), F.sqrt(down * down + right * right).alias("mag"), "v")
 
 
-def refined(plane: DataFrame) -> DataFrame:
+def _mirrored(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with a second value _t of each name: of the transposed image at the same place, for square images; else null."""
+    sides = [F.struct(F.col("row"), F.col("col"), *[F.col(c) for c in names], *[F.lit(None).cast("double").alias(f"{c}_t") for c in names])]
+    sides.append(F.struct(F.col("col").alias("row"), F.col("row").alias("col"), *[F.lit(None).cast("double").alias(c) for c in names], *[F.col(c).alias(f"{c}_t") for c in names]))
+    both = F.when(F.col("h") == F.col("w"), F.array(*sides)).otherwise(F.array(sides[0]))
+    return df.select("image_id", "h", "w", F.explode(both).alias("_p")).select("image_id", "h", "w", "_p.*")
+
+
+def _summed_singly(tile: Tile, name: str, kernel: Kernel, grow: int) -> np.ndarray:
+    """The kernel as convolve(exact=True) applies it: the running sum in single precision, without fraction after each product."""
+    kh, kw, single = len(kernel), len(kernel[0]), np.float32
+    if tile.h < kh or tile.w < kw:
+        return tile.at(name, grow=grow)
+    total = np.zeros((tile.rows + 2 * grow, tile.cols + 2 * grow), single)
+    for y in range(kh // 2 - kh + 1, kh // 2 + 1):
+        for x in range(kw // 2 - kw + 1, kw // 2 + 1):
+            v = np.nan_to_num(tile.at(name, y, x, grow)).astype(single)
+            total = np.trunc(total + v * single(kernel[kh // 2 - y][kw // 2 - x]) * single(ONE))
+    return np.trunc(total.astype(float) / float(ONE))
+
+
+def _refined_block(tile: Tile, name: str, grow: int = 0) -> np.ndarray:
+    """The corrected plane of a tile: both derivatives and that of the transposed plane in one pass over its arrays."""
+    v = tile.at(name, grow=grow)
+    if tile.h != tile.w:
+        return v
+    c = _summed_singly(tile, name, SECOND_DERIVATIVE, grow)
+    y, x = _summed_singly(tile, name, DERIVATIVE, grow), _summed_singly(tile, f"{name}_t", DERIVATIVE, grow)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        factor = np.where(c == 0, -np.inf, -1.0 / c)
+        return factor * y * x * 0.5 + v
+
+
+def refined(plane: DataFrame, side: int = SIDE) -> DataFrame:
     """A difference plane v of square images, corrected by half of -1 / second derivative times both first derivatives.
 
     The second factor is the derivative of the transposed plane and is not transposed back. Where the second derivative is 0
     the factor is -infinity, and infinities and what is no number go on as such. Images that are not square keep v.
+    One fused stencil: each pixel is sent to its tile and, for the transposed plane, to the mirrored one.
     """
     v = plane.select(*PLACE, F.col("v").cast("double").alias("v"))
-    second = convolve(v, SECOND_DERIVATIVE, exact=True).select("image_id", "row", "col", F.col("v").alias("_c"))
-    first = convolve(v, DERIVATIVE, exact=True).select("image_id", "row", "col", F.col("v").alias("_y"))
-    turned = convolve(transpose(v), DERIVATIVE, exact=True).select("image_id", "row", "col", F.col("v").alias("_x"))
-    joined = v.join(second, ["image_id", "row", "col"]).join(first, ["image_id", "row", "col"]).join(turned, ["image_id", "row", "col"], "left")
-    factor = F.when(F.col("_c") == 0, F.lit(-math.inf)).otherwise(-1.0 / F.col("_c"))
-    return joined.select(*PLACE, F.when(F.col("h") == F.col("w"), factor * F.col("_y") * F.col("_x") * 0.5 + F.col("v")).otherwise(F.col("v")).alias("v"))
+    out = tiles.mapped(_mirrored(v, ["v"]), ["v", "v_t"], 1, lambda tile: tile.pixels(v=_refined_block(tile, "v")), tiles.schema_of(v), side)
+    return out.withColumn("v", F.coalesce("v", F.lit(math.nan)))  # what is no number comes back from a tile as null
 
 
-def edge_filtered(keys: DataFrame, planes: DataFrame, octave: int, settings: Settings = Settings()) -> DataFrame:
+def edge_filtered(keys: DataFrame, planes: DataFrame, octave: int, settings: Settings = Settings(), side: int = SIDE) -> DataFrame:
     """The keys of an octave whose refined plane has contrast and a corner there. What is no number rejects no key."""
-    out = None
     limit = (settings.ratio + 1) ** 2 / settings.ratio
-    d = stored(differences(planes), "differences")
-    for step in (1, 2, 3):
-        plane, both = neighbours(refined(d.select(*PLACE, F.col(f"d{step}").alias("v"))), [-1, 0, 1], [-1, 0, 1])
-        at = lambda y, x: F.col(both["v", y, x])  # noqa: E731, B023
-        xx, yy = at(-1, 0) + at(1, 0) - 2 * at(0, 0), at(0, -1) + at(0, 1) - 2 * at(0, 0)
-        xy = at(-1, -1) + at(1, 1) - at(-1, 1) - at(1, -1)
-        det = xx * yy - xy * xy
-        edge = F.when(det != 0, (xx + yy) * (xx + yy) / det).otherwise(F.lit(math.nan))
-        number = lambda x: ~F.isnan(x)
-        bad = ((F.abs(at(0, 0)) < settings.contrast) & number(at(0, 0))) | ((det <= 0) & number(det)) | ((edge > limit) & number(edge))
-        if settings.drop_nan:
-            bad = bad | F.isnan(at(0, 0)) | F.isnan(det) | F.isnan(edge)
-        good = plane.where(~bad).select("image_id", F.col("row").alias("idx"), F.col("col").alias("idy"), F.lit(step).alias("step"))
-        part = keys.where((F.col("oct") == octave) & (F.col("step") == step)).join(good, ["image_id", "idx", "idy", "step"], "left_semi")
-        out = part if out is None else out.unionByName(part)
-    return out
+    names = ["d1", "d2", "d3"]
+
+    def kept(tile: Tile, keys: pd.DataFrame) -> pd.DataFrame:
+        good = np.zeros(len(keys), bool)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for step in (1, 2, 3):
+                of = (keys["step"] == step).to_numpy()
+                plane = _refined_block(tile, f"d{step}", 1)
+                y, x = keys["idx"].to_numpy()[of] - tile.top + 1, keys["idy"].to_numpy()[of] - tile.left + 1
+                at = lambda dy, dx: plane[y + dy, x + dx]  # noqa: E731, B023
+                v, xx, yy = at(0, 0), at(-1, 0) + at(1, 0) - 2 * at(0, 0), at(0, -1) + at(0, 1) - 2 * at(0, 0)
+                xy = at(-1, -1) + at(1, 1) - at(-1, 1) - at(1, -1)
+                det = xx * yy - xy * xy
+                edge = np.where(det != 0, (xx + yy) * (xx + yy) / det, np.nan)
+                bad = (np.abs(v) < settings.contrast) | (det <= 0) | (edge > limit)  # comparisons with what is no number are false
+                good[of] = ~(bad | np.isnan(v) | np.isnan(det) | np.isnan(edge)) if settings.drop_nan else ~bad
+        return keys.loc[good, columns]
+
+    columns = keys.columns
+    of_octave = keys.where(F.col("oct") == octave)
+    d = _mirrored(differences(planes).select(*PLACE, *names), names)
+    return tiles.mapped_with_points(d, of_octave, [*names, *[f"{c}_t" for c in names]], 2, kept, tiles.schema_of(keys), side)
 
 
 def scale_derivatives(planes: DataFrame, step: int) -> DataFrame:
@@ -173,31 +226,59 @@ def fitted(keys: DataFrame, planes: DataFrame, octave: int, settings: Settings =
     return out
 
 
-def _surroundings(keys: DataFrame, planes: DataFrame, octave: int, low: int, high: int) -> DataFrame:
-    """One row per key and place (idx + i, idy + j) for i, j in low..high-1, with theta, mag and v of the key's blur plane."""
-    steps = None
-    for step in (1, 2, 3):
-        one = orientation(planes, f"s{step}").withColumn("step", F.lit(step))
-        steps = one if steps is None else steps.unionByName(one)
-    reach = F.sequence(F.lit(low), F.lit(high - 1))
-    places = keys.where(F.col("oct") == octave).withColumn("i", F.explode(reach)).withColumn("j", F.explode(reach)).withColumn("row", F.col("idx") + F.col("i")).withColumn("col", F.col("idy") + F.col("j"))
-    return places.join(steps.select("image_id", "step", "row", "col", "h", "w", "theta", "mag", "v"), ["image_id", "step", "row", "col"])
+def patches(keys: DataFrame, planes: DataFrame, octave: int, reach: int, side: int = SIDE) -> DataFrame:
+    """The octave's keys that lie `reach` inside their image, with _patch: the blur plane of their step around them.
+
+    A patch holds the offsets -reach - 1 to reach in both directions, row by row; beyond the image's edge the edge repeats.
+    """
+    names, size = ["s1", "s2", "s3"], 2 * reach + 2
+
+    def cut(tile: Tile, keys: pd.DataFrame) -> pd.DataFrame:
+        y, x = keys["idx"].to_numpy(), keys["idy"].to_numpy()
+        inside = (y >= reach) & (y < tile.h - reach) & (x >= reach) & (x < tile.w - reach)
+        keys, y, x = keys[inside], y[inside], x[inside]
+        offsets = np.arange(-reach - 1, reach + 1)
+        rows, cols = np.maximum(y[:, None] + offsets, 0) - tile.top + tile.halo, np.maximum(x[:, None] + offsets, 0) - tile.left + tile.halo
+        out = np.empty((len(keys), size, size))
+        for step in (1, 2, 3):
+            of = (keys["step"] == step).to_numpy()
+            out[of] = tile.planes[f"s{step}"][rows[of][:, :, None], cols[of][:, None, :]]
+        return keys[columns].assign(_patch=pd.Series(list(out.reshape(len(keys), size * size)), index=keys.index, dtype=object))
 
+    columns = keys.columns
+    of_octave = keys.where(F.col("oct") == octave)
+    return tiles.mapped_with_points(planes.select(*PLACE, *names), of_octave, names, reach + 1, cut, f"{tiles.schema_of(keys)}, _patch array<double>", side)
 
-def _inside(df: DataFrame, reach: int) -> DataFrame:
-    return df.where((F.col("idx") >= reach) & (F.col("idx") <= F.col("h") - reach - 1) & (F.col("idy") >= reach) & (F.col("idy") <= F.col("w") - reach - 1))
+
+def _turns(patches: pd.Series, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """theta (0 to one turn), mag and v of each place of the patches without their frame."""
+    size = 2 * reach + 2
+    p = np.stack(patches.to_numpy()).reshape(-1, size, size) if len(patches) else np.empty((0, size, size))
+    down, right = p[:, 2:, 1:-1] - p[:, :-2, 1:-1], p[:, 1:-1, 2:] - p[:, 1:-1, :-2]
+    theta = np.arctan2(right, down)
+    return np.where(theta < 0, theta + TURN, theta), np.sqrt(down * down + right * right), p[:, 1:-1, 1:-1]
+
+
+def _votes(slots: np.ndarray, values: np.ndarray, many: int) -> np.ndarray:
+    """Sums of values by slot, for each patch."""
+    n = len(slots)
+    return np.bincount((slots.reshape(n, -1) + np.arange(n)[:, None] * many).ravel(), values.reshape(n, -1).ravel(), minlength=n * many).reshape(n, many)
 
 
 KEY = ("image_id", "oct", "step", "idx", "idy")
 
 
-def histograms(keys: DataFrame, planes: DataFrame, octave: int) -> DataFrame:
+def histograms(keys: DataFrame, planes: DataFrame, octave: int, side: int = SIDE) -> DataFrame:
     """36 bins of orientation for each key, weighted by magnitude and a Gaussian over 8 x 8 places: column `bins`."""
-    weights = gauss_2d(1.5, 4)
-    flat = F.array(*[F.lit(w) for row in weights for w in row])
-    around = _inside(_surroundings(keys, planes, octave, -4, 4), 4)
-    around = around.withColumn("bin", F.pmod(F.floor(F.col("theta") * (18 / math.pi)), F.lit(36)).cast("int")).withColumn("share", F.element_at(flat, ((F.col("i") + 4) * 9 + F.col("j") + 5).cast("int")) * F.col("mag"))
-    return around.groupBy(*KEY).agg(*[F.sum(F.when(F.col("bin") == b, F.col("share")).otherwise(0.0)).alias(f"_b{b}") for b in range(36)]).select(*KEY, F.array(*[f"_b{b}" for b in range(36)]).alias("bins"))
+    # The window spans -4 to 3, so of a 9 x 9 Gaussian the last row and column are unused; at idx = h - 4 it would leave the image.
+    weights = np.array(gauss_2d(1.5, 4))[:8, :8]
+
+    @F.pandas_udf("array<double>")
+    def binned(patch: pd.Series) -> pd.Series:
+        theta, mag, _ = _turns(patch, 4)
+        return pd.Series(list(_votes((np.floor(theta * (18 / math.pi)) % 36).astype(int), weights * mag, 36)), dtype=object)
+
+    return patches(keys.select(*KEY), planes, octave, 4, side).select(*KEY, binned("_patch").alias("bins"))
 
 
 def oriented(hist: DataFrame) -> DataFrame:
@@ -211,31 +292,43 @@ def oriented(hist: DataFrame) -> DataFrame:
     return peaks.select(*KEY, main.alias("main"), peak(F.col("_k") * 10 + 5, left, F.col("_v"), right).alias("angle"))
 
 
-def described(keys: DataFrame, planes: DataFrame, octave: int, settings: Settings = Settings()) -> DataFrame:
-    """Keys with 128 descriptor values: 4 x 4 cells of 8 directions, each cell's values made to sum to 1."""
-    weights = F.array(*[F.lit(w) for row in gauss_2d(8.0, 8) for w in row])
-    around = _surroundings(keys, planes, octave, -8, 8)
-    around = around.where((F.col("idx") >= 8) & (F.col("idx") < F.col("h") - 8) & (F.col("idy") >= 8) & (F.col("idy") < F.col("w") - 8))
-    turned = F.col("theta") + F.col("angle")
-    turned = F.when(turned > TURN, turned - TURN).when(turned < 0, turned + TURN).otherwise(turned)
-    vote = F.col("mag") * F.element_at(weights, ((F.col("i") + 8) * 17 + F.col("j") + 9).cast("int")) * F.col("v")
-    cell = F.floor((F.col("i") + 8) / 4) * 4 + F.floor((F.col("j") + 8) / 4)
-    slot = (cell * 8 + F.pmod(F.floor(turned * (180 / math.pi) / 45), F.lit(8))).cast("int")
-    votes = around.select(*KEY, "angle", slot.alias("slot"), vote.alias("vote")).groupBy(*KEY, "angle", "slot").agg(F.sum("vote").alias("vote"))
-    filled = votes.groupBy(*KEY, "angle").agg(F.map_from_entries(F.collect_list(F.struct("slot", "vote"))).alias("m"))
-    raw = filled.withColumn("raw", F.expr("transform(sequence(0, 127), k -> coalesce(m[k], 0D))"))
-    norm = "transform({a}, (x, k) -> x / if(aggregate(slice({a}, (k div 8) * 8 + 1, 8), 0D, (s, y) -> s + y) = 0, 1D, aggregate(slice({a}, (k div 8) * 8 + 1, 8), 0D, (s, y) -> s + y)))"
-    out = raw.withColumn("descriptors", F.expr(norm.format(a="raw")))
-    if settings.clamp:
-        out = out.withColumn("descriptors", F.transform("descriptors", lambda x: F.least(x, F.lit(0.2)))).withColumn("descriptors", F.expr(norm.format(a="descriptors")))
-    return out.select(*KEY, "angle", "descriptors")
+def normalised(raw: np.ndarray, clamp: bool = False) -> np.ndarray:
+    """Descriptors [n, 128] with each cell's 8 values made to sum to 1; clamp cuts them at 0.2 and does so again."""
+    cells = raw.reshape(-1, 16, 8)
+    for again in (False, True)[: 1 + clamp]:
+        cells = np.minimum(cells, 0.2) if again else cells
+        total = cells.sum(axis=2, keepdims=True)
+        cells = cells / np.where(total == 0, 1.0, total)
+    return cells.reshape(-1, 128)
+
+
+def described(keys: DataFrame, planes: DataFrame, octave: int, settings: Settings = Settings(), side: int = SIDE) -> DataFrame:
+    """Keys (with an angle) with 128 descriptor values: 4 x 4 cells of 8 directions, each cell's values made to sum to 1."""
+    weights = np.array(gauss_2d(8.0, 8))[:16, :16]
+    cell = (np.arange(16) // 4)[:, None] * 4 + (np.arange(16) // 4)[None, :]
+    clamp = settings.clamp
+
+    @F.pandas_udf("array<double>")
+    def voted(patch: pd.Series, angle: pd.Series) -> pd.Series:
+        theta, mag, v = _turns(patch, 8)
+        turned = theta + angle.to_numpy(float)[:, None, None]
+        turned = np.where(turned > TURN, turned - TURN, np.where(turned < 0, turned + TURN, turned))
+        known = ~np.isnan(turned)  # a level histogram has no angle
+        direction = np.floor(np.where(known, turned, 0) * (180 / math.pi) / 45).astype(int) % 8
+        return pd.Series(list(normalised(_votes(cell * 8 + direction, np.where(known, mag * weights * v, 0), 128), clamp)), dtype=object)
+
+    return patches(keys.select(*KEY, "angle"), planes, octave, 8, side).select(*KEY, "angle", voted("_patch", "angle").alias("descriptors"))
+
+
+def doubled_gray(image: DataFrame) -> DataFrame:
+    """The gray values of b, g, r rasters at twice the size: what the first octave searches."""
+    return bilinear_float(to_gray_float(image), F.col("h") * 2, F.col("w") * 2)
 
 
 def features(image: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Key points of b, g, r rasters with angle and descriptors: doubled in size, searched in all octaves, filtered."""
-    gray = bilinear_float(to_gray_float(image), F.col("h") * 2, F.col("w") * 2)
     out = None
-    for o, planes in enumerate(octaves(gray, settings)):
+    for o, planes in enumerate(octaves(doubled_gray(image), settings)):
         keys = stored(edge_filtered(extrema(planes, o, settings), planes, o, settings), f"keys{o}")
         angles = stored(oriented(histograms(keys, planes, o)), f"angles{o}")
         found = described(angles, planes, o, settings)

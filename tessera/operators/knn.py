@@ -6,7 +6,6 @@ the same dimension, the one of the next largest variance over all keys, at the m
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,8 @@ from pyspark.sql.window import Window
 
 from tessera.session import stored
 
-BLOCK = 2048  # queries that are held in memory at once
+BLOCK = 2048  # queries that search a block of the tree together
+HELD = 16384  # keys that are held in memory at once
 LEVELS = 12  # levels of a tree that are searched as one block
 
 
@@ -30,42 +30,45 @@ def variances(keys: DataFrame) -> DataFrame:
     return keys.select(F.posexplode("descriptors").alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("variance"))
 
 
-def nearest_exact(queries: DataFrame, keys: DataFrame) -> DataFrame:
+def _searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The nearest key of its block for each query, from rows in the order of block and kind: a block's keys, then the queries."""
+    block, ids, held = None, [], []
+    keys, x = np.empty(0, np.int64), np.empty((0, 0))
+    for batch in batches:
+        for (at, asks), rows in batch.groupby(["block", "asks"], sort=True):
+            if at != block:
+                block, ids, held, keys = at, [], [], np.empty(0, np.int64)
+            if not asks:
+                ids.append(rows["id"].to_numpy())
+                held.append(np.stack(rows["descriptors"].to_numpy()).astype(float))
+                continue
+            if held:
+                keys, x = np.concatenate(ids), np.concatenate(held)
+                order = np.argsort(keys, kind="stable")  # the lowest id is the first of equal distances
+                keys, x, ids, held = keys[order], np.ascontiguousarray(x[order].T), ids[:0], held[:0]
+            if not len(keys):
+                continue
+            for low in range(0, len(rows), 128):
+                q = np.stack(rows["descriptors"].to_numpy()[low : low + 128]).astype(float)
+                d = np.zeros((len(q), len(keys)))
+                for j in range(x.shape[0]):
+                    d += (q[:, j, None] - x[None, j]) ** 2
+                best = d.argmin(axis=1)
+                yield pd.DataFrame({"query_id": rows["id"].to_numpy()[low : low + 128], "key_id": keys[best], "distance": d[np.arange(len(q)), best]})
+
+
+def nearest_exact(queries: DataFrame, keys: DataFrame, held: int = HELD) -> DataFrame:
     """For each query the nearest key, the one with the lowest id on ties: (query_id, key_id, distance), squared.
 
-    Queries go out in blocks of BLOCK; each partition of the keys finds its best for every query of a block, and
-    the least of those is taken, so keys are never moved.
+    Keys are dealt out once, in blocks of about `held`; every block gets all queries, which stream past its keys. Only one
+    block is in memory, nothing comes to the driver, and each block sends one row a query to the final minimum.
     """
-    spark = keys.sparkSession
-    ranked = stored(queries.select(F.col("key_id").alias("query_id"), "descriptors"), "queries")
-    blocks = -(-ranked.count() // BLOCK)
-    schema, out = "query_id long, key_id long, distance double", None
-    for k in range(max(1, blocks)):
-        part = ranked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))) == k).orderBy("query_id").collect()
-        ids, q = [r["query_id"] for r in part], np.array([r["descriptors"] for r in part], dtype=float)
-        if not ids:
-            continue
-
-        def search(batches: Iterator[pd.DataFrame], ids: list = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            best, which = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
-            for b in batches:
-                for lo in range(0, len(b), 256):
-                    part = b.iloc[lo : lo + 256].sort_values("key_id")
-                    x = np.stack(part["descriptors"].to_numpy())
-                    d = np.zeros((len(ids), len(x)))
-                    for j in range(x.shape[1]):
-                        d += (q[:, j, None] - x[None, :, j]) ** 2
-                    at = d.argmin(axis=1)
-                    least, keys_at = d[np.arange(len(ids)), at], part["key_id"].to_numpy()[at]
-                    closer = (least < best) | ((least == best) & (keys_at < which))
-                    best, which = np.where(closer, least, best), np.where(closer, keys_at, which)
-            found = np.isfinite(best)
-            yield pd.DataFrame({"query_id": np.array(ids)[found], "key_id": which[found], "distance": best[found]})
-
-        one = keys.select("key_id", "descriptors").mapInPandas(search, schema)
-        out = one if out is None else out.unionByName(one)
-    out = spark.createDataFrame([], schema) if out is None else out
-    return out.groupBy("query_id").agg(F.min(F.struct("distance", "key_id")).alias("m")).select("query_id", "m.key_id", "m.distance")
+    blocks = max(1, -(-keys.count() // held))
+    own = keys.select(F.pmod(F.xxhash64("key_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), F.col("key_id").alias("id"), "descriptors")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), F.col("key_id").alias("id"), "descriptors")
+    met = own.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    found = met.mapInPandas(_searched, "query_id long, key_id long, distance double")
+    return found.groupBy("query_id").agg(F.min(F.struct("distance", "key_id")).alias("m")).select("query_id", "m.key_id", "m.distance")
 
 
 def split_dimensions(keys: DataFrame, levels: int) -> list[int]:
@@ -126,46 +129,68 @@ def _block(node: str) -> Column:
     return F.expr(f"shiftright({node}, cast((length(bin({node})) - 1) % {LEVELS} as int))")
 
 
-def _walked(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    """Queries after their search inside one block of the tree.
+def _found(sorted_ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted id is among the sorted ones; -1 if it isn't."""
+    if not len(sorted_ids):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(sorted_ids, wanted), len(sorted_ids) - 1)
+    return np.where(sorted_ids[at] == wanted, at, -1)
 
-    `stack` holds, as JSON, the entries that are open: node, its block, and the gaps by dimension between the query and
-    the node's cell. A query stops where its next entry lies in another block, which `block` then names, or is done (null).
-    """
-    inner, leaf = {}, {}
-    for node, dim, median, key, x in zip(block["node_id"], block["dim"], block["median"], block["key_id"], block["descriptors"]):
-        if x is None:
-            inner[int(node)] = (int(dim), float(median))
-        else:
-            leaf[int(node)] = (int(key), np.array(x))
-    out = queries.copy()
-    for i, (q, at, stack, left, key, distance) in enumerate(zip(queries["descriptors"], queries["block"], queries["stack"], queries["left"], queries["key_id"], queries["distance"])):
-        entries = json.loads(stack)
-        while entries and left:
-            node, home, gaps = entries[-1]
-            far_off = sum(g * g for g in gaps.values()) > distance
-            if not far_off and home != at:
-                break
-            entries.pop()
-            if far_off:
-                continue
-            if node in leaf:
-                left -= 1
-                d = float(((q - leaf[node][1]) ** 2).sum())
-                if d < distance:
-                    key, distance = leaf[node][0], d
-            elif node in inner:
-                dim, median = inner[node]
-                low, high = ((c, at if c in inner or c in leaf else c) for c in (2 * node, 2 * node + 1))
-                near, far = (low, high) if q[dim] < median else (high, low)
-                entries += [[*far, gaps | {str(dim): max(abs(q[dim] - median), gaps.get(str(dim), 0.0))}], [*near, gaps]]
-        more = entries and left
-        for column, value in (("block", entries[-1][1] if more else -1), ("stack", json.dumps(entries) if more else "[]"), ("left", left), ("key_id", key), ("distance", distance)):
-            out.iat[i, out.columns.get_loc(column)] = value
-    return out[STATE]
 
+def _walked(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    """Queries after their search inside one block of the tree, all of them a step at a time.
 
-STATE = ["query_id", "descriptors", "block", "stack", "left", "key_id", "distance"]
+    A query's open cells are three arrays: nodes, the blocks they are in, and bounds, the squared distance of the query to the cell. A
+    path splits on a dimension once, so bounds add up. A query stops where its next cell lies in another block, which
+    `block` then names, or is done (-1).
+    """
+    if queries.empty:
+        return queries[STATE]
+    inner = block[block["dim"].notna()].sort_values("node_id")
+    leaf = block[block["dim"].isna()].sort_values("node_id")
+    inner_ids, dims, medians = inner["node_id"].to_numpy(np.int64), inner["dim"].to_numpy(np.int64), inner["median"].to_numpy(float)
+    leaf_ids, leaf_keys = leaf["node_id"].to_numpy(np.int64), leaf["key_id"].to_numpy(np.int64)
+    points = np.stack(leaf["descriptors"].to_numpy()) if len(leaf) else np.empty((0, 0))
+    here, q = int(queries["block"].iloc[0]), np.stack(queries["descriptors"].to_numpy())
+    left, key, distance = (queries[c].to_numpy().copy() for c in ("left", "key_id", "distance"))
+    size = queries["nodes"].map(len).to_numpy().copy()
+    deep = size.max(initial=0) + LEVELS + 2
+    nodes, homes, bounds = (np.zeros((len(queries), deep), kind) for kind in (np.int64, np.int64, float))
+    for i, parts in enumerate(zip(queries["nodes"], queries["homes"], queries["bounds"])):
+        for stack, part in zip((nodes, homes, bounds), parts):
+            stack[i, : len(part)] = part
+    waiting = np.zeros(len(queries), bool)
+    while len(at := np.flatnonzero((size > 0) & (left > 0) & ~waiting)):
+        top = size[at] - 1
+        node, bound = nodes[at, top], bounds[at, top]
+        near_enough = bound <= distance[at]
+        waiting[at] = near_enough & (homes[at, top] != here)
+        size[at[~waiting[at]]] -= 1
+        going = near_enough & ~waiting[at]
+        at, node, bound = at[going], node[going], bound[going]
+        place = _found(leaf_ids, node)
+        if (ends := place >= 0).any():
+            who, place = at[ends], place[ends]
+            left[who] -= 1
+            d = ((q[who] - points[place]) ** 2).sum(axis=1)
+            closer = d < distance[who]
+            distance[who[closer]], key[who[closer]] = d[closer], leaf_keys[place[closer]]
+        place = _found(inner_ids, node)
+        if (splits := place >= 0).any():
+            who, place, node, bound = at[splits], place[splits], node[splits], bound[splits]
+            gap = q[who, dims[place]] - medians[place]
+            low = np.where(gap < 0, 2 * node, 2 * node + 1)  # the nearer child
+            for child, b in ((4 * node + 1 - low, bound + gap * gap), (low, bound)):
+                held = (_found(inner_ids, child) >= 0) | (_found(leaf_ids, child) >= 0)
+                nodes[who, size[who]], homes[who, size[who]], bounds[who, size[who]] = child, np.where(held, here, child), b
+                size[who] += 1
+    size = np.where(left > 0, size, 0)
+    cut = lambda stack: [stack[i, :n] for i, n in enumerate(size)]
+    goes_on = np.where(size > 0, homes[np.arange(len(size)), np.maximum(size - 1, 0)], -1)
+    return queries.assign(block=goes_on, nodes=cut(nodes), homes=cut(homes), bounds=cut(bounds), left=left, key_id=key, distance=distance)[STATE]
+
+
+STATE = ["query_id", "descriptors", "block", "nodes", "homes", "bounds", "left", "key_id", "distance"]
 
 
 def best_bin_first(queries: DataFrame, keys: DataFrame, nodes: DataFrame, leaves: DataFrame, more_leaves: int = 7) -> DataFrame:
@@ -175,13 +200,13 @@ def best_bin_first(queries: DataFrame, keys: DataFrame, nodes: DataFrame, leaves
     meet, in groups of about BLOCK, the block of their next open cell and search it as far as it goes, so no task holds more
     than one block, and a block that many queries need is sent out once a group. Without keys the key_id is -1.
     """
-    schema = "query_id long, descriptors array<double>, block long, stack string, left long, key_id long, distance double"
+    schema = "query_id long, descriptors array<double>, block long, nodes array<long>, homes array<long>, bounds array<double>, left long, key_id long, distance double"
     first = leaves.groupBy("node_id").agg(F.min(F.struct("place", "key_id"))["key_id"].alias("key_id")).join(keys.select("key_id", "descriptors"), "key_id")
     parent = first.withColumn("_up", F.expr("greatest(node_id div 2, 1L)"))
     tree = nodes.select(_block("node_id").alias("block"), "node_id", F.col("dim").cast("int").alias("dim"), "median", F.lit(None).cast("long").alias("key_id"), F.lit(None).cast("array<double>").alias("descriptors"))
     tree = stored(tree.unionByName(parent.select(_block("_up").alias("block"), "node_id", F.lit(None).cast("int").alias("dim"), F.lit(None).cast("double").alias("median"), "key_id", "descriptors")), "tree")
-    begun = F.lit(json.dumps([[1, 1, {}]]))
-    state = stored(queries.select(F.col("key_id").alias("query_id"), "descriptors", F.lit(1).cast("long").alias("block"), begun.alias("stack"), F.lit(more_leaves + 1).cast("long").alias("left"), F.lit(-1).cast("long").alias("key_id"), F.lit(float("inf")).alias("distance")), "search")
+    root = F.array(F.lit(1).cast("long"))
+    state = stored(queries.select(F.col("key_id").alias("query_id"), "descriptors", F.lit(1).cast("long").alias("block"), root.alias("nodes"), root.alias("homes"), F.array(F.lit(0.0)).alias("bounds"), F.lit(more_leaves + 1).cast("long").alias("left"), F.lit(-1).cast("long").alias("key_id"), F.lit(float("inf")).alias("distance")), "search")
     done = state.where("block < 0")
     while not (active := state.where("block >= 0")).isEmpty():
         groups = active.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("_groups"))

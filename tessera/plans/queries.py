@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.kernels import DERIVATIVE, gauss_1d
 from tessera.model import BGR
 from tessera.operators import cluster, combine, edges, features, generate, knn, point, pyramid, resample, stencil, stereo
-from tessera.plans import sql
+from tessera.plans import feature_sql, sql
 from tessera.session import stored
 from tessera.sources import images, keyfile, rasters, report
 
@@ -324,26 +324,48 @@ def edge_filter(spark, sf_dir):
     return _keys(spark, sf_dir)[0].select("image_id", "step", "idx", "idy")
 
 
-@query()
+def _of_tiles(last: str, select: str) -> str:
+    """SQL of a stage of octave 0 of the tiles."""
+    return f"WITH {', '.join([sql.TILES, *feature_sql.chain('t_', 'tiles', 0, last)])} {select}"
+
+
+@query(_of_tiles("histograms", "SELECT image_id, step, idx, idy, k AS bin, round(v, 6) AS v FROM t_bins"))
 def orientation_hist(spark, sf_dir):
-    return features.histograms(*_keys(spark, sf_dir), 0)
+    out = features.histograms(*_keys(spark, sf_dir), 0)
+    return rounded(out.select("image_id", "step", "idx", "idy", F.posexplode("bins").alias("bin", "v")), "v")
 
 
-@query()
+@query(_of_tiles("angles", "SELECT image_id, step, idx, idy, main, round(angle, 6) AS angle FROM t_angles"))
 def orientation_keys(spark, sf_dir):
-    return features.oriented(features.histograms(*_keys(spark, sf_dir), 0))
+    out = features.oriented(features.histograms(*_keys(spark, sf_dir), 0))
+    return rounded(out.select("image_id", "step", "idx", "idy", "main", "angle"), "angle")
 
 
-@query()
+@query(_of_tiles("described", "SELECT image_id, step, idx, idy, round(angle, 6) AS angle, CAST(slot AS INTEGER) AS slot, round(value, 6) AS value FROM t_values"))
 def descriptors(spark, sf_dir):
     keys, planes = _keys(spark, sf_dir)
-    return features.described(features.oriented(features.histograms(keys, planes, 0)), planes, 0)
+    out = features.described(features.oriented(features.histograms(keys, planes, 0)), planes, 0)
+    return rounded(out.select("image_id", "step", "idx", "idy", "angle", F.posexplode("descriptors").alias("slot", "value")).where("value <> 0"), "angle", "value")
 
 
-@query()
+def _square_bgr(spark, sf_dir):
+    return rasters.square(spark, sf_dir).select("image_id", "h", "w", "row", "col", *[F.col("v").cast("int").alias(c) for c in BGR])
+
+
+@query(feature_sql.extrema_of_octaves())
+def extrema_octaves(spark, sf_dir):
+    out = None
+    for o, planes in enumerate(features.octaves(features.doubled_gray(_square_bgr(spark, sf_dir)))):
+        found = features.extrema(planes, o)
+        out = found if out is None else out.unionByName(found)
+    return rounded(out.drop("image_id"), "scale", "posx", "posy")
+
+
+@query(feature_sql.features_of_octaves())
 def sift(spark, sf_dir):
-    gray = rasters.tiles(spark, sf_dir)
-    return features.numbered(features.features(gray.select("image_id", "h", "w", "row", "col", *[F.col("v").cast("int").alias(c) for c in BGR])))
+    out = features.numbered(features.features(_square_bgr(spark, sf_dir)))
+    out = out.select("key_id", "oct", "step", "idx", "idy", "angle", "scale", "posx", "posy", F.posexplode("descriptors").alias("slot", "value")).where("value <> 0")
+    return rounded(out.withColumn("key_id", F.col("key_id").cast("long")), "angle", "scale", "posx", "posy", "value")
 
 
 @query(
@@ -398,11 +420,11 @@ def kd_leaf_of_query(spark, sf_dir):
     return knn.leaf_of(keys, nodes, levels)
 
 
-@query()
+@query(sql.kd_search(12))
 def kd_bbf_search(spark, sf_dir):
     keys = rasters.descriptors(spark, sf_dir)
     nodes, leaves = knn.kd_tree(keys)
-    return knn.best_bin_first(keys.where("key_id % 20 = 0"), keys, nodes, leaves)
+    return rounded(knn.best_bin_first(keys.where("key_id % 20 = 0"), keys, nodes, leaves), "distance")
 
 
 # Stereo

@@ -71,8 +71,9 @@ def convolved(name: str, source: str, kernel: list[list[float]], exact: bool = F
     ctes, both = near(f"{name}_n", source, [column], rows, cols)
     places = [(both[column, y, x], kernel[kh // 2 - y][kw // 2 - x]) for y in rows for x in cols]
     if exact:
-        terms = ", ".join(f"CAST(CAST(CAST(coalesce({c}, 0.0) AS FLOAT) * CAST({lit(w)} AS FLOAT) AS FLOAT) * CAST(65536 AS FLOAT) AS FLOAT)" for c, w in places)
-        total = f"list_reduce(list_prepend(CAST(0 AS FLOAT), [{terms}]), lambda s, x: CAST(trunc(CAST(s + x AS FLOAT)) AS FLOAT))"
+        total = "CAST(0 AS FLOAT)"
+        for c, w in places:  # each running sum holds the one before it once
+            total = f"trunc(CAST({total} + CAST(CAST(coalesce({c}, 0.0) AS FLOAT) * CAST({lit(w)} AS FLOAT) AS FLOAT) * CAST(65536 AS FLOAT) AS FLOAT))"
         if max(abs(w) for row in kernel for w in row) * 512 * 65536 * len(places) >= 2**31:
             raise ValueError("sums too large")
         total = f"CAST({total} AS DOUBLE)"
@@ -265,3 +266,18 @@ def kd_leaf(levels: int) -> str:
         ctes.append(f"at{k} AS (SELECT query_id, CASE WHEN dim IS NULL THEN a.node_id ELSE 2 * a.node_id + CASE WHEN CAST(embedding[dim + 1] AS DOUBLE) < median THEN 0 ELSE 1 END END AS node_id FROM {source} a JOIN embeddings ON vec_id = query_id LEFT JOIN nodes ON nodes.node_id = a.node_id AND depth = {k})")
         source = f"at{k}"
     return f"WITH {', '.join(ctes)} SELECT query_id, node_id FROM {source}"
+
+
+def kd_search(levels: int, more_leaves: int = 7) -> str:
+    """Best bin first: one open cell of each query is taken off its stack in each round of the recursion."""
+    last = f"(SELECT key_id, CASE WHEN n <= 1 THEN node ELSE 2 * node + CASE WHEN r >= n // 2 THEN 1 ELSE 0 END END AS node, i AS place FROM split{levels - 1})"
+    leaf = f"leaf AS MATERIALIZED (SELECT node, key_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM (SELECT node, arg_min(key_id, place) AS key_id FROM {last} GROUP BY node) JOIN embeddings ON vec_id = key_id)"
+    asked = "asked AS MATERIALIZED (SELECT vec_id AS query_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS q FROM embeddings WHERE vec_id % 20 = 0)"
+    cell = lambda n, b: f"{{'n': {n}, 'b': {b}}}"
+    gap = "(q[dim + 1] - median)"
+    near, far = (f"2 * stack[1].n + CASE WHEN {gap} < 0 THEN {a} ELSE {1 - a} END" for a in (0, 1))
+    opened = f"list_concat([{cell(near, 'stack[1].b')}, {cell(far, f'stack[1].b + {gap} * {gap}')}], stack[2:])"
+    step = f"SELECT query_id, CASE WHEN stack[1].b <= distance AND dim IS NOT NULL THEN {opened} ELSE stack[2:] END AS stack, CASE WHEN met THEN remaining - 1 ELSE remaining END AS remaining, CASE WHEN met AND d < distance THEN key ELSE key_id END AS key_id, CASE WHEN met AND d < distance THEN d ELSE distance END AS distance"
+    rows = "SELECT w.*, q, dim, median, l.key_id AS key, l.node IS NOT NULL AND stack[1].b <= distance AS met, list_sum(list_transform(range(1, len(q) + 1), lambda i: (q[i] - l.x[i]) * (q[i] - l.x[i]))) AS d FROM walk w JOIN asked USING (query_id) LEFT JOIN nodes ON node_id = stack[1].n LEFT JOIN leaf l ON l.node = stack[1].n WHERE len(stack) > 0 AND remaining > 0"
+    walk = f"walk(query_id, stack, remaining, key_id, distance) AS (SELECT query_id, [{cell('1::BIGINT', '0.0::DOUBLE')}], {more_leaves + 1}, -1::BIGINT, 'Infinity'::DOUBLE FROM asked UNION ALL {step} FROM ({rows}))"
+    return f"WITH RECURSIVE {kd_levels(levels)}, {leaf}, {asked}, {walk} SELECT query_id, key_id, round(distance, 6) AS distance FROM walk WHERE len(stack) = 0 OR remaining = 0"

@@ -65,3 +65,10 @@ def bgr_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bgr() as images of 64 rows; the last one has as many as are left."""
     image = F.expr(f"row div {WIDTH}")
     return bgr(spark, sf_dir).select(image.alias("image_id"), F.least(F.lit(WIDTH), F.col("h") - image * WIDTH).cast("int").alias("h"), "w", (F.col("row") % WIDTH).cast("int").alias("row"), "col", "b", "g", "r")
+
+
+def square(spark: SparkSession, sf_dir: str, side: int = 176) -> DataFrame:
+    """The first side * side values of the embeddings, in their order, as one square gray image."""
+    p = F.col("vec_id") * WIDTH + F.col("i")
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e")).withColumn("p", p).where(F.col("p") < side * side)
+    return _placed(e.select(F.expr(f"p div {side}").alias("row"), (F.col("p") % side).alias("col"), _sample(F.col("e")).alias("v")), F.lit(side), F.lit(side), "v")

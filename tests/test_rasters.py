@@ -200,6 +200,64 @@ def test_feature_stages(spark):
     planes.unpersist()
 
 
+def canonical(df, *columns):
+    return sorted(tuple(np.round(r[c], 9).tolist() if isinstance(r[c], list) else r[c] for c in columns) for r in df.collect())
+
+
+@pytest.mark.parametrize("side", [7, 24])
+def test_small_tiles_give_what_whole_images_give(spark, side):
+    """Borders are exchanged: tiles far smaller than the kernels, of images that are no multiple of them, change nothing."""
+    rng = np.random.default_rng(9)
+    images = [rng.integers(0, 256, (45, 45)).astype(float), rng.integers(0, 256, (31, 52)).astype(float)]
+    image = plane(spark, *images)
+    setting = features.Settings(contrast=0.5)
+    sigmas = setting.sigmas(0)[:3] + [5.0, 9.0]  # up to 54 taps: more than the smaller image is high
+    wide, small = features.blurs(image, sigmas).cache(), features.blurs(image, sigmas, side).cache()
+    places = ("image_id", "h", "w", "row", "col")
+    assert canonical(wide, *places, "v", "s1", "s3", "s5") == canonical(small, *places, "v", "s1", "s3", "s5")
+    for step, sigma in ((1, sigmas[0]), (5, 9.0)):
+        plain = stencil.gaussian_separable(image, sigma)
+        assert canonical(plain, *places, "v") == canonical(wide.withColumn("v", F.col(f"s{step}")), *places, "v")
+    keys, key = features.extrema(wide, 0), ("image_id", "oct", "step", "idx", "idy")
+    assert canonical(keys, *key, "scale", "posx", "posy") == canonical(features.extrema(wide, 0, side=side), *key, "scale", "posx", "posy")
+    text = lambda df: df.withColumn("v", F.col("v").cast("string"))
+    assert canonical(text(features.refined(image)), *places, "v") == canonical(text(features.refined(image, side)), *places, "v")
+    kept = features.edge_filtered(keys, wide, 0, setting).cache()
+    assert kept.count() and canonical(kept, *key) == canonical(features.edge_filtered(keys, wide, 0, setting, side), *key)
+    hist = features.histograms(keys, wide, 0).cache()
+    assert hist.count() and canonical(hist, *key, "bins") == canonical(features.histograms(keys, wide, 0, side), *key, "bins")
+    angles = features.oriented(hist).cache()
+    assert canonical(features.described(angles, wide, 0), *key, "angle", "descriptors") == canonical(features.described(angles, wide, 0, side=side), *key, "angle", "descriptors")
+
+
+def test_refinement_against_numpy(spark):
+    """Both derivatives and the transposed one in one pass, against three separate convolutions."""
+    a = np.random.default_rng(2).integers(-40, 40, (19, 19)).astype(float)
+    v = plane(spark, a)
+    c, y = (array(stencil.convolve(v, k, exact=True)) for k in (SECOND_DERIVATIVE, DERIVATIVE))
+    x = array(stencil.convolve(point.transpose(v), DERIVATIVE, exact=True))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        expected = np.where(c == 0, -np.inf, -1.0 / c) * y * x * 0.5 + a
+    assert np.array_equal(array(features.refined(v, 8)), expected, equal_nan=True)
+
+
+def test_descriptors_are_clamped(spark):
+    """Cells sum to 1; with clamp no value was above 0.2 before the second norm, and cells that a cut can't fill again stay below 1 only if empty."""
+    raw = np.zeros((2, 128))
+    raw[0, :8], raw[0, 8:16], raw[1, 120:] = [8, 1, 1, 0, 0, 0, 0, 0], 3, [1, 0, 0, 0, 0, 0, 0, 0]
+    free, cut = features.normalised(raw), features.normalised(raw, clamp=True)
+    assert np.allclose(free[0, :3], [0.8, 0.1, 0.1]) and np.allclose(cut[0, :3], [0.5, 0.25, 0.25])
+    assert np.allclose(free[0, 8:16], 0.125) and np.allclose(cut[0, 8:16], 0.125) and cut[1, 120] == 1 and not cut[1, :120].any()
+    a = np.random.default_rng(5).integers(0, 256, (40, 40)).astype(float)
+    planes = features.blurs(plane(spark, a), features.Settings().sigmas(0)).cache()
+    angles = features.oriented(features.histograms(features.extrema(planes, 0), planes, 0)).cache()
+    free, cut = ({(r["step"], r["idx"], r["idy"], r["angle"]): np.array(r["descriptors"]) for r in features.described(angles, planes, 0, features.Settings(clamp=clamp)).collect()} for clamp in (False, True))
+    assert free and free.keys() == cut.keys()
+    for k, d in free.items():
+        cells = np.minimum(d.reshape(16, 8), 0.2)
+        assert np.allclose(cut[k], (cells / cells.sum(axis=1, keepdims=True)).ravel())
+
+
 def test_tree(spark):
     rng = np.random.default_rng(3)
     data = rng.random((37, 6))
@@ -231,6 +289,10 @@ def test_search(spark):
     queries = keys.where("key_id % 20 = 3").withColumn("descriptors", F.transform("descriptors", lambda x: x + 0.001))
     exact = {r["query_id"]: r["key_id"] for r in knn.nearest_exact(queries, keys).collect()}
     assert exact == {q: q for q in exact} and len(exact) == 25
+    few = {r["query_id"]: r["key_id"] for r in knn.nearest_exact(queries, keys, held=60).collect()}  # nine blocks
+    assert few == exact and knn.nearest_exact(queries, keys.where("false")).isEmpty() and knn.nearest_exact(queries.where("false"), keys).isEmpty()
+    twice = keys.unionByName(keys.withColumn("key_id", F.col("key_id") + 1000))
+    assert {r["query_id"]: r["key_id"] for r in knn.nearest_exact(queries, twice, held=60).collect()} == exact  # ties: the lower id
     nodes, leaves = knn.kd_tree(keys)
     found = {r["query_id"]: r["key_id"] for r in knn.best_bin_first(queries, keys, nodes, leaves, more_leaves=10_000).collect()}
     assert found == exact
