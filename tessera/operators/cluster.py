@@ -38,6 +38,18 @@ def even_start(df: DataFrame, k: int) -> Centroids:
     return [colour[i] for i in wanted]
 
 
+def random_start(df: DataFrame, k: int, seed: int = 2000) -> Centroids:
+    """Colours of k pixels drawn at random from all images: those whose sha256 of seed, image and index is smallest, in that order.
+
+    The draw depends on the pixels alone, not on how they are dealt out.
+    """
+    if k > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    rank = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("image_id").cast("string"), flat_index().cast("string")), 256)
+    rows = require(df, *BGR).orderBy(rank, "image_id", flat_index()).select(*BGR).limit(k).collect()
+    return [(r["b"], r["g"], r["r"]) for r in rows]
+
+
 def _colours(df: DataFrame) -> DataFrame:
     return stored(df.groupBy(*BGR).agg(F.count("*").alias("n")), "colours")
 

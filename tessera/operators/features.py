@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -325,12 +325,29 @@ def doubled_gray(image: DataFrame) -> DataFrame:
     return bilinear_float(to_gray_float(image), F.col("h") * 2, F.col("w") * 2)
 
 
-def features(image: DataFrame, settings: Settings = Settings()) -> DataFrame:
+class Counts:
+    """How many keys each octave has at each stage, counted while the tables are written: no pass of its own."""
+
+    def __init__(self) -> None:
+        self.seen: list[tuple[int, str, Observation]] = []
+
+    def watched(self, df: DataFrame, octave: int, stage: str) -> DataFrame:
+        self.seen.append((octave, stage, Observation(f"{stage}{octave}-{id(self)}")))
+        return df.observe(self.seen[-1][2], F.count(F.lit(1)).alias("n"))
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(oct, stage, n); a stage that no row was written of has 0."""
+        return spark.createDataFrame([(o, stage, int(seen.get.get("n", 0))) for o, stage, seen in self.seen], "oct int, stage string, n long")
+
+
+def features(image: DataFrame, settings: Settings = Settings(), counts: Counts | None = None) -> DataFrame:
     """Key points of b, g, r rasters with angle and descriptors: doubled in size, searched in all octaves, filtered."""
     out = None
+    watched = counts.watched if counts else lambda df, *_: df
     for o, planes in enumerate(octaves(doubled_gray(image), settings)):
-        keys = stored(edge_filtered(extrema(planes, o, settings), planes, o, settings), f"keys{o}")
-        angles = stored(oriented(histograms(keys, planes, o)), f"angles{o}")
+        found = watched(extrema(planes, o, settings), o, "found")
+        keys = stored(watched(edge_filtered(found, planes, o, settings), o, "kept"), f"keys{o}")
+        angles = stored(watched(oriented(histograms(keys, planes, o)), o, "oriented"), f"angles{o}")
         found = described(angles, planes, o, settings)
         found = found.join(keys.select(*KEY, "scale", "posx", "posy"), list(KEY), "left")
         out = found if out is None else out.unionByName(found)
@@ -354,3 +371,22 @@ def drawn(image: DataFrame, keys: DataFrame) -> DataFrame:
     marks = marks.select("image_id", (F.col("_y") + F.col("_p.i")).alias("row"), (F.col("_x") + F.col("_p.j")).alias("col")).distinct().withColumn("_on", F.lit(True))
     on = F.coalesce("_on", F.lit(False))
     return require(image, *BGR).join(marks, ["image_id", "row", "col"], "left").select(*PLACE, *[F.when(on, 255 if c == "r" else 0).otherwise(F.col(c)).alias(c) for c in BGR])
+
+
+def mosaic(stack: list[DataFrame], names: list[str]) -> DataFrame:
+    """All planes of an octave stack on one canvas an image: an octave's planes side by side, octaves from top to bottom.
+
+    Where an octave begins is the sum of the heights before it, taken over one row an image and octave; octaves that an image is too
+    small for take no room. Places that no plane covers are absent.
+    """
+    rows, sizes = None, None
+    for o, planes in enumerate(stack):
+        plane = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("v")) for k, c in enumerate(names)])).alias("_p")
+        part = planes.select("image_id", F.lit(o).alias("_oct"), "w", "row", "col", plane)
+        part = part.select("image_id", "_oct", "row", (F.col("col") + F.col("_p.k") * F.col("w")).cast("int").alias("col"), F.col("_p.v").alias("v"))
+        size = planes.where("row = 0 AND col = 0").select("image_id", F.lit(o).alias("_oct"), "h", "w")
+        rows, sizes = (part, size) if rows is None else (rows.unionByName(part), sizes.unionByName(size))
+    image = Window.partitionBy("image_id")
+    above = F.coalesce(F.sum("h").over(image.orderBy("_oct").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("image_id", "_oct", above.alias("_top"), F.sum("h").over(image).cast("int").alias("h"), (F.max("w").over(image) * len(names)).cast("int").alias("w"))
+    return rows.join(sizes, ["image_id", "_oct"]).select("image_id", "h", "w", (F.col("row") + F.col("_top")).cast("int").alias("row"), "col", "v")

@@ -166,3 +166,18 @@ def features_of_octaves(octaves: int = 3) -> str:
     rows = _union(octaves, "SELECT v.oct, v.step, v.idx, v.idy, v.angle, scale, posx, posy, slot, value FROM {p}values v JOIN {p}keys USING (image_id, oct, step, idx, idy)")
     rounded = ", ".join(f"round({c}, 6) AS {c}" for c in ("angle", "scale", "posx", "posy", "value"))
     return f"WITH {all_octaves([SQUARE], 'described', octaves)} SELECT dense_rank() OVER (ORDER BY oct, step, idx, idy, angle) - 1 AS key_id, oct, step, idx, idy, CAST(slot AS INTEGER) AS slot, {rounded} FROM ({rows})"
+
+
+def key_counts(octaves: int = 3) -> str:
+    parts = [f"SELECT {o} AS oct, '{stage}' AS stage, count(*) AS n FROM o{o}_{cte}" for o in range(octaves) for stage, cte in (("found", "found"), ("kept", "keys"), ("oriented", "angles"))]
+    return f"WITH {all_octaves([SQUARE], 'angles', octaves)} {' UNION ALL '.join(parts)}"
+
+
+def mosaic(source: str, name: str, octaves: int = 3) -> str:
+    """Planes v, s1..s5 of octaves that begin with the raster itself."""
+    ctes, parts = [source, *[halved(f"base{o}", f"base{o - 1}" if o > 1 else name) for o in range(1, octaves)]], []
+    for o in range(octaves):
+        ctes += planes(f"m{o}_", f"base{o}" if o else name, o)
+        top = " + ".join(f"h.h // {2**i}" for i in range(o)) or "0"
+        parts += [f"SELECT p.image_id, CAST(p.row + {top} AS INTEGER) AS row, CAST(p.col + {k} * p.w AS INTEGER) AS col, p.{c} AS v FROM m{o}_planes p JOIN heights h USING (image_id)" for k, c in enumerate(("v", "s1", "s2", "s3", "s4", "s5"))]
+    return f"WITH {', '.join(ctes)}, heights AS (SELECT DISTINCT image_id, h FROM {name}) {' UNION ALL '.join(parts)}"

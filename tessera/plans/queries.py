@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from tessera.functions.kernels import DERIVATIVE, gauss_1d
 from tessera.model import BGR
 from tessera.operators import cluster, combine, edges, features, generate, knn, point, pyramid, resample, stencil, stereo
 from tessera.plans import feature_sql, sql
-from tessera.session import stored
-from tessera.sources import images, keyfile, rasters, report
+from tessera.session import shared_dir, stored
+from tessera.sources import images, keyfile, pngs, rasters, report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -113,6 +114,11 @@ def bump_map_32(spark, sf_dir):
     return plain(generate.bump_map(spark, 32))
 
 
+@query(f"WITH {sql.TILES} SELECT image_id, row, col, CASE WHEN ring THEN CAST(floor(255 * sin(acos(220.0::DOUBLE / 255))) AS INTEGER) ELSE 255 END AS b, CASE WHEN ring THEN CAST(floor(128 - 110 * cos(angle)) AS INTEGER) ELSE 128 END AS g, CASE WHEN ring THEN CAST(floor(128 + 110 * sin(angle)) AS INTEGER) ELSE 128 END AS r FROM (SELECT image_id, row, col, atan2(x, y) AS angle, sqrt(x * x + y * y) > 4 AND sqrt(x * x + y * y) <= 6 AS ring FROM (SELECT image_id, row, col, row % 16 - 7.5::DOUBLE AS y, col % 16 - 7.5::DOUBLE AS x FROM tiles))")
+def bump_tiles(spark, sf_dir):
+    return generate.bumps(rasters.tiles(spark, sf_dir)).drop("h", "w")
+
+
 # Resampling
 
 
@@ -262,6 +268,12 @@ def kmeans_float_k4(spark, sf_dir):
     return plain(cluster.kmeans(rasters.bgr(spark, sf_dir), 4, 5)[0])
 
 
+@query(sql.kmeans(8, 5, True, seed=2000))
+def kmeans_random_k8(spark, sf_dir):
+    df = rasters.bgr(spark, sf_dir)
+    return plain(cluster.kmeans_fixed(df, 8, 5, cluster.random_start(df, 8))[0])
+
+
 @query(sql.kmeans(8, 200, True))
 def kmeans_fixed_200(spark, sf_dir):
     return plain(cluster.kmeans_fixed(rasters.bgr(spark, sf_dir), 8, 200)[0])
@@ -368,6 +380,18 @@ def sift(spark, sf_dir):
     return rounded(out.withColumn("key_id", F.col("key_id").cast("long")), "angle", "scale", "posx", "posy", "value")
 
 
+@query(feature_sql.key_counts())
+def key_counts(spark, sf_dir):
+    counts = features.Counts()
+    features.features(_square_bgr(spark, sf_dir), counts=counts)  # the counted stages are written as they are made
+    return counts.table(spark)
+
+
+@query(feature_sql.mosaic(sql.TILES, "tiles"))
+def scale_mosaic(spark, sf_dir):
+    return features.mosaic(features.octaves(rasters.tiles(spark, sf_dir)), ["v", "s1", "s2", "s3", "s4", "s5"]).drop("h", "w")
+
+
 @query(
     f"WITH {sql.TILES}, marks AS (SELECT DISTINCT vec_id // 64 AS image_id, CAST(trunc((vec_id % 128) * 2.0::DOUBLE ** (o - 1)) AS INTEGER) + i.i AS row, CAST(trunc((vec_id * 7 % 128) * 2.0::DOUBLE ** (o - 1)) AS INTEGER) + j.i AS col FROM (SELECT vec_id, vec_id % 3 AS o FROM embeddings), range(-3, 4) AS i(i), range(-3, 4) AS j(i) WHERE floor(sqrt(i.i * i.i + j.i * j.i) + 0.5) = o + 1) SELECT t.image_id, t.row, t.col, {', '.join(f"CASE WHEN m.row IS NULL THEN CAST(v AS INTEGER) ELSE {255 if c == 'r' else 0} END AS {c}" for c in BGR)} FROM tiles t LEFT JOIN marks m ON m.image_id = t.image_id AND m.row = t.row AND m.col = t.col"
 )
@@ -475,6 +499,13 @@ def png_images(spark, sf_dir):
     return images.encode_png(rasters.bgr_tiles(spark, sf_dir))
 
 
+@query(f"WITH {sql.BGR} SELECT row // 64 AS image_id, CAST(least(64, h - (row // 64) * 64) AS INTEGER) AS h, w, CAST(row % 64 AS INTEGER) AS row, col, b, g, r FROM bgr")
+def png_files(spark, sf_dir):
+    path = f"{shared_dir(spark)}/png-{uuid.uuid4().hex}"
+    pngs.write_png(rasters.bgr_tiles(spark, sf_dir), path)
+    return pngs.scan_png(spark, path)
+
+
 @query("SELECT 'heat' AS image, CAST(sum(v) AS DOUBLE) AS total, CAST(max(v) AS DOUBLE) AS most FROM (WITH " + sql.HEAT + " SELECT v FROM heat)")
 def report_pivot(spark, sf_dir):
     v = rasters.heat(spark, sf_dir)

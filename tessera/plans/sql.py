@@ -138,10 +138,12 @@ def pyramid(levels: int) -> str:
     return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"
 
 
-def kmeans(k: int, rounds: int, fixed: bool) -> str:
+def kmeans(k: int, rounds: int, fixed: bool, seed: int | None = None) -> str:
     size = f"({N} * 21)"
     unit = "65536" if fixed else "1"
     ctes = [BGR.replace("bgr AS (", "bgr AS MATERIALIZED ("), f"start AS MATERIALIZED (SELECT k.i AS k, b * {unit} AS cb, g * {unit} AS cg, r * {unit} AS cr FROM range({k}) AS k(i) JOIN bgr ON row * 21 + col = (k.i * {size}) // {k})"]
+    if seed is not None:
+        ctes[1] = f"start AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:0:' || (row * 21 + col))) - 1 AS k, b * {unit} AS cb, g * {unit} AS cg, r * {unit} AS cr FROM bgr QUALIFY k < {k})"
     source = "start"
     share = lambda c: f"CAST(sum(({c} * 65536::BIGINT) // n) AS BIGINT)" if fixed else f"sum({c})::DOUBLE / count(*)"
     for i in range(rounds + 1):
