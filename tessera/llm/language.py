@@ -92,7 +92,8 @@ def fit(docs: DataFrame, use: Column | None = None, settings: Settings = Setting
     train = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if use is not None:
         train = train.where(use)
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    texts = train.select("lang", F.xxhash64("text", F.lit(5)).alias("h")).distinct()  # equal texts count once, as they are drawn once
+    sizes = {r["lang"]: r["n"] for r in texts.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     n_docs, df = _document_frequency(train, settings)

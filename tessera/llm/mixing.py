@@ -114,11 +114,14 @@ def plan(rows: DataFrame, targets: Targets) -> Plan:
     for d in DIMENSIONS:
         wanted = getattr(targets, d)
         if wanted is None:
-            largest = rows.where(F.col(d).isNotNull() & (F.col(d) != OTHER)).groupBy(F.col(d).alias("name")).agg(F.sum("_tokens").alias("n")).where("n > 0").orderBy(F.desc("n"), "name").limit(targets.categories).collect()
-            total = rows.agg(F.sum("_tokens")).first()[0] or 0
+            sizes = rows.where(F.col(d).isNotNull() & (F.col(d) != OTHER)).groupBy(F.col(d).alias("name")).agg(F.sum("_tokens").alias("n")).where("n > 0")
+            largest = sizes.orderBy(F.desc("n"), "name").limit(targets.categories).collect()
             listed = [(r["name"], r["n"]) for r in largest]
-            listed.append((OTHER, total - sum(n for _, n in listed)))
-            wanted = {name: float(n) ** targets.temper for name, n in listed}
+            # Categories beyond the largest are raked as one, whose wish is the sum of theirs, so that none of them loses by it.
+            few = sizes.where(~F.col("name").isin([n for n, _ in listed])).agg(F.sum("n").alias("n"), F.sum(F.pow("n", F.lit(targets.temper))).alias("wish")).first()
+            total = rows.agg(F.sum("_tokens")).first()[0] or 0
+            unnamed = total - sum(n for _, n in listed) - (few["n"] or 0)
+            wanted = {name: float(n) ** targets.temper for name, n in listed} | {OTHER: float(unnamed) ** targets.temper + (few["wish"] or 0.0)}
         kept = [n for n in wanted if n != OTHER]
         values = [wanted[n] for n in kept] + [wanted.get(OTHER, 0.0)]
         names.append(kept)

@@ -1,7 +1,8 @@
 """Quality classifier: hashed word n-grams, logistic regression by FTRL, scored as sparse dot products.
 
-fit() learns from a bounded sample of labelled rows (`sample`, the rows of smallest hashed id); score() adds
-a probability to every row and reads whole texts. Defined cases: null and empty texts are scored by the bias
+fit() learns from a bounded sample of labelled documents (`sample`, of those in the table the ones of smallest hashed id,
+with at most `values` feature values in all), in one task of that bounded size; the driver gets the weights alone. score() adds a
+probability to every row and reads whole texts. Defined cases: null and empty texts are scored by the bias
 alone; labels that are null are skipped; a document with several labels counts with its smallest one, an id with several texts with one of them; with no
 labelled rows every score is 0.5; repeated rows get equal scores; other columns are left as they are.
 """
@@ -27,6 +28,7 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 class Settings:
     bits: int = 18
     sample: int = 6000
+    values: int = 20_000_000
     passes: int = 3
 
 
@@ -48,6 +50,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Column
     if use is not None:
         known = known.where(use)
     rank = F.xxhash64("doc_id", F.lit(11))
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # before the limit: labels of other documents take no place in it
     chosen = known.groupBy("doc_id").agg(F.min(label).cast("int").alias("_y")).orderBy(rank, "doc_id").limit(settings.sample)
     bits = settings.bits
 
@@ -58,9 +61,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", use: Column
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["_y"], "at": [a.astype(np.int32).tobytes() for a, _ in rows], "x": [x.astype(np.float32).tobytes() for _, x in rows]})
 
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(sparse, "doc_id long, y int, at binary, x binary")
-    found = found.groupBy("doc_id").agg(F.min(F.struct("y", "at", "x")).alias("m")).select("doc_id", "m.*").toPandas().sort_values("doc_id")  # one text for each id
-    rows = [(np.frombuffer(a, np.int32), np.frombuffer(x, np.float32), int(y)) for a, x, y in zip(found["at"], found["x"], found["y"])]
-    return epochs(Ftrl(1 << bits), rows, settings.passes).weights()[:, 0]
+    found = found.groupBy("doc_id").agg(F.min(F.struct("y", "at", "x")).alias("m")).select("doc_id", "m.*", F.lit(1).alias("one"))  # one text for each id
+
+    def train(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values("doc_id")
+        rows, left = [], settings.values
+        for a, x, y in zip(sample["at"], sample["x"], sample["y"]):
+            left -= len(x) // 4
+            if left >= 0:
+                rows.append((np.frombuffer(a, np.int32), np.frombuffer(x, np.float32), int(y)))
+        weights = epochs(Ftrl(1 << bits), rows, settings.passes).weights()[:, 0]
+        return pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()]})
+
+    learnt = found.groupBy("one").applyInPandas(train, "weights binary").first()  # at most settings.sample rows
+    return np.frombuffer(learnt["weights"], np.float32) if learnt else np.zeros(1 << bits, np.float32)
 
 
 def score(text: Column, weights: np.ndarray, settings: Settings = Settings()) -> Column:
