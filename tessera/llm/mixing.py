@@ -237,8 +237,10 @@ def sql(targets: Targets = Targets()) -> str:
             ctes.append(f"formed AS MATERIALIZED (SELECT m.*, CASE WHEN tokens = 0 THEN 'empty' ELSE name END AS topic FROM measured m JOIN {near} USING (n) JOIN form0 USING (k))")
     ctes.append("everything AS (SELECT sum(tokens) AS total FROM formed)")
     for i, d in enumerate(DIMENSIONS[:2]):
-        ctes.append(f"big{i} AS MATERIALIZED (SELECT name, t, row_number() OVER (ORDER BY t DESC, name) - 1 AS k FROM (SELECT {d} AS name, sum(tokens) AS t FROM formed WHERE {d} IS NOT NULL AND {d} <> '{OTHER}' GROUP BY {d} HAVING sum(tokens) > 0 ORDER BY t DESC, name LIMIT {targets.categories}))")
-        ctes.append(f"all{i} AS (SELECT k, sqrt(t::DOUBLE) AS v FROM big{i} UNION ALL SELECT count(*), sqrt(((SELECT total FROM everything) - coalesce(sum(t), 0))::DOUBLE) FROM big{i})")
+        ctes.append(f"sized{i} AS MATERIALIZED (SELECT {d} AS name, sum(tokens) AS t, row_number() OVER (ORDER BY sum(tokens) DESC, {d}) - 1 AS k FROM formed WHERE {d} IS NOT NULL AND {d} <> '{OTHER}' GROUP BY {d} HAVING sum(tokens) > 0)")
+        ctes.append(f"big{i} AS (SELECT * FROM sized{i} WHERE k < {targets.categories})")
+        few = f"coalesce((SELECT sum(sqrt(t::DOUBLE)) FROM sized{i} WHERE k >= {targets.categories}), 0.0::DOUBLE)"
+        ctes.append(f"all{i} AS (SELECT k, sqrt(t::DOUBLE) AS v FROM big{i} UNION ALL SELECT (SELECT count(*) FROM big{i}), sqrt(((SELECT total FROM everything) - coalesce(sum(t), 0))::DOUBLE) + {few} FROM sized{i})")
         ctes.append(f"wish{i} AS (SELECT list(v / (SELECT list_sum(list(v ORDER BY k)) FROM all{i}) ORDER BY k) AS shares FROM all{i})")
     topics = [n for n in targets.topic if n != OTHER]
     values = [targets.topic[n] for n in topics] + [targets.topic.get(OTHER, 0.0)]

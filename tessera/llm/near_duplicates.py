@@ -1,21 +1,23 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
 k-mers are shingles of five words (the whole text if it has fewer), labelled with how often they occurred before.
-Each of `sketches` sketches takes the `minima` labelled k-mers that come first under a random order, and keeps them in
-the order of the text; equal sketches make candidates. Two texts are near duplicates if an alignment of their shingle
-sequences within a band matches a share of `similarity` (matched over matched and unmatched ones of both).
+Each of `sketches` orders takes the `minima` labelled k-mers that come first, and also the `few` that do, and keeps them in the
+order of the text; equal sketches make candidates. Two texts are near duplicates if a sketch of theirs is equal and an alignment of
+their words within a band matches a share of `similarity` of the words of both (twice the matched over all).
 
 Classes are the connected components of the verified links between different texts. Candidates of a bucket are not
-paired with each other but with one leader; after the components of the verified links are known, each bucket
-that still holds several components proposes links between members of them, for up to `rounds` rounds. Links inside a
-component can't change it, so none are tried there. Texts that are equal are one node from the start.
-
-What this leaves open is finished exactly (`between`): members of buckets that still hold several components are
-joined on the prefixes of their shingles, rare ones first. A pair that reaches `similarity` shares a shingle of both
-prefixes, so every pair of two components is either verified or can't be near. Texts of up to `short` shingles take
-part too, as few k-mers make sketches miss more: whole short texts don't even share one with a text that is longer.
-
-Defined cases: null texts and texts without words are near each other and nothing else; a pair of exactly
+paired with each other but with one leader and with the next one by length; after the components of the verified links are
+known, each bucket that still holds several components proposes links between members of them, for up to `rounds` rounds. Links
+inside a component can't change it, so none are tried there. Texts that are equal are one node from the start.
+
+For texts whose shingles agree (aligned, matched over matched and unmatched ones) to a share of `similarity`, what this leaves
+open is finished exactly (`between`): members of buckets of `minima` that still hold several components are joined on the
+prefixes of their shingles, rare ones first. Such a pair shares a shingle of both prefixes, so every one of two components
+is verified. Texts of up to `short` shingles take part too, as few k-mers make sketches miss more: whole short
+texts don't even share one with a text that is longer. Pairs whose words agree but fewer of their shingles do are found with the
+chance that sketches of `few` give.
+
+Defined cases: null texts and texts without words are near each other and nothing else; a candidate pair of exactly
 `similarity` is linked; a document without near copies is a class of its own; class_id is the smallest doc_id of the
 class, and so is the id of the document that stays, of equal ones that of the smallest text hash; rows that repeat
 a doc_id with other texts are judged by their texts, and so are rows with a null doc_id; a class of such rows alone
@@ -45,6 +47,7 @@ class Settings:
     similarity: float = 0.8
     sketches: int = 32
     minima: int = 6
+    few: int = 2
     short: int = 50  # shingles of texts that are compared exactly, whatever their sketches
     rounds: int = 3  # of cheap proposals per bucket, before the rest is finished exactly
     salt: int = 4096  # members of one prefix shingle that meet in a task
@@ -81,11 +84,12 @@ def _orders(n: int) -> np.ndarray:
 
 
 def order_min_hash(s: np.ndarray, settings: Settings) -> np.ndarray:
-    """One hash per sketch: of the first `minima` labelled k-mers under its order, in the order of the text."""
+    """Two hashes per order: of the first `minima` labelled k-mers under it and of the first `few`, in the order of the text."""
     if not len(s):
         s = np.zeros(1, np.uint64)
     s = labelled(s)
-    out, most = np.empty(settings.sketches, np.uint64), min(settings.minima, len(s))
+    n, most, few = settings.sketches, min(settings.minima, len(s)), min(settings.few, len(s))
+    out = np.empty(2 * n, np.uint64)
     step = max(1, (1 << 20) // len(s))
     for at in range(0, settings.sketches, step):
         a = _orders(settings.sketches)[at : at + step]
@@ -93,24 +97,33 @@ def order_min_hash(s: np.ndarray, settings: Settings) -> np.ndarray:
         ranks ^= ranks >> np.uint64(32)
         ranks *= a[:, None]
         first = np.argpartition(ranks, most - 1, axis=1)[:, :most] if most < len(s) else np.broadcast_to(np.arange(len(s)), ranks.shape)
-        kept = s[np.sort(first, axis=1)]
-        h = a.copy()
-        for i in range(most):
-            h = (h ^ kept[:, i]) * np.uint64(0x9FB21C651E98DF25)
-            h ^= h >> np.uint64(29)
-        out[at : at + step] = mix64(h)
+        first = np.sort(first, axis=1)
+        out[at : at + len(a)] = _chained(a, s[first])
+        least = np.sort(np.argsort(np.take_along_axis(ranks, first, axis=1), axis=1)[:, :few], axis=1)
+        out[n + at : n + at + len(a)] = _chained(~a, s[np.take_along_axis(first, least, axis=1)])
     return out
 
 
+def _chained(a: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    h = a.copy()
+    for i in range(kept.shape[1]):
+        h = (h ^ kept[:, i]) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(29)
+    return mix64(h)
+
+
+MASKED = 1 << 15  # words of a text up to which the places of each word are kept as one bit set
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the banded alignment of two shingle sequences matches the wanted share.
+    """Whether the banded alignment of two word sequences matches the wanted share.
 
-    Matched pairs m of n and k shingles are enough if m >= similarity * (n + k - m). Then no matched places are further
+    m matched pairs of n and k words are enough if 2 * m >= similarity * (n + k). Then no matched places are further
     apart than the unmatched ones of either, which bounds the band. Rows are bit sets: a longest common
-    subsequence is found with one addition of integers per shingle.
+    subsequence is found with one addition of integers per word.
     """
     n, k = len(a), len(b)
-    need = similarity * (n + k) / (1 + similarity)
+    need = similarity * (n + k) / 2
     if min(n, k) < need - 1e-9:
         return False
     left = int(np.argmin(np.append(a[: min(n, k)] == b[: min(n, k)], False)))
@@ -120,12 +133,13 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     if matched >= need - 1e-9:
         return True
     a, b = a[left : n - right], b[left : k - right]
-    if matched + len(np.intersect1d(a, b)) + _repeats(a, b) < need - 1e-9:
+    if matched + _in_common(a, b) < need - 1e-9:
         return False
     band = int(max(n, k) - need) + 1
     where: dict[int, list[int]] = {}
     for i, x in enumerate(a.tolist()):
         where.setdefault(x, []).append(i)
+    masks = {x: sum(1 << i for i in places) for x, places in where.items()} if len(a) <= MASKED else None
     # The row's bits from `low` to `low + width`, all that the band can change; below it zeros are matches for good.
     low, width, row = 0, min(len(a), band + 1), (1 << min(len(a), band + 1)) - 1
     for j, x in enumerate(b.tolist()):
@@ -134,18 +148,22 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
             row, low, width = row >> 1, low + 1, width - 1
         while low + width < min(len(a), j + band + 1):
             row, width = row | 1 << width, width + 1
-        places = where.get(x)
-        if places:
-            m = 0
-            for i in places[bisect_left(places, low) : bisect_left(places, low + width)]:
-                m |= 1 << (i - low)
+        if masks is not None:
+            m = masks.get(x, 0) >> low & (1 << width) - 1
+        else:
+            places = where.get(x, [])
+            m = sum(1 << (i - low) for i in places[bisect_left(places, low) : bisect_left(places, low + width)])
+        if m:
             row = (row + (row & m) | row & ~m) & (1 << width) - 1
     return matched + width - row.bit_count() >= need - 1e-9
 
 
-def _repeats(a: np.ndarray, b: np.ndarray) -> int:
-    """How many more matches repeated shingles allow than there are common ones, at most."""
-    return min(len(a) - len(np.unique(a)), len(b) - len(np.unique(b)))
+def _in_common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words the two have in common, repeated ones as often as both have them: no alignment matches more."""
+    x, n = np.unique(a, return_counts=True)
+    y, k = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(np.minimum(n[i], k[j]).sum())
 
 
 def _verified(similarity: float):
@@ -162,35 +180,41 @@ def _sketched(docs: DataFrame, settings: Settings) -> DataFrame:
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         memo = Memo()
         for texts in batches:
-            every = [shingles(word_hashes(t, memo), settings.words) for t in texts]
-            yield pd.DataFrame({"sketch": [order_min_hash(s, settings).view(np.int64) for s in every], "size": [len(s) for s in every]})
+            words = [word_hashes(t, memo) for t in texts]
+            yield pd.DataFrame({"sketch": [order_min_hash(shingles(w, settings.words), settings).view(np.int64) for w in words], "size": [len(w) for w in words]})
 
     columns = "doc_id", F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), F.col("text")).alias("_h2"), sketch("text").alias("_")
     return docs.select(*columns).select("doc_id", "_h1", "_h2", F.col("_.sketch").alias("_sketch"), F.col("_.size").alias("_size"))
 
 
-def _shingled(docs: DataFrame, settings: Settings) -> DataFrame:
-    """The shingle sequences (32 bits each) of these nodes."""
+def _worded(docs: DataFrame) -> DataFrame:
+    """The word sequences (32 bits each) of these nodes."""
 
     @F.pandas_udf("binary")
     def sequence(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo = Memo()
         for texts in batches:
-            yield pd.Series([(shingles(word_hashes(t, memo), settings.words) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts], dtype=object)
+            yield pd.Series([(word_hashes(t, memo) >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts], dtype=object)
 
     return docs.select("node", sequence("text").alias("_s"))
 
 
+def _shingles_of(words: bytes, settings: Settings) -> np.ndarray:
+    """The shingles (32 bits each) of a stored word sequence."""
+    return (shingles(np.frombuffer(words, np.uint32).astype(np.uint64), settings.words) >> np.uint64(32)).astype(np.uint32)
+
+
 COUNTER_BITS = 18
 
 
-def _levels(sequences: DataFrame) -> np.ndarray:
+def _levels(sequences: DataFrame, settings: Settings) -> np.ndarray:
     """How often shingles occur, as a coarse logarithm per counter; a shingle's counter is its upper bits."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << COUNTER_BITS, np.int64)
         for b in batches:
-            counts += np.bincount(np.frombuffer(b"".join(b["_s"]), np.uint32) >> np.uint32(32 - COUNTER_BITS), minlength=len(counts))
+            for s in b["_s"]:
+                np.add.at(counts, _shingles_of(s, settings) >> np.uint32(32 - COUNTER_BITS), 1)
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"at": at, "n": counts[at]})
 
@@ -212,12 +236,12 @@ def prefix(s: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
 
 def _prefixes(sequences: DataFrame, settings: Settings) -> DataFrame:
     """key, node, n (its shingles), at (the key's place in the prefix), rank (of the node among the key's), many (of them)."""
-    levels = _levels(sequences)
+    levels = _levels(sequences, settings)
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for node, s in zip(b["node"], b["_s"]):
-                s = np.frombuffer(s, np.uint32)
+                s = _shingles_of(s, settings)
                 keys = prefix(s, levels, settings.similarity).view(np.int64)
                 yield pd.DataFrame({"key": keys, "node": node, "n": len(s), "at": np.arange(len(keys))})
 
@@ -289,36 +313,43 @@ def _classed(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]
     sketched = stored(_sketched(docs.select("doc_id", "text"), settings), "sketches")
     texts = sketched.groupBy("_h1", "_h2").agg(F.min("doc_id").alias("_doc"), F.count("*").alias("_n"), F.first("_sketch").alias("_sketch"), F.first("_size").alias("_size"))
     nodes = stored(texts.withColumn("node", F.monotonically_increasing_id()), "nodes")  # as written, so the numbers stay
-    keys = nodes.select("node", F.posexplode("_sketch").alias("_k", "_v")).select(F.xxhash64("_k", "_v").alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("_last > leader").drop("_last")
+    keys = nodes.select("node", "_size", F.posexplode("_sketch").alias("_k", "_v")).select(F.xxhash64("_k", "_v").alias("key"), "node", "_size", (F.col("_k") < settings.sketches).alias("strict"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last"), F.min_by("_size", "node").alias("_led"), F.count("*").alias("_many")).where("_last > leader").drop("_last")
     members = stored(keys.join(shared, "key"), "members")
-    short = nodes.where(F.col("_size").between(1, settings.short)).select("node")
+    short = nodes.where(F.col("_size").between(1, settings.short + settings.words - 1)).select("node")
     ids = nodes.join(members.select("node").union(short).distinct(), "node").select("node", "_h1", "_h2", "_doc")
     # One row of each text is enough; the smallest id finds it without moving the text of its copies.
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), F.col("text")).alias("_h2"))
     wanted = _matching(rows, ids).select("node", "text")
-    sequences = stored(_shingled(wanted, settings).dropDuplicates(["node"]), "sequences")
+    sequences = stored(_worded(wanted).dropDuplicates(["node"]), "sequences")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs with ok: whether the two texts are near duplicates."""
         out = pairs.join(sequences.select(F.col("node").alias("a"), F.col("_s").alias("_sa")), "a").join(sequences.select(F.col("node").alias("b"), F.col("_s").alias("_sb")), "b")
         return out.select("a", "b", _verified(settings.similarity)("_sa", "_sb").alias("ok"))
 
-    tried = stored(verified(members.where("node > leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()), "tried")
+    # Members meet the leader and, sorted by length in chunks of bounded size, the one before them; texts too unlike in length don't.
+    alike = lambda x, y: 2 * F.least(x, y) >= settings.similarity * (x + y) - 1e-6
+    led = members.where("node > leader").where(alike(F.col("_size"), F.col("_led"))).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("_many") / settings.salt))
+    beside = Window.partitionBy("key", "_chunk").orderBy("_size", "node")
+    beside = members.where("_many > 2").withColumn("_chunk", chunk).select("node", "_size", F.lag("node").over(beside).alias("_n"), F.lag("_size").over(beside).alias("_p"))
+    beside = beside.where(F.col("_n").isNotNull() & alike(F.col("_size"), F.col("_p"))).select(F.greatest("node", "_n").alias("a"), F.least("node", "_n").alias("b"))
+    tried = stored(verified(led.unionByName(beside).distinct()), "tried")
     roots = stored(components(tried.where("ok")), "roots")
     for _ in range(settings.rounds):
-        inside = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        proposal = F.struct(F.xxhash64("node", "key").alias("h"), "node")
-        each = inside.groupBy("key", "root").agg(F.min(proposal)["node"].alias("node"))
-        centre = each.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", "key").alias("h"), "root", "node")).alias("c"), F.count("*").alias("n")).where("n > 1")
-        pairs = each.join(centre, "key").where("root <> c.root").select(F.greatest("node", F.col("c.node")).alias("a"), F.least("node", F.col("c.node")).alias("b")).distinct()
+        inside = members.join(roots, "node", "left").select("key", "node", "_size", F.coalesce("root", "node").alias("root"))
+        proposal = F.struct(F.xxhash64("node", "key").alias("h"), "node", "_size")
+        each = inside.groupBy("key", "root").agg(F.min(proposal).alias("m")).select("key", "root", "m.node", "m._size")
+        centre = each.groupBy("key").agg(F.min(F.struct(F.xxhash64("root", "key").alias("h"), "root", "node", "_size")).alias("c"), F.count("*").alias("n")).where("n > 1")
+        pairs = each.join(centre, "key").where("root <> c.root").where(alike(F.col("_size"), F.col("c._size"))).select(F.greatest("node", F.col("c.node")).alias("a"), F.least("node", F.col("c.node")).alias("b")).distinct()
         more = stored(verified(pairs.join(tried, ["a", "b"], "left_anti")), "more")
         if more.where("ok").isEmpty():
             tried = tried.unionByName(more)
             break
         tried, roots = tried.unionByName(more), merged(roots, more.where("ok"))
 
-    inside = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    inside = members.where("strict").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     open_keys = inside.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
     unresolved = inside.join(open_keys, "key").select("node").union(short).distinct()
     prefixes = _prefixes(sequences.join(unresolved, "node", "left_semi"), settings)

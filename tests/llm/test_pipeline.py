@@ -22,7 +22,7 @@ def test_pipeline(spark):
     kept = {i: r for i, r in kept.items() if 1 / (1 + np.exp(-dot(*quality.features(r["text"], bits, memo)))) >= 0.5}
 
     texts = {i: r["text"] for i, r in sorted(kept.items())}
-    classes = _brute_classes(texts)
+    classes = _brute_classes(texts, words=True)
     kept = {i: r for i, r in kept.items() if classes[i] == i}
     kept = {i: r for i, r in kept.items() if not any(item in r["text"] for item in items)}
 
