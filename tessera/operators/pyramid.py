@@ -23,7 +23,7 @@ def pyramid(df: DataFrame, levels: int, scale: float = 0.5) -> DataFrame:
     canvas = lambda h: (h + F.floor(h * scale + 1)).cast("int")
     out = base.select("image_id", canvas(F.col("h")).alias("h"), "w", "row", "col", *BGR)
     # The sizes of all levels follow from the first one's, so where a level lies needs no look at the levels before.
-    shapes = base.where("row = 0 AND col = 0").select("image_id", F.col("h").alias("_h0"), F.col("w").alias("_w0"))  # a row an image
+    shapes = stored(base.where("row = 0 AND col = 0").select("image_id", F.col("h").alias("_h0"), F.col("w").alias("_w0")), "shapes")  # a row an image, found once for all levels
     level = base
     for k in range(1, levels):
         rows, cols = F.floor(F.col("h") * scale).cast("int"), F.floor(F.col("w") * scale).cast("int")

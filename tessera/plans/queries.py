@@ -364,6 +364,11 @@ def _square_bgr(spark, sf_dir):
     return rasters.square(spark, sf_dir).select("image_id", "h", "w", "row", "col", *[F.col("v").cast("int").alias(c) for c in BGR])
 
 
+@query(sql.pyramid(8, f"{feature_sql.SQUARE}, square_bgr AS (SELECT {sql.PLACE}, {', '.join(f'CAST(v AS INTEGER) AS {c}' for c in BGR)} FROM square)", "square_bgr", "176", 176))
+def gaussian_pyramid_8(spark, sf_dir):
+    return plain(pyramid.pyramid(_square_bgr(spark, sf_dir), 8, 0.5))
+
+
 @query(feature_sql.extrema_of_octaves())
 def extrema_octaves(spark, sf_dir):
     out = None

@@ -127,13 +127,13 @@ def bilinear_float(name: str, source: str, factor: int) -> str:
     return f"{name} AS (SELECT i AS row, j AS col, CASE WHEN fy + fx < 1e-10 THEN p.v WHEN y < g.h - 1 AND x < g.w - 1 THEN (1 - fy) * (1 - fx) * p.v + fy * (1 - fx) * q.v + fy * fx * s.v + (1 - fy) * fx * t.v ELSE 0.0::DOUBLE END AS v FROM ({grid}) g {join})"
 
 
-def pyramid(levels: int) -> str:
-    ctes, parts = [BGR], ["SELECT row, col, b, g, r FROM bgr"]
-    source, offset = "bgr", "0"
+def pyramid(levels: int, base: str = BGR, source: str = "bgr", height: str = N, width: int = 21) -> str:
+    ctes, parts = [base], [f"SELECT row, col, b, g, r FROM {source}"]
+    offset = "0"
     for k in range(1, levels):
-        ctes += [gaussian(f"blur{k}", source, 1.0), bilinear(f"level{k}", f"blur{k}", "CAST(floor(h * 0.5::DOUBLE) AS INTEGER)", "CAST(floor(w * 0.5::DOUBLE) AS INTEGER)")]
-        parts.append(f"SELECT CAST(row + {N} AS INTEGER) AS row, CAST(col + {offset} AS INTEGER) AS col, b, g, r FROM level{k}")
-        offset += f" + {21 // 2**k}"
+        ctes += [gaussian(f"blur{k}", source, 1.0), bilinear(f"level{k}", f"blur{k}", "CAST(floor(h * 0.5::DOUBLE) AS INTEGER)", "CAST(floor(w * 0.5::DOUBLE) AS INTEGER)").replace(" AS (", " AS MATERIALIZED (", 1)]
+        parts.append(f"SELECT CAST(row + {height} AS INTEGER) AS row, CAST(col + {offset} AS INTEGER) AS col, b, g, r FROM level{k}")
+        offset += f" + {width // 2**k}"
         source = f"level{k}"
     return f"WITH {', '.join(ctes)} {' UNION ALL '.join(parts)}"
 

@@ -6,7 +6,7 @@ import pytest
 from tessera.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"gaussian_pyramid_4", "scale_space", "dog_plane", "stereo_disparity", "key_counts"}  # covered by the other queries of their operators
+SLOW = {"gaussian_pyramid_4", "gaussian_pyramid_8", "scale_space", "dog_plane", "stereo_disparity", "key_counts"}  # covered by the other queries of their operators
 
 
 @pytest.fixture(scope="module")
