@@ -5,7 +5,9 @@
    role. A form, header or element so named that contains an article or main element is a wrapper and not dropped,
    unless it lies within an article itself. Within an article names count less: paragraphs, headings, list items and
    cells go only by the words of ADVERTS, other elements also by those of FURNITURE, and what is named by a word of
-   DOUBTFUL there stays a line, marked as doubtful. Lines in an article or main element are marked with it.
+   DOUBTFUL there stays a line, marked as doubtful. Lines in an article or main element are marked with it. Blocks
+   named as reader comments (`_remark`: a class or id of several words, or a comment's item type) go anywhere, also
+   articles that are so named; those that follow an article are dropped with the articles in them.
 2. Pages of one host are put in the order of their URL paths; each page is paired with its nearest one before and
    after. All their lines are aligned by longest common subsequence. If almost all of a page is shared (COPY) the two
    are copies of one page and that pair deletes nothing; if both pairs are such, what all three share is deleted,
@@ -55,6 +57,11 @@ DOUBTFUL = "side|header|widget|skip|search"
 CARDS = "card|teaser|preview|excerpt|summary|promo|related|recommended"
 
 
+REMARKS = "comment|comments|respond|disqus|reply|replies"
+PARTS = "list|thread|body|section|area|form|item|container|wrapper|wrap|content|box|block|author|meta|text"
+NO_PARTS = "no|has|with|without|hide|show|allow|open|closed"
+
+
 def _words(words: str) -> re.Pattern:
     """Any of the words as a whole one, with a number behind it or not."""
     return re.compile(rf"(?<!\S)(?:{words})(?:[_-]?\d+)?(?!\S)", re.I)
@@ -63,6 +70,12 @@ def _words(words: str) -> re.Pattern:
 ADVERT, MENU, DOUBT, TEASER = _words(ADVERTS), _words(f"{ADVERTS}|{MENUS}"), _words(DOUBTFUL), _words(CARDS)
 FURNITURE = _words(f"{ADVERTS}|{MENUS}|{DOUBTFUL}")
 
+# A class or id made of several words is that of reader comments if its last word says so, or its first before a part of them.
+REMARK = re.compile(rf"(?<!\S)(?!(?:{NO_PARTS})[_-])(?:(?:[a-z0-9]+[_-]+)*(?:{REMARKS})|(?:{REMARKS})[_-]+(?:{PARTS}))(?:[_-]*\d+)?(?!\S)", re.I)
+REMARK_HEADED = re.compile(rf"(?<!\S)(?:{REMARKS})(?:[_-]+(?:{PARTS}))?(?:[_-]*\d+)?(?!\S)", re.I)
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+REMARK_TYPE = re.compile(r"itemtype\s*=\s*[\"']?[^\s\"'>]*/(?:User)?Comments?\b|itemprop\s*=\s*[\"']?comment\b", re.I)
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|([^<]+|<)", re.S)
 MARKS = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none", re.I)
@@ -70,10 +83,20 @@ ROLE_MAIN = re.compile(r"role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articleBody"
 COPY = 0.8
 CARD = 0.25
 LINKED = 1 / 3
+MATCHES = 16  # a line, beyond which lines are aligned by rows of bits
 START, END = (1 << 63) - 2, (1 << 63) - 1
 KEPT, DOUBTED, UNWANTED = range(3)
 
 
+def _remark(tag: str, attributes: str) -> bool:
+    """Whether markup names a block as reader comments; the id of a section without a class is often that of its heading, so less counts there."""
+    if not attributes or tag in INLINE or tag in TEXTUAL and tag != "li" or tag in ("html", "body", "main"):
+        return False
+    marks = [(m[1].lower(), next(x for x in m.groups()[1:] if x is not None)) for m in MARKS.finditer(attributes)]
+    named = REMARK_HEADED if tag == "section" and all(name == "id" for name, _ in marks) else REMARK
+    return any(named.search(CAMEL.sub("-", x)) for _, x in marks) or bool(REMARK_TYPE.search(attributes))
+
+
 def _judged(tag: str, attributes: str, in_main: bool) -> int:
     """Whether markup names an element as no main text."""
     if tag in DROPPED or tag == "header" and not in_main:
@@ -165,8 +188,9 @@ def lines(page: str | None) -> list[Line]:
             continue
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1].tag == tag:
             close(len(stack) - 1)
-        is_main = tag in MAIN or bool(attributes and ROLE_MAIN.search(attributes))
-        judged = KEPT if is_main else _judged(tag, attributes, len(regions) > 1)
+        remark = _remark(tag, attributes)
+        is_main = tag in MAIN and not remark or bool(attributes and ROLE_MAIN.search(attributes))
+        judged = KEPT if is_main else UNWANTED if remark else _judged(tag, attributes, len(regions) > 1)
         if is_main:
             if all(e.movable for e in blocking):
                 for e in blocking:
@@ -176,7 +200,7 @@ def lines(page: str | None) -> list[Line]:
             regions.append(count)
             if any(TEASER.search(next(x for x in m.groups()[1:] if x is not None)) for m in MARKS.finditer(attributes or "")):
                 cards.add(count)
-        e = Element(tag, judged == UNWANTED, count if is_main else 0, len(regions) == 1 and (tag in WRAPPERS or tag not in DROPPED), judged == DOUBTED)
+        e = Element(tag, judged == UNWANTED, count if is_main else 0, len(regions) == 1 and (tag in WRAPPERS or tag not in DROPPED) and not (remark and (count or tag == "article")), judged == DOUBTED)
         stack.append(e)
         doubted += e.doubted
         links += tag == "a"
@@ -192,8 +216,45 @@ def lines(page: str | None) -> list[Line]:
     return out
 
 
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """For each beginning of a, from the empty one: a number with a 0 at each place of b where the longest common subsequence grows."""
+    row = full = (1 << len(b)) - 1
+    where: dict[int, int] = {}
+    for j, h in enumerate(b):
+        where[h] = where.get(h, 0) | 1 << j
+    yield row
+    for h in a:
+        hit = row & where.get(h, 0)
+        row = ((row + hit) | (row - hit)) & full
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a with each beginning of b."""
+    for row in _rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _in_bits(a: list[int], b: list[int], most: int = 1 << 27) -> list[int]:
+    """Places in a of a longest common subsequence; a is halved until its rows fit into `most` bits, so memory is bounded."""
+    if len(a) > 1 and len(a) * len(b) > most:
+        half = len(a) // 2
+        cut = int((_lengths(a[:half], b) + _lengths(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return _in_bits(a[:half], b[:cut], most) + [half + i for i in _in_bits(a[half:], b[cut:], most)]
+    rows, out, j = list(_rows(a, b)), [], len(b)
+    for i in range(len(a), 0, -1):
+        under = (1 << j) - 1
+        if (rows[i] & under).bit_count() < (rows[i - 1] & under).bit_count():  # a[i - 1] is part of it, with its last equal under j
+            j = next(k for k in range(j - 1, -1, -1) if b[k] == a[i - 1])
+            out.append(i - 1)
+    return out[::-1]
+
+
 def common(a: list[int], b: list[int]) -> set[int]:
-    """Places in a of a longest common subsequence of a and b, as the longest rising run of matching places."""
+    """Places in a of a longest common subsequence of a and b: as the longest rising run of matching places, or by rows
+    of bits where lines that repeat make the matches many."""
     begin = 0
     while begin < min(len(a), len(b)) and a[begin] == b[begin]:
         begin += 1
@@ -204,6 +265,9 @@ def common(a: list[int], b: list[int]) -> set[int]:
     where: dict[int, list[int]] = {}
     for j in range(len(b) - end - 1, begin - 1, -1):
         where.setdefault(b[j], []).append(j)
+    left = a[begin : len(a) - end]
+    if sum(len(where.get(h, ())) for h in left) > MATCHES * (len(a) + len(b)):
+        return shared | {begin + i for i in _in_bits(left, b[begin : len(b) - end])}
     tails: list[int] = []
     links: list[tuple[int, tuple | None]] = []  # the place in a that ends the best run of each length, with the run before it
     for i in range(begin, len(a) - end):

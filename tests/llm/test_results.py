@@ -118,6 +118,36 @@ def test_tagger_adds_spans(spark):
     assert gated == free
 
 
+# Written by hand, not by the training's generator.
+HARMLESS = (
+    "Order 1234-5678-9012 shipped", "in 1990 1995 2000 2005 we met", "a total of 12.345.678 units", "ISBN 978-3-16-148410-0", "on 2021-03-04 at 12:30:45", "version 1.2.3 of the tool",
+    "pages 1024-2048 and 33", "9870157079875996 rows", "invoice 8007782375593431 paid", "8646308210557563", "won 3-2 at home dot", "ratio 3.14159 and 2.71828", "the years 1914, 1918, 1939, 1945",
+    "lat 52.5200, lon 13.4050", "score 21-19 22-20 15-21", "price 1.299.000,00 euro", "room 12 at 5 dot",
+)
+FORMS = (
+    ("phone", "call me at ", "(212) 555-0187", " today"), ("phone", "reach us on ", "212.555.0187", " please"), ("email", "write to ", "anna.schmidt [at] firma [dot] de", " now"), ("email", "mail ", "bob(at)example.com", " soon"),
+    ("card", "card ", "4111.1111.1111.1111", " expired"), ("card", "card ", "5500/0000/0000/0004", " used"), ("ip", "host ", "10 . 0 . 12 . 7", " is down"), ("ip", "ip ", "192[.]168[.]4[.]20", " blocked"),
+    ("phone", "ring ", "0171/5550123", " after six"), ("phone", "ring ", "0049 171 5550123", " now"), ("email", "", "jane_doe @ mail.example.org", " wrote"), ("phone", "dial ", "1-800-555-0199", " free"),
+)
+
+
+def test_tagger_on_strings_of_other_origin(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    tagger = pii.fit(docs)
+    assert [t for t, (_, every) in zip(HARMLESS, pii.all_spans(list(HARMLESS), tagger)) if every] == []
+    found = pii.all_spans(["".join(parts) for _, *parts in FORMS], tagger)
+    right = [every == [(kind, len(before), len(before) + len(span))] for (kind, before, span, _), (_, every) in zip(FORMS, found)]
+    assert sum(right) >= 9, right
+    texts = [r["text"] for r in docs.where("text is not null").orderBy("doc_id").collect()]
+    assert [(b, every) for b, every in pii.all_spans(texts, tagger) if len(every) > len(b)] == []  # their data follow the base patterns
+
+
+def test_what_a_span_can_be():
+    assert pii.possible("card", "4111/1111/1111/1111") and not pii.possible("card", "9870157079875996") and not pii.possible("card", "1234-5678-9012")
+    assert pii.possible("ip", "1 . 2 . 3 . 255") and not pii.possible("ip", "12.345.678") and not pii.possible("ip", "1 . 2 . 3 . 256")
+    assert pii.possible("phone", "555-0187") and not pii.possible("phone", "12-34") and pii.possible("email", "a (AT) b.de") and not pii.possible("email", "theatre.")
+
+
 def test_pieces_of_cut_spans_are_joined():
     pieces = [("email", 40, 96, 0.9, False, True), ("email", 48, 120, 0.8, True, False), ("ip", 3, 9, 0.7, False, False), ("card", 90, 96, 0.9, False, True), ("phone", 92, 99, 0.9, True, False)]
     assert sorted(pii.joined(pieces)) == [("email", 40, 120, 0.8), ("ip", 3, 9, 0.7)]
@@ -366,6 +396,37 @@ def test_common_lines_are_longest(a, b):
         for j, y in enumerate(b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
     assert len(pages.common(a, b)) == table[-1][-1]
+    for most in (1, 6, 1 << 20):  # bits
+        places = pages._in_bits(a, b, most)
+        assert len(places) == table[-1][-1] and places == sorted(set(places))
+        rest = iter(b)
+        assert all(a[i] in rest for i in places)  # in the order of b
+
+
+def test_lines_that_repeat_take_little_time():
+    one, other = [[k % 2, k % 3][k % 7 == 0] for k in range(8000)], [k % 2 for k in range(8000)]
+    began = time.perf_counter()
+    shared = pages.common(one, other)
+    assert time.perf_counter() - began < 1
+    assert len(shared) >= 6800
+
+
+def test_reader_comments():
+    article = "<body><div class='page'><article><h1>Head</h1><p>Body</p>{}</article>{}</div></body>"
+    mine = "<p>First!</p><p>Second</p>"
+    for block in (
+        "div class='reader-comments'", "ol class='comment-list'", "div class='user-comment'", "section id='comments'", "article class='comment'", "section id='comment-section-2'", "div class='commentThread'",
+        "div id='disqus_thread'", "ul class='x replies'", "div itemscope itemtype='https://schema.org/Comment'", "article id='comment-17'", "li class='comment even'",
+    ):
+        element = f"<{block}>{mine}</{block.split()[0]}>"
+        assert _kept(article.format(element, "")) == "Head Body", block
+        assert _kept(article.format("", element)) == "Head Body", block
+    nested = "<div id='comments'><article><p>One</p></article><article class='comment'><p>Two</p><article><p>Three</p></article></article></div>"
+    assert _kept(article.format(nested, "")) == _kept(article.format("", nested)) == "Head Body"
+    for block in ("div class='has-comments'", "div class='comments-open'", "section id='further-comments'", "div class='commentary'", "p class='first-comment'"):
+        assert _kept(article.format(f"<{block}>Kept</{block.split()[0]}>", "")) == "Head Body Kept", block
+    assert _kept("<body class='single comments'><div class='with-comments'><article><pre>x = 1 <span class='hljs-comment'># one</span></pre></article></div></body>") == "x = 1 # one"
+    assert _kept("<div class='post comments'><article><p>Body</p></article></div>") == "Body"  # a wrapper
 
 
 def _shared_shingles(texts):
