@@ -15,6 +15,8 @@ runs of one diagonal that contradict each other the one that covers most counts.
 Before the join a bit set of `filter_bits` bits (its size is a parameter and does not grow with the benchmark) drops
 those windows of documents that no item has. Windows that more than `common` items share are joined only for pairs that
 another window has found, unless an item can match by such windows alone; windows that many documents have are salted.
+Matches are gathered by diagonal, of which each has at most one for each form and place of the item, so that a long text
+that repeats an item is no large group; rows of one text with many copies are dealt over tasks in the last join.
 
 Defined cases: null and empty texts match nothing; items of fewer than `window` words are one window of their own
 length; those of one or two words match only a document that has no other words; items without words match nothing;
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, boxed, mix64, stored
+from tessera.llm.common import HotTexts, Memo, boxed, hashed_text, mix64, stored
 
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?:\n]")
 PLAIN, CAPITAL, NUMBER, BREAK, UNIT = range(5)
@@ -257,31 +259,26 @@ def runs(found: list[Match]) -> list[list[Match]]:
     return [*out, found[start:]] if found else []
 
 
-def judged(found: list[Match], words: int) -> tuple[float, int, bool]:
-    """Share of the item's words covered, longest run of words, and whether a run has all the item's values."""
-    diagonals: dict[int, list[Match]] = {}
-    for m in sorted(found, key=lambda m: (m[1], m[0])):
-        diagonals.setdefault(m[0] - m[1], []).append(m)
-    covered, longest, verbatim = set(), 0, False
-    for these in diagonals.values():
-        best: list[int] = []
-        for run in runs(these):
-            places = sorted({p for _, place, length, *_ in run for p in range(place, place + length)})
-            breaks = np.flatnonzero(np.diff(places) > 1)
-            longest = max(longest, int(np.diff(np.concatenate([[-1], breaks, [len(places) - 1]])).max()))
-            verbatim |= all((item == doc).all() for *_, item, doc in run)
-            best = max(best, places, key=len)
-        covered.update(best)
-    return len(covered) / words, longest, verbatim
-
-
-def _verdicts(settings: Settings):
-    @F.pandas_udf("coverage double, longest_run int, verbatim boolean")
-    def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def judged(found: list[Match]) -> tuple[list[int], int, bool]:
+    """Of the matches of one diagonal: the item's places that its best run covers, longest run of words, and whether a run has all the item's values."""
+    best: list[int] = []
+    longest, verbatim = 0, False
+    for run in runs(sorted(found, key=lambda m: m[1])):
+        places = sorted({p for _, place, length, *_ in run for p in range(place, place + length)})
+        breaks = np.flatnonzero(np.diff(places) > 1)
+        longest = max(longest, int(np.diff(np.concatenate([[-1], breaks, [len(places) - 1]])).max()))
+        verbatim |= all((item == doc).all() for *_, item, doc in run)
+        best = max(best, places, key=len)
+    return best, longest, verbatim
+
+
+def _verdicts():
+    @F.pandas_udf("places array<int>, longest int, verbatim boolean")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         values = lambda x: np.frombuffer(x, np.uint32)
-        for every, sizes in batches:
-            rows = [judged([(m["at"], m["place"], m["length"], m["slots"], values(m["item_values"]), values(m["doc_values"])) for m in ms], n) for ms, n in zip(every, sizes)]
-            yield pd.DataFrame(rows, columns=["coverage", "longest_run", "verbatim"])
+        for every in batches:
+            rows = [judged([(m["at"], m["place"], m["length"], m["slots"], values(m["item_values"]), values(m["doc_values"])) for m in ms]) for ms in every]
+            yield pd.DataFrame(rows, columns=["places", "longest", "verbatim"])
 
     return judge
 
@@ -315,8 +312,11 @@ def held_texts(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setti
         pairs = matched.select("_h1", "_h2", "item").distinct()
         matched = matched.unionByName(pairs.join(rest, "item").join(hits, ["_h1", "_h2", "hash"]))
     listed = F.collect_list(F.struct("at", "place", "length", "slots", "item_values", "doc_values"))
-    found = matched.groupBy("_h1", "_h2", "item").agg(listed.alias("found"), F.first("words").alias("words"))
-    found = found.select("_h1", "_h2", "item", _verdicts(settings)("found", "words").alias("v")).select("_h1", "_h2", "item", "v.*")
+    diagonals = matched.groupBy("_h1", "_h2", "item", F.expr("at - place").alias("diagonal")).agg(listed.alias("found"), F.first("words").alias("words"))
+    diagonals = diagonals.select("_h1", "_h2", "item", "words", _verdicts()("found").alias("v"))
+    places = diagonals.select("_h1", "_h2", "item", "words", "v.longest", "v.verbatim", F.explode("v.places").alias("place"))
+    coverage = F.count_distinct("place") / F.first("words")
+    found = places.groupBy("_h1", "_h2", "item").agg(coverage.alias("coverage"), F.max("longest").alias("longest_run"), F.bool_or("verbatim").alias("verbatim"))
     return found.where((F.col("coverage") >= settings.coverage) | (F.col("longest_run") >= settings.run))
 
 
@@ -330,18 +330,21 @@ def _can_match(places: np.ndarray, lengths: np.ndarray, words: int, settings: Se
     return covered.sum() >= settings.coverage * words or longest >= settings.run
 
 
-def _hashed(docs: DataFrame, *columns: str) -> DataFrame:
-    return docs.select(*columns, F.xxhash64("text").alias("_h1"), F.xxhash64(F.lit(1), F.col("text")).alias("_h2"))
+def _counted(ids: DataFrame) -> DataFrame:
+    return ids.groupBy("_h1", "_h2").agg(F.count("*").alias("_n"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, coverage, longest_run, verbatim."""
-    found = stored(held_texts(_hashed(docs, "text"), benchmark, settings), "found")
+    found = stored(held_texts(docs.select("text", *hashed_text()), benchmark, settings), "found")
+    ids = stored(docs.select("doc_id", *hashed_text()), "ids")
+    held = HotTexts(_counted(ids), ids.count()).join(ids, found)
     items = benchmark.select("item_id", F.xxhash64("text").alias("item"))
-    return _hashed(docs, "doc_id").join(found, ["_h1", "_h2"]).join(items, "item").select("doc_id", "item_id", "coverage", "longest_run", "verbatim")
+    return held.join(items, "item").select("doc_id", "item_id", "coverage", "longest_run", "verbatim")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents that hold no benchmark item, all columns as they were; judged by their text, so null and repeated ids too."""
-    held = stored(held_texts(_hashed(docs, "text"), benchmark, settings).select("_h1", "_h2").distinct(), "held")
-    return _hashed(boxed(docs, "text"), "row").join(held, ["_h1", "_h2"], "left_anti").select("row.*")
+    held = stored(held_texts(docs.select("text", *hashed_text()), benchmark, settings).select("_h1", "_h2").distinct(), "held")
+    hot = HotTexts(_counted(docs.select(*hashed_text())), docs.count())
+    return hot.join(boxed(docs, "text").select("row", *hashed_text()), held, "left_anti").select("row.*")

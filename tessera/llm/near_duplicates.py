@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import Memo, boxed, mix64, slices, stored
+from tessera.llm.common import HotTexts, Memo, boxed, mix64, slices, stored
 
 
 @dataclass(frozen=True)
@@ -370,7 +370,7 @@ def classes(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows, texts = _classed(docs, settings)
     of = texts.groupBy("_root").agg(F.min("_doc").alias("_least"), F.sum("_n").alias("class_size")).withColumn("class_id", F.coalesce("_least", -F.col("_root") - 1))
     named = texts.select("_h1", "_h2", "_root").join(of, "_root")
-    return rows.join(named, ["_h1", "_h2"]).select("doc_id", "class_id", "class_size")
+    return HotTexts(texts, rows.count()).join(rows, named).select("doc_id", "class_id", "class_size")
 
 
 def distinct_documents(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

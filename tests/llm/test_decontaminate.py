@@ -1,11 +1,13 @@
 """Decontamination against a plain version, and its cases."""
 
 import re
+import time
 
 import numpy as np
 import pytest
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, near_duplicates
+from tessera.llm.common import HotTexts, hashed_text
 from tessera.llm.decontaminate import NUMBER_WORDS, UNITS, Settings
 
 ITEM = "a farmer has 12 apples and gives 5 apples to his friend Maria before lunch today"
@@ -147,3 +149,33 @@ def test_many_copies_of_one_item(spark):
     docs = spark.range(30_000).selectExpr("id AS doc_id", f"concat('Note ', id, ': {ITEM}') AS text")
     found = decontaminate.find(docs, spark.createDataFrame(ITEMS[:1], "item_id long, text string"), Settings(salt=1000))
     assert found.selectExpr("count(*)", "count(distinct doc_id)").first()[:] == (30_000, 30_000)
+
+
+def test_a_text_that_repeats_an_item(spark):
+    """Each repetition is a diagonal of its own; a fifth of the item on many diagonals is no more than that."""
+    words = ITEM.split()
+    texts = [(1, f"{ITEM} so. " * 2_000), (2, " ".join([*words[:8], "so it was then."] * 2_000)), (3, ITEM)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.find(docs, spark.createDataFrame(ITEMS[:1], "item_id long, text string")).collect()}
+    assert all(found[i]["coverage"] == 1 and found[i]["longest_run"] == len(words) and found[i]["verbatim"] for i in (1, 3))
+    assert (2 in found) == plainly(" ".join([*words[:8], "so it was then."] * 3), ITEM)
+
+
+def test_very_many_rows_of_one_text(spark):
+    """500,000 rows of one text, dealt over tasks in the last join, with null and equal ids among them."""
+    docs = spark.range(500_000).selectExpr("if(id % 3 = 0, null, id % 1000) AS doc_id", f"if(id % 5 = 0, '', '{ITEM}') AS text")
+    benchmark = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    began = time.perf_counter()
+    assert decontaminate.find(docs, benchmark).count() == 400_000
+    assert decontaminate.clean(docs, benchmark).count() == 100_000
+    assert near_duplicates.classes(docs).groupBy("class_size").count().orderBy("count").collect() == [(100_000, 100_000), (400_000, 400_000)]
+    assert time.perf_counter() - began < 240
+
+
+def test_hot_texts_are_split(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 3_500 else f"b{i}") for i in range(4_000)], "doc_id long, text string").select("doc_id", *hashed_text())
+    hot = HotTexts(rows.groupBy("_h1", "_h2").count().withColumnRenamed("count", "_n"), 4_000)
+    assert [r["_salts"] for r in hot.hot.collect()] == [4]
+    texts = rows.where("doc_id in (1, 3600, 3700)").select("_h1", "_h2", "doc_id").withColumnRenamed("doc_id", "other")
+    assert hot.join(rows, texts).groupBy("other").count().orderBy("other").collect() == [(1, 3_500), (3600, 1), (3700, 1)]
+    assert hot.join(rows, texts, "left_anti").count() == 498
