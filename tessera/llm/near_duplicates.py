@@ -208,7 +208,11 @@ COUNTER_BITS = 18
 
 
 def _levels(sequences: DataFrame, settings: Settings) -> np.ndarray:
-    """How often shingles occur, as a coarse logarithm per counter; a shingle's counter is its upper bits."""
+    """How often shingles occur, as a coarse logarithm per counter; a shingle's counter is its upper bits.
+
+    A task makes a row for each counter that it has met, so near copies dealt over many tasks would make the same rows in
+    each; there is one task for each core, and the rows have a bound that doesn't grow with the texts.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(1 << COUNTER_BITS, np.int64)
@@ -218,7 +222,8 @@ def _levels(sequences: DataFrame, settings: Settings) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"at": at, "n": counts[at]})
 
-    counted = sequences.select("_s").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    cores = sequences.sparkSession.sparkContext.defaultParallelism
+    counted = sequences.select("_s").coalesce(cores).mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << COUNTER_BITS, np.uint8)
     out[counted["at"].to_numpy()] = np.minimum(8 * np.log2(counted["n"].to_numpy()), 255)
     return out

@@ -582,6 +582,22 @@ def test_short_near_duplicates(spark):
     assert all(found[i] == found[k] for i, k in close.items()) and all(near[i] == near[k] for i, k in found.items())
 
 
+def test_near_copies_are_counted_once_a_core(spark, monkeypatch):
+    """The rows of the shingles' counts don't grow with the partitions over which near copies are dealt, and no text is left out."""
+    rng, settings = np.random.default_rng(11), near_duplicates.Settings()
+    copies, base = [], rng.integers(0, 1 << 32, 300, dtype=np.uint32)
+    for _ in range(640):
+        copies.append(base.copy())
+        copies[-1][rng.integers(0, 300)] = rng.integers(0, 1 << 32)
+    sequences = spark.createDataFrame([(k, c.tobytes()) for k, c in enumerate(copies)], "node long, _s binary").repartition(64)
+    made, method = [], type(sequences).mapInPandas
+    monkeypatch.setattr(type(sequences), "mapInPandas", lambda df, *a, **b: made.append(method(df, *a, **b)) or made[-1])
+    levels = near_duplicates._levels(sequences, settings)
+    counts = np.bincount(np.concatenate([near_duplicates._shingles_of(c.tobytes(), settings) for c in copies]) >> np.uint32(14), minlength=1 << 18)
+    assert (levels == np.minimum(8 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)).all()
+    assert made[0].count() <= spark.sparkContext.defaultParallelism * np.count_nonzero(counts)
+
+
 def test_decontaminate(spark, texts):
     items = dict(spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect())
     found = {(r["doc_id"], r["item_id"]) for r in QUERIES["op9_decontaminate"](spark, SF).collect()}
