@@ -204,14 +204,14 @@ def _shingles_of(words: bytes, settings: Settings) -> np.ndarray:
     return (shingles(np.frombuffer(words, np.uint32).astype(np.uint64), settings.words) >> np.uint64(32)).astype(np.uint32)
 
 
-COUNTER_BITS = 18
+COUNTER_BITS, BLOCK_BITS = 18, 10
 
 
 def _levels(sequences: DataFrame, settings: Settings) -> np.ndarray:
     """How often shingles occur, as a coarse logarithm per counter; a shingle's counter is its upper bits.
 
-    A task makes a row for each counter that it has met, so near copies dealt over many tasks would make the same rows in
-    each; there is one task for each core, and the rows have a bound that doesn't grow with the texts.
+    A task's counters are one array, passed on in blocks that are summed by block. Near copies dealt over many tasks would
+    be counted with the same counters in each; there is one task for each core, so the size doesn't grow with the texts.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,14 +219,20 @@ def _levels(sequences: DataFrame, settings: Settings) -> np.ndarray:
         for b in batches:
             for s in b["_s"]:
                 np.add.at(counts, _shingles_of(s, settings) >> np.uint32(32 - COUNTER_BITS), 1)
-        at = np.flatnonzero(counts)
-        yield pd.DataFrame({"at": at, "n": counts[at]})
+        blocks = counts.reshape(-1, 1 << BLOCK_BITS)
+        at = np.flatnonzero(blocks.any(axis=1))
+        yield pd.DataFrame({"at": at, "n": [blocks[i].tobytes() for i in at]})
+
+    @F.pandas_udf("binary")
+    def total(blocks: pd.Series) -> bytes:
+        return np.sum([np.frombuffer(b, np.int64) for b in blocks], axis=0).tobytes()
 
     cores = sequences.sparkSession.sparkContext.defaultParallelism
-    counted = sequences.select("_s").coalesce(cores).mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << COUNTER_BITS, np.uint8)
-    out[counted["at"].to_numpy()] = np.minimum(8 * np.log2(counted["n"].to_numpy()), 255)
-    return out
+    counted = sequences.select("_s").coalesce(cores).mapInPandas(count, "at long, n binary").groupBy("at").agg(total("n").alias("n")).toArrow()
+    out = np.zeros((1 << COUNTER_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint8)
+    for at, n in zip(counted["at"].to_pylist(), counted["n"].to_pylist()):
+        out[at] = np.minimum(8 * np.log2(np.maximum(np.frombuffer(n, np.int64), 1)), 255)
+    return out.ravel()
 
 
 def prefix(s: np.ndarray, levels: np.ndarray, similarity: float) -> np.ndarray:
