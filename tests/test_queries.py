@@ -27,3 +27,17 @@ def test_query(spark, tables, name):
     for c in columns:
         same = (mine[c] == theirs[c]) | (mine[c].isna() & theirs[c].isna())
         assert same.all(), (c, mine[~same].head(), theirs[~same].head())
+
+
+def ties(spark, path):
+    """A table of vectors with components that lie in the middle of two numbers of six decimals."""
+    rows = [(i, [(64 * i + k - 500) / 128 for k in range(64)], 0) for i in range(16)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet/*.parquet'")
+    return con
+
+
+def test_key_lines_of_ties(spark, tmp_path):
+    con = ties(spark, tmp_path)
+    assert sorted(map(tuple, QUERIES["keyfile_lines"](spark, str(tmp_path)).collect())) == sorted(con.execute(SQL["keyfile_lines"]).fetchall())

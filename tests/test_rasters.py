@@ -378,6 +378,15 @@ def test_key_files(spark, tmp_path):
     assert tuple(back[0]) == rows[0] and back[1]["angle"] == 0.123457 and back[1]["descriptors"] == []
 
 
+def test_key_file_decimals(spark):
+    """Six decimals of the exact value, ties to even, as Python's and C's %.6f."""
+    small = [0.0, -0.0, -1e-9, 5e-7, 0.1234565, 0.9999995, 1.0000005, math.nan, math.inf, -math.inf, *[m / 128 for m in range(-130, 130)]]
+    large = [2.0**30 + 1 / 128, -(2.0**33) - 3 / 128, 8642453069.12132, 12345678901.9999999, 2.0**53 + 2, -(2.0**61) - 2.0**10]
+    values = small + large
+    found = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", keyfile.decimals(F.col("x")).alias("s")).collect()
+    assert {r["i"]: r["s"] for r in found} == {i: f"{x:.6f}" for i, x in enumerate(values)}
+
+
 def test_images(spark, tmp_path):
     a = np.random.default_rng(7).integers(0, 256, (5, 7, 3))
     file = images.encode_png(colour(spark, a)).first()["png"]
