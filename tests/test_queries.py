@@ -41,3 +41,10 @@ def ties(spark, path):
 def test_key_lines_of_ties(spark, tmp_path):
     con = ties(spark, tmp_path)
     assert sorted(map(tuple, QUERIES["keyfile_lines"](spark, str(tmp_path)).collect())) == sorted(con.execute(SQL["keyfile_lines"]).fetchall())
+
+
+def test_key_round_trip_of_ties(spark, tmp_path):
+    con = ties(spark, tmp_path)
+    columns = "idx", "idy", "oct", "step", "angle", "scale", "millionths"
+    mine = QUERIES["keyfile_roundtrip"](spark, str(tmp_path)).select(*columns)
+    assert sorted(map(tuple, mine.collect())) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({SQL['keyfile_roundtrip']})").fetchall())
