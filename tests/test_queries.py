@@ -1,8 +1,10 @@
 """Registered raster queries against their SQL in DuckDB, on the same tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from tessera.plans import sql
 from tessera.plans.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +50,17 @@ def test_key_round_trip_of_ties(spark, tmp_path):
     columns = "idx", "idy", "oct", "step", "angle", "scale", "millionths"
     mine = QUERIES["keyfile_roundtrip"](spark, str(tmp_path)).select(*columns)
     assert sorted(map(tuple, mine.collect())) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({SQL['keyfile_roundtrip']})").fetchall())
+
+
+@pytest.mark.parametrize("name, text", [("kd_build", sql.kd_build), ("kd_leaf_of_query", sql.kd_leaf), ("kd_bbf_search", sql.kd_search)])
+def test_tree_of_more_keys_than_the_sql_splits(spark, tmp_path, name, text):
+    """The registered SQL splits 12 levels, enough for 4,096 keys; the tree of more is that of the same SQL with more levels."""
+    data = np.random.default_rng(9).normal(0, 0.1, (4200, 64))
+    spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(data)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    mine = QUERIES[name](spark, str(tmp_path))
+    rows = sorted(map(tuple, mine.collect()))
+    assert rows == sorted(con.execute(f"SELECT {', '.join(mine.columns)} FROM ({text(13)})").fetchall())
+    if name == "kd_bbf_search":
+        assert rows == [(i, i, 0.0) for i in range(0, 4200, 20)]  # each query is a key; 12 levels leave 104 of the keys out
